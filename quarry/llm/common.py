@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -72,10 +73,11 @@ def _powers(n: int) -> np.ndarray:
         return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(max(0, n - 1), _BASE, np.uint64)]))
 
 
-def hash_words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, prefixes: tuple[int, ...] = ()):
     """A 64-bit hash of each word of the rows of a block, and where each row's words begin.
 
-    inside: which of the 256 byte values belong to words. Words end at row ends too.
+    inside: which of the 256 byte values belong to words. Words end at row ends too. With prefixes, a
+    list follows: for each length, hashes of the first so many bytes of words, 0 for shorter words.
     """
     at = offsets - offsets[0]
     n = int(at[-1])
@@ -86,10 +88,35 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tup
     first[edge] |= word[edge]
     place = np.flatnonzero(word)
     if not len(place):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        none = np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return (*none, [none[0] for _ in prefixes]) if prefixes else none
     begin = np.flatnonzero(first[place])
     start = place[begin]
     length = np.diff(np.append(begin, len(place)))
     within = np.arange(len(place)) - np.repeat(begin, length)
-    h = np.add.reduceat(_BYTE[data[place]] * _powers(int(length.max()))[within], begin)
-    return mix(h ^ (length.astype(np.uint64) * GOLDEN)), np.searchsorted(start, at)
+    part = _BYTE[data[place]] * _powers(int(length.max()))[within]
+    h = mix(np.add.reduceat(part, begin) ^ (length.astype(np.uint64) * GOLDEN))
+    row = np.searchsorted(start, at)
+    if not prefixes:
+        return h, row
+    cut = [np.where(length >= k, mix(np.add.reduceat(part * (within < k), begin) ^ np.uint64(k)), np.uint64(0)) for k in prefixes]
+    return h, row, cut
+
+
+def fold_case(data: np.ndarray) -> np.ndarray:
+    """Lower case of A-Z, and of the letters that UTF-8 writes as C3 80 to C3 9E."""
+    low = data + np.uint8(32) * ((data >= 65) & (data <= 90))
+    if len(data) > 1:
+        low[1:] += np.uint8(32) * ((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97))
+    return low
+
+
+def labelled(labels: DataFrame, mark: str, folds: int, held: int, bound: int) -> DataFrame:
+    """doc_id and mark of at most `bound` labelled rows that are not held out, chosen by a hash."""
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col(mark).isin(0, 1) & ~held_out(F.col("doc_id"), folds, held))
+    rows = rows.groupBy("doc_id").agg(F.max(mark).cast("int").alias("mark"))
+    return rows.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(bound)
+
+
+def held_out(doc_id, folds: int, held: int):
+    return F.coalesce(F.crc32(doc_id.cast("string")) % folds == held, F.lit(False))

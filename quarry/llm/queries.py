@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, line_dedup, mixing, sharding
+from . import exact_dedup, html_extract, line_dedup, mixing, quality, sharding, toxicity
 from .common import table
 
 
-def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: operator(table(spark, sf_dir, name))
+def _over(names: str | tuple[str, ...], operator: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    names = (names,) if isinstance(names, str) else names
+    return lambda spark, sf_dir: operator(*(table(spark, sf_dir, x) for x in names))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,7 +20,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_dedup": _over("documents", line_dedup.op1_line_dedup),
         "op2_exact_dedup": _over("documents", exact_dedup.op2_exact_dedup),
         "op3_sharding": _over("documents", sharding.op3_sharding),
+        "op4_quality": _over(("documents", "labels"), quality.op4_quality),
         "op8_mixing": _over("documents", mixing.op8_mixing),
+        "op9_toxicity": _over(("documents", "labels"), toxicity.op9_toxicity),
         "op10_html_extract": _over("pages", html_extract.op10_html_extract),
     }
 
