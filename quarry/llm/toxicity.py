@@ -1,7 +1,8 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 Terms are words (runs of letters, lower case) and their first 4, 5 and 6 bytes, so that inflected forms
-of a stem meet. The vocabulary is the terms whose counts among the labelled examples differ between the
+of a stem meet; a beginning that a text has twice or three times is a term more for each. Near copies among
+the examples (the same least hash of three words) count once. The vocabulary is the terms whose counts among the labelled examples differ between the
 labels by a log-likelihood ratio of at least MIN_G2, MAX_TERMS at most; its size and the number of
 examples are bounded parameters, so the index has a bounded size. A text's vector has (1 + ln tf) * idf.
 
@@ -22,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, fold_case, hash_words, held_out, labelled, utf8
+from .common import M1, M2, blocks, fold_case, hash_words, held_out, keep, labelled, mix, utf8
 
 FOLDS, HELD = 3, 1
 MAX_EXAMPLES = 20_000
 MAX_TERMS = 1024
-MIN_G2, MIN_DF = 18.0, 4
+MIN_G2, MIN_DF = 20.0, 4
 PREFIXES = (4, 5, 6)
 K, BLOCK, PRIOR = 15, 64, 1.0
 REJECT = 0.7
@@ -36,18 +37,36 @@ LETTERS = np.zeros(256, bool)
 LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
 
 
-def terms_of(texts: pa.Array):
-    """For each row the terms of its text, repeats too, as unsigned 64-bit hashes."""
+def _repeated(found: np.ndarray) -> np.ndarray:
+    """Terms for the second and the third time that a value is found."""
+    values, count = np.unique(found, return_counts=True)
+    return np.concatenate([mix(values[count >= k] + np.uint64(k)) for k in (2, 3)])
+
+
+def terms_of(texts: pa.Array, least: bool = False):
+    """For each row the terms of its text, repeats too, as unsigned 64-bit hashes; with least, its
+    least hash of three words instead."""
     data, at = utf8(texts)
     for lo, hi in blocks(at):
         part = fold_case(data[at[lo] : at[hi]])
         words, row, cut = hash_words(part, at[lo : hi + 1], LETTERS, PREFIXES)
         for i in range(hi - lo):
             own = slice(row[i], row[i + 1])
-            found = np.concatenate([words[own], *(x[own] for x in cut)])
+            if least:
+                w = words[own]
+                yield mix(w[:-2] + M1 * mix(w[1:-1] + M2 * w[2:])).min() if len(w) > 2 else w.sum(dtype=np.uint64)
+                continue
+            begins = [x[own] for x in cut]
+            found = np.concatenate([words[own], *begins, *(_repeated(x[x != 0]) for x in begins)])
             yield found[found != 0]
 
 
+def _least(batches):
+    for batch in batches:
+        keys = np.array(list(terms_of(batch.column("text"), least=True)), np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(keys)], ["doc_id", "mark", "key"])
+
+
 def _distinct_terms(batches):
     for batch in batches:
         rows = [np.unique(x).view(np.int64) for x in terms_of(batch.column("text"))]
@@ -118,14 +137,16 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    sample = labelled(labels, "toxic", FOLDS, HELD, MAX_EXAMPLES).cache()  # at most MAX_EXAMPLES rows of two numbers
+    # samples have at most MAX_EXAMPLES rows of two numbers
+    labelled_rows = keep(labelled(labels, "toxic", FOLDS, HELD, MAX_EXAMPLES))
+    keys = docs.select("doc_id", "text").join(F.broadcast(labelled_rows), "doc_id").where("text is not null").mapInArrow(_least, "doc_id long, mark int, key long")
+    sample = keep(keys.groupBy("key", "mark").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "mark"))
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text is not null")
     rows = sample.groupBy("mark").count().collect()
     n1, n0 = (sum(r["count"] for r in rows if r["mark"] == m) for m in (1, 0))
     if not n1 or not n0:
         model = Model(np.zeros(0, np.uint64), np.zeros(0), float(n1 > 0))
         model.index = Index(np.zeros((0, 0), np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        sample.unpersist()
         return model
     seen = texts.mapInArrow(_distinct_terms, "mark int, terms array<long>").select("mark", F.explode("terms").alias("term"))
     counts = seen.groupBy("term").agg(F.sum("mark").cast("double").alias("a"), F.sum(1 - F.col("mark")).cast("double").alias("b"))
@@ -144,7 +165,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     examples = texts.mapInArrow(vectors, "doc_id long, mark int, own array<long>, weights array<double>").where("size(own) > 0")
     examples = sorted(examples.collect(), key=lambda r: r["doc_id"])
-    sample.unpersist()
     dense = np.zeros((len(examples), len(terms)), np.float32)
     for i, r in enumerate(examples):
         dense[i, r["own"]] = r["weights"]
