@@ -15,10 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, keep
 
 MAX_RATIO = 0.1
 MIN_PAGES = 8
+BROADCAST_LINES = 200_000
 
 
 def _trimmed(line: Column) -> Column:
@@ -46,7 +47,10 @@ def boilerplate(docs: DataFrame, host: str, text: str, max_ratio: float = MAX_RA
 
 def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """docs, with text without its host's boilerplate lines, and n_lines_dropped."""
-    bad = boilerplate(docs, host, text, max_ratio, min_pages)
+    bad = keep(boilerplate(docs, host, text, max_ratio, min_pages))
+    found = bad.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_keys")), F.lit(0))).first()
+    if found[0] + found[1] <= BROADCAST_LINES:
+        bad = F.broadcast(bad)  # 16 bytes a line; beyond that, a join that splits a hot host
     rows = docs.join(bad, docs[host].eqNullSafe(bad["_host"]), "left")
     lines = _lines(F.col(text))
     kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_keys"), _key(_trimmed(x))))
