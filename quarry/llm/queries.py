@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_extract, line_dedup, mixing, quality, sharding, toxicity
+from . import bpe, exact_dedup, html_extract, line_dedup, mixing, near_dup, quality, sharding, toxicity
 from .common import table
 
 
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_dedup": _over("documents", exact_dedup.op2_exact_dedup),
         "op3_sharding": _over("documents", sharding.op3_sharding),
         "op4_quality": _over(("documents", "labels"), quality.op4_quality),
+        "op5_near_dup": _over("documents", near_dup.op5_near_dup),
         "op6_bpe": _over("documents", bpe.op6_bpe),
         "op8_mixing": _over("documents", mixing.op8_mixing),
         "op9_toxicity": _over(("documents", "labels"), toxicity.op9_toxicity),
