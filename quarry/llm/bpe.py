@@ -125,12 +125,13 @@ def _gather(flat: np.ndarray, at: np.ndarray, pick: np.ndarray) -> np.ndarray:
     return flat[np.arange(end[-1] if len(end) else 0) + np.repeat(at[pick] - end + size, size)]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", as_array: bool = True, decoded: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", as_array: bool = True, decoded: str | None = None, carry_text: bool = False) -> DataFrame:
     """docs with ids: an array, or without as_array their little-endian unsigned 32-bit bytes.
 
     decoded: a column for what the ids decode to, as binary. pattern: as the vocabulary's library has it.
+    The text itself is not carried along unless asked for.
     """
-    columns = [f for f in docs.schema.fields if f.name not in ("ids", decoded)]
+    columns = [f for f in docs.schema.fields if f.name not in ("ids", decoded) and (carry_text or f.name != text_col)]
     kept = [f.name for f in columns]
     # white space as the library's engine has it
     own = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
@@ -176,7 +177,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", as_
 
     names = [*kept, "_word", "_places", "_fresh"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns)
-    lines = docs.select(*kept).mapInArrow(cut, f"{fields}, _word array<long>, _places binary, _fresh boolean")
+    lines = docs.select(*kept, *[text_col] * (not carry_text)).mapInArrow(cut, f"{fields}, _word array<long>, _places binary, _fresh boolean")
     folded = lines.select(*kept, F.when(F.col("_word").isNotNull(), fold_merges(F.col("_word"), path)).alias("_ids"), "_places", "_fresh")
 
     def join(batches):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_extract, line_dedup, mixing, near_dup, quality, sharding, toxicity
+from . import ann, bpe, exact_dedup, html_extract, line_dedup, mixing, near_dup, quality, sharding, toxicity
 from .common import table
 
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality": _over(("documents", "labels"), quality.op4_quality),
         "op5_near_dup": _over("documents", near_dup.op5_near_dup),
         "op6_bpe": _over("documents", bpe.op6_bpe),
+        "op7_ann": _over("embeddings", ann.op7_ann),
         "op8_mixing": _over("documents", mixing.op8_mixing),
         "op9_toxicity": _over(("documents", "labels"), toxicity.op9_toxicity),
         "op10_html_extract": _over("pages", html_extract.op10_html_extract),
