@@ -192,11 +192,14 @@ def _across(left: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     others = others.select(F.col("id").alias("first"), "n", (F.col("n") - F.coalesce("r", F.lit(0))).alias("e"))
     # alive: even if all of the others are shared
     sides = keep(left.drop("n").join(others, "first").where(F.lit(100) * F.col("e") >= F.lit(percent) * F.col("n")))
-    one, two = (sides.select("bucket", F.col("first").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}"), F.col("e").alias(f"e_{x}")) for x in "ab")
+    every = sides.groupBy("first").agg(F.collect_list("bucket").alias("all"))
+    sides = sides.join(every, "first")
+    one, two = (sides.select("bucket", F.col("first").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}"), F.col("e").alias(f"e_{x}"), F.col("all").alias(f"all_{x}")) for x in "ab")
     most = F.least("e_a", "e_b")
     reach = F.lit(100) * most >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - most)
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    bounded = one.join(two, (one["bucket"] == two["bucket"]) & (F.col("c_a") < F.col("c_b")) & reach).select(*pair)
+    once = one["bucket"] == F.array_min(F.array_intersect("all_a", "all_b"))  # of the buckets that they share
+    bounded = one.join(two, (one["bucket"] == two["bucket"]) & (F.col("c_a") < F.col("c_b")) & reach & once).select(*pair)
     shared = rare.where("spread > 1")
     shared = shared.join(others.withColumnRenamed("first", "id"), "id")
     one, two = (shared.select("shingle", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}"), F.col("e").alias(f"e_{x}")) for x in "ab")
