@@ -52,7 +52,8 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-#: An element of the fold's array: the rank of the pair that it begins, its place and its id.
+#: An element of the fold's array: the rank of the pair that it begins, its place (array_position would find
+#: it too, but takes microseconds, as it leaves its loop by an exception) and its id.
 PLACE, RANK = 16, 43
 NONE = (1 << 17) - 1
 
@@ -71,7 +72,6 @@ def fold_merges(word: Column, path: str) -> Column:
     """The ids of a word. word: an element for each byte, as byte_elements() makes them."""
     known, n = rank_map(path)
     ID, TAIL = F.lit((1 << PLACE) - 1), F.lit((1 << RANK) - 1)
-    none = F.array().cast("array<long>")
 
     def ranked(a: Column, b: Column, tail: Column) -> Column:
         """An element with the rank of the pair of ids a and b, and tail's place and id."""
@@ -84,21 +84,22 @@ def fold_merges(word: Column, path: str) -> Column:
 
     def merge(s: Column, least: Column, p: Column) -> Column:
         new = F.shiftright(least, RANK)
-        left = F.when(p > 1, F.array(ranked(s[p - 2].bitwiseAND(ID), new, s[p - 2].bitwiseAND(TAIL)))).otherwise(none)
         tail = least.bitwiseAND(TAIL) - least.bitwiseAND(ID) + new
         right = F.when(p + 1 < F.size(s), ranked(new, s[p + 1].bitwiseAND(ID), tail)).otherwise(F.lit(NONE << RANK) + tail)
-        return F.concat(F.slice(s, F.lit(1), F.greatest(p - 2, F.lit(0))), left, F.array(right), F.slice(s, p + 2, F.size(s)))
+        left = _let(s[p - 2], lambda x: ranked(x.bitwiseAND(ID), new, x.bitwiseAND(TAIL)))
+        after = F.transform(F.slice(s, p + 2, F.size(s)), lambda x: x - F.lit(1 << PLACE))
+        # flatten, as concat takes several times as long here
+        return F.when(p > 1, F.flatten(F.array(F.slice(s, F.lit(1), p - 2), F.array(left, right), after))).otherwise(F.flatten(F.array(F.array(right), after)))
 
     def step(s: Column, _: Column) -> Column:
-        return _let(F.array_min(s), lambda m: F.when(m >= NONE << RANK, s).otherwise(_let(F.array_position(s, m).cast("int"), lambda p: merge(s, m, p))))
+        return _let(F.array_min(s), lambda m: F.when(m >= NONE << RANK, s).otherwise(_let((F.shiftright(m.bitwiseAND(TAIL), PLACE) + 1).cast("int"), lambda p: merge(s, m, p))))
 
     done = F.aggregate(F.slice(word, F.lit(1), F.greatest(F.size(word) - 1, F.lit(0))), word, step)
     return F.transform(done, lambda x: x.bitwiseAND(ID).cast("int"))
 
 
-def byte_elements(words: list[str], path: str) -> pa.Array:
-    """For each word the array that the fold begins with."""
-    known, pair = _byte_tables(path)
+def byte_elements(words: list[str], known: np.ndarray, pair: np.ndarray) -> pa.Array:
+    """For each word the array that the fold begins with. known, pair: as byte_tables() gives them."""
     raw = [x.encode() for x in words]
     size = np.fromiter(map(len, raw), np.int64, len(raw))
     data = np.frombuffer(b"".join(raw), np.uint8)
@@ -112,7 +113,8 @@ def byte_elements(words: list[str], path: str) -> pa.Array:
 
 
 @lru_cache(maxsize=4)
-def _byte_tables(path: str) -> tuple[np.ndarray, np.ndarray]:
+def byte_tables(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The id of each byte, and the rank of each pair of bytes."""
     known = np.array([ranks(path)[bytes([i])] for i in range(256)], np.int64)
     of = merges(path)
     return known, np.array([[of.get(int(a) << 16 | int(b), NONE) for b in known] for a in known], np.int64)
@@ -134,6 +136,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", as_
     columns = [f for f in docs.schema.fields if f.name not in ("ids", decoded) and (carry_text or f.name != text_col)]
     kept = [f.name for f in columns]
     # white space as the library's engine has it
+    bytes_ = byte_tables(path)  # sent to the tasks, which don't read the vocabulary's file
     own = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
 
     def cut(batches):
@@ -147,7 +150,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", as_
             for lo in range(0, len(words), ROWS):
                 part = words[lo : lo + ROWS]
                 n = len(part)
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(n, t) for t in types), byte_elements(part, path), pa.nulls(n, pa.binary()), pa.array([False] * n)], names)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(n, t) for t in types), byte_elements(part, *bytes_), pa.nulls(n, pa.binary()), pa.array([False] * n)], names)
             sent = len(places)
             fresh = sent > MAX_WORDS
             for i, (batch, found) in enumerate(waiting):
@@ -180,12 +183,13 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", as_
     lines = docs.select(*kept, *[text_col] * (not carry_text)).mapInArrow(cut, f"{fields}, _word array<long>, _places binary, _fresh boolean")
     folded = lines.select(*kept, F.when(F.col("_word").isNotNull(), fold_merges(F.col("_word"), path)).alias("_ids"), "_places", "_fresh")
 
+    pieces = sorted(ranks(path).items(), key=lambda x: x[1])
+    length = np.zeros(pieces[-1][1] + 1, np.int64)
+    length[[r for _, r in pieces]] = [len(x) for x, _ in pieces]
+    piece_at, piece_data = np.concatenate([[0], np.cumsum(length)]), np.frombuffer(b"".join(x for x, _ in pieces), np.uint8)
+    del pieces, length
+
     def join(batches):
-        pieces = sorted(ranks(path).items(), key=lambda x: x[1])
-        piece_of = np.zeros(pieces[-1][1] + 1, np.int64)
-        piece_of[[r for _, r in pieces]] = [len(x) for x, _ in pieces]
-        piece_at = np.concatenate([[0], np.cumsum(piece_of)])
-        piece_data = np.frombuffer(b"".join(x for x, _ in pieces), np.uint8)
         parts: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
         flat, at = np.zeros(0, np.int32), np.zeros(1, np.int64)
