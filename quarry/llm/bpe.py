@@ -27,8 +27,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 BLOCK_BYTES = 8 << 20
-MAX_WORDS = 600_000
+MAX_WORDS = 450_000
 ROWS = 10_000
 
 
@@ -73,23 +75,25 @@ def fold_merges(word: Column, path: str) -> Column:
     known, n = rank_map(path)
     ID, TAIL = F.lit((1 << PLACE) - 1), F.lit((1 << RANK) - 1)
 
-    def ranked(a: Column, b: Column, tail: Column) -> Column:
-        """An element with the rank of the pair of ids a and b, and tail's place and id."""
-
-        def found(k: Column) -> Column:
-            bucket = known[k.bitwiseXOR(F.shiftright(k, 13)).bitwiseAND(F.lit(n - 1)).cast("int")]
-            return F.aggregate(bucket, F.lit(NONE).cast("long"), lambda r, x: F.when(F.shiftright(x, 17) == k, x.bitwiseAND(F.lit(NONE))).otherwise(r))
-
-        return F.shiftleft(_let(F.shiftleft(a, PLACE) + b, found), RANK) + tail
+    def rank(k: Column) -> Column:
+        bucket = known[k.bitwiseXOR(F.shiftright(k, 13)).bitwiseAND(F.lit(n - 1)).cast("int")]
+        return F.aggregate(bucket, F.lit(NONE).cast("long"), lambda r, x: F.when(F.shiftright(x, 17) == k, x.bitwiseAND(F.lit(NONE))).otherwise(r))
 
     def merge(s: Column, least: Column, p: Column) -> Column:
         new = F.shiftright(least, RANK)
-        tail = least.bitwiseAND(TAIL) - least.bitwiseAND(ID) + new
-        right = F.when(p + 1 < F.size(s), ranked(new, s[p + 1].bitwiseAND(ID), tail)).otherwise(F.lit(NONE << RANK) + tail)
-        left = _let(s[p - 2], lambda x: ranked(x.bitwiseAND(ID), new, x.bitwiseAND(TAIL)))
-        after = F.transform(F.slice(s, p + 2, F.size(s)), lambda x: x - F.lit(1 << PLACE))
-        # flatten, as concat takes several times as long here
-        return F.when(p > 1, F.flatten(F.array(F.slice(s, F.lit(1), p - 2), F.array(left, right), after))).otherwise(F.flatten(F.array(F.array(right), after)))
+        no_pair = F.lit(-1).cast("long")
+        left = F.when(p > 1, F.shiftleft(s[p - 2].bitwiseAND(ID), PLACE) + new).otherwise(no_pair)
+        right = F.when(p + 1 < F.size(s), F.shiftleft(new, PLACE) + s[p + 1].bitwiseAND(ID)).otherwise(no_pair)
+
+        def put(r: Column) -> Column:
+            own = F.shiftleft(r[1], RANK) + least.bitwiseAND(TAIL) - least.bitwiseAND(ID) + new
+            before = F.array(F.shiftleft(r[0], RANK) + s[p - 2].bitwiseAND(TAIL), own)
+            after = F.transform(F.slice(s, p + 2, F.size(s)), lambda x: x - F.lit(1 << PLACE))
+            # flatten, as concat takes longer here
+            return F.when(p > 1, F.flatten(F.array(F.slice(s, F.lit(1), p - 2), before, after))).otherwise(F.flatten(F.array(F.array(own), after)))
+
+        # the map stands in the plan once
+        return _let(F.transform(F.array(left, right), lambda k: F.when(k < 0, F.lit(NONE).cast("long")).otherwise(rank(k))), put)
 
     def step(s: Column, _: Column) -> Column:
         return _let(F.array_min(s), lambda m: F.when(m >= NONE << RANK, s).otherwise(_let((F.shiftright(m.bitwiseAND(TAIL), PLACE) + 1).cast("int"), lambda p: merge(s, m, p))))
@@ -133,6 +137,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", as_
     decoded: a column for what the ids decode to, as binary. pattern: as the vocabulary's library has it.
     The text itself is not carried along unless asked for.
     """
+    small_batches(docs.sparkSession)
     columns = [f for f in docs.schema.fields if f.name not in ("ids", decoded) and (carry_text or f.name != text_col)]
     kept = [f.name for f in columns]
     # white space as the library's engine has it

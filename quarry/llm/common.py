@@ -38,6 +38,17 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows, where the session has Spark's default of ten times as many: texts
+    can be long, and a batch is held several times over on its way to Python and back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == 10_000:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offsets of its rows in them; null counts as empty."""
     if column.null_count:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, M1, M2, blocks, hash_words, keep, mix, utf8
+from .common import GOLDEN, M1, M2, blocks, hash_words, keep, mix, small_batches, utf8
 from .components import components
 
 ROWS, BANDS = 6, 30
@@ -135,6 +135,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     Links hold where 100 * intersection >= percent * union of sets of k-word shingles. ids are integers.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     made = keep(docs.mapInArrow(_sketch(k, rows, n_bands), "id long, n long, key binary, bands array<long>"))
     sketched = made.groupBy("id").agg(F.min_by(F.struct("n", "key", "bands"), "key").alias("s")).select("id", "s.*") if _repeats(made) else made
