@@ -17,8 +17,8 @@ many documents share makes no pairs. Verification compares whole sets, from the
 candidate pairs alone.
 
 Defined results: null and empty texts, and texts without words, have an empty set and are linked with
-nothing; fewer words than a shingle's are one shingle; rows that repeat an id count as one document, whose
-set is that of its rows' least set hash; null ids are linked with nothing.
+nothing; fewer words than a shingle's are one shingle; rows that repeat an id come back each with its
+own set's size, and all with the component of the one whose set has the least hash; null ids are linked with nothing.
 """
 
 from __future__ import annotations
@@ -138,7 +138,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     made = keep(docs.mapInArrow(_sketch(k, rows, n_bands), "id long, n long, key binary, bands array<long>"))
-    sketched = made.groupBy("id").agg(F.min_by(F.struct("n", "key", "bands"), "key").alias("s")).select("id", "s.*") if _repeats(made) else made
+    repeats = _repeats(made)
+    sketched = made.where("id is not null").groupBy("id").agg(F.min_by(F.struct("n", "key", "bands"), "key").alias("s")).select("id", "s.*") if repeats else made
     full = sketched.where("n > 0 and id is not null")
     classes = full.groupBy("key").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = keep(classes)
@@ -163,7 +164,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     named = classes.select("key", "first").join(found.select(F.col("id").alias("first"), "component"), "first", "left")
     named = named.select(F.col("key").alias("_key"), F.coalesce("component", "first").alias("component"))
     sketched = sketched.withColumn("_full", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("key")))
-    return sketched.join(named, F.col("_full") == F.col("_key"), "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    done = sketched.join(named, F.col("_full") == F.col("_key"), "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    if repeats:
+        done = made.select("id", "n").join(done.select("id", "component"), "id", "left")
+    return done
 
 
 def _exploded(k: int):
