@@ -160,4 +160,4 @@ def chunk_markdown(docs: DataFrame, size: int, overlap: int, id_col: str = "doc_
 
 def answer_segments(text):
     """Column form: parts between sentence ends, of two characters or more."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[\n。！？!?；;]+"), F.trim), lambda x: F.length(x) >= 2)
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[\n。！？!?；;]+"), lambda x: F.trim(x)), lambda x: F.length(x) >= 2)

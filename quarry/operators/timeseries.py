@@ -38,5 +38,5 @@ def summaries(stats: DataFrame, series: str, channel: str, k: int = 3) -> DataFr
 
 def channel_names(points: Column, given: Column) -> Column:
     """Given names, else the keys of the points' values in the order of their first use."""
-    own = F.array_distinct(F.filter(F.transform(F.flatten(F.transform(points, lambda p: F.map_keys(p["values"]))), F.trim), lambda x: x != ""))
-    return F.when(given.isNotNull(), F.filter(F.transform(given, F.trim), lambda x: x != "")).otherwise(own)
+    own = F.array_distinct(F.filter(F.transform(F.flatten(F.transform(points, lambda p: F.map_keys(p["values"]))), lambda x: F.trim(x)), lambda x: x != ""))
+    return F.when(given.isNotNull(), F.filter(F.transform(given, lambda x: F.trim(x)), lambda x: x != "")).otherwise(own)
