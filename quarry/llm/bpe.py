@@ -27,10 +27,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import releasing, small_batches
 
-BLOCK_BYTES = 8 << 20
-MAX_WORDS = 450_000
+BLOCK_BYTES = 4 << 20
+MAX_WORDS = 300_000
 ROWS = 10_000
 
 
@@ -184,8 +184,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", as_
             yield from flush()
 
     names = [*kept, "_word", "_places", "_fresh"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns)
-    lines = docs.select(*kept, *[text_col] * (not carry_text)).mapInArrow(cut, f"{fields}, _word array<long>, _places binary, _fresh boolean")
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in columns)
+    lines = docs.select(*kept, *[text_col] * (not carry_text)).mapInArrow(releasing(cut), f"{fields}_word array<long>, _places binary, _fresh boolean")
     folded = lines.select(*kept, F.when(F.col("_word").isNotNull(), fold_merges(F.col("_word"), path)).alias("_ids"), "_places", "_fresh")
 
     pieces = sorted(ranks(path).items(), key=lambda x: x[1])
@@ -227,7 +227,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", as_
                 if batch.column("_fresh")[hi - 1].as_py():
                     flat, at = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    return folded.mapInArrow(join, f"{fields}, ids {'array<int>' if as_array else 'binary'}" + f", `{decoded}` binary" * bool(decoded))
+    return folded.mapInArrow(releasing(join), f"{fields}ids {'array<int>' if as_array else 'binary'}" + f", `{decoded}` binary" * bool(decoded))
 
 
 def decode(ids: list[int], path: str) -> bytes:

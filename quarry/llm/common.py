@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 
 import numpy as np
@@ -41,6 +44,22 @@ def keep(df: DataFrame) -> DataFrame:
 BATCH_ROWS = 1000
 
 
+def releasing(run):
+    """run, a function from batches to batches, which at a partition's end gives free memory back to the
+    system: Python workers wait for more work, and what they hold counts for their executor."""
+
+    def released(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
+
+    return released
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of BATCH_ROWS rows, where the session has Spark's default of ten times as many: texts
     can be long, and a batch is held several times over on its way to Python and back."""
@@ -61,7 +80,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def blocks(offsets: np.ndarray, size: int = 1 << 21):
+def blocks(offsets: np.ndarray, size: int = 1 << 19):
     """Ranges of rows of about so many bytes together, one row at least."""
     lo, n = 0, len(offsets) - 1
     while lo < n:

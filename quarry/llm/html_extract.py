@@ -19,6 +19,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import releasing, small_batches
+
 # Elements and words that mark parts of a page beside its article.
 OUT = frozenset("nav footer aside form dialog menu head".split())
 OUT_WORD = re.compile(
@@ -167,7 +169,8 @@ def extract_pages(pages: DataFrame, html: str = "html", text: str = "text", n_ch
             yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in kept), text, n_chars])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{text}` string", f"`{n_chars}` long"])
-    return pages.select(*[f.name for f in kept], html).mapInArrow(run, schema)
+    small_batches(pages.sparkSession)
+    return pages.select(*[f.name for f in kept], html).mapInArrow(releasing(run), schema)
 
 
 def op10_html_extract(pages: DataFrame) -> DataFrame:

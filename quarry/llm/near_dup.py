@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, M1, M2, blocks, hash_words, keep, mix, small_batches, utf8
+from .common import GOLDEN, M1, M2, blocks, hash_words, keep, mix, releasing, small_batches, utf8
 from .components import components
 
 ROWS, BANDS = 6, 30
@@ -127,7 +127,7 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
     texts_a = docs.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     texts_b = docs.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     with_a = pairs.join(texts_a, "a")
-    return with_a.join(texts_b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_alike(k, percent), "a long, b long")
+    return with_a.join(texts_b, "b").select("a", "b", "text_a", "text_b").mapInArrow(releasing(_alike(k, percent)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS, n_bands: int = BANDS) -> DataFrame:
@@ -137,7 +137,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    made = keep(docs.mapInArrow(_sketch(k, rows, n_bands), "id long, n long, key binary, bands array<long>"))
+    made = keep(docs.mapInArrow(releasing(_sketch(k, rows, n_bands)), "id long, n long, key binary, bands array<long>"))
     repeats = _repeats(made)
     sketched = made.where("id is not null").groupBy("id").agg(F.min_by(F.struct("n", "key", "bands"), "key").alias("s")).select("id", "s.*") if repeats else made
     full = sketched.where("n > 0 and id is not null")
@@ -189,7 +189,7 @@ def _exploded(k: int):
 def _across(left: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) of open documents (bucket, first, n, component) across components that can be links."""
     open_ids = left.select(F.col("first").alias("id"), "n", "component").distinct()
-    rows = texts.join(open_ids.select("id", "component"), "id").mapInArrow(_exploded(k), "id long, component long, shingle long")
+    rows = texts.join(open_ids.select("id", "component"), "id").mapInArrow(releasing(_exploded(k)), "id long, component long, shingle long")
     rows = keep(rows)
     spread = rows.select("shingle", "component").distinct().groupBy("shingle").agg(F.count(F.lit(1)).alias("spread")).where(F.col("spread") <= RARE)
     rare = keep(rows.join(spread, "shingle"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M1, M2, blocks, fold_case, hash_words, held_out, keep, labelled, mix, small_batches, utf8
+from .common import M1, M2, blocks, fold_case, hash_words, held_out, keep, labelled, mix, releasing, small_batches, utf8
 
 FOLDS, HELD = 3, 1
 MAX_EXAMPLES = 20_000
@@ -140,7 +140,7 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     # samples have at most MAX_EXAMPLES rows of two numbers
     labelled_rows = keep(labelled(labels, "toxic", FOLDS, HELD, MAX_EXAMPLES))
-    keys = docs.select("doc_id", "text").join(F.broadcast(labelled_rows), "doc_id").where("text is not null").mapInArrow(_least, "doc_id long, mark int, key long")
+    keys = docs.select("doc_id", "text").join(F.broadcast(labelled_rows), "doc_id").where("text is not null").mapInArrow(releasing(_least), "doc_id long, mark int, key long")
     sample = keep(keys.groupBy("key", "mark").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "mark"))
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text is not null")
     rows = sample.groupBy("mark").count().collect()
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         model = Model(np.zeros(0, np.uint64), np.zeros(0), float(n1 > 0))
         model.index = Index(np.zeros((0, 0), np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64))
         return model
-    seen = texts.mapInArrow(_distinct_terms, "mark int, terms array<long>").select("mark", F.explode("terms").alias("term"))
+    seen = texts.mapInArrow(releasing(_distinct_terms), "mark int, terms array<long>").select("mark", F.explode("terms").alias("term"))
     counts = seen.groupBy("term").agg(F.sum("mark").cast("double").alias("a"), F.sum(1 - F.col("mark")).cast("double").alias("b"))
     counts = counts.where(F.col("a") + F.col("b") >= MIN_DF).withColumn("g2", _g2(F.col("a"), F.col("b"), n1, n0)).where(F.col("g2") >= MIN_G2)
     lift = F.col("a") / (F.col("a") + F.col("b")) * ((n1 + n0) / n1)
@@ -166,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             columns = [batch.column("doc_id"), batch.column("mark"), pa.array([x for x, _ in made], pa.list_(pa.int64())), pa.array([x for _, x in made], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "own", "weights"])
 
-    examples = texts.mapInArrow(vectors, "doc_id long, mark int, own array<long>, weights array<double>").where("size(own) > 0")
+    examples = texts.mapInArrow(releasing(vectors), "doc_id long, mark int, own array<long>, weights array<double>").where("size(own) > 0")
     examples = sorted(examples.collect(), key=lambda r: r["doc_id"])
     dense = np.zeros((len(examples), len(terms)), np.float32)
     for i, r in enumerate(examples):
@@ -192,7 +192,7 @@ def score_toxicity(docs: DataFrame, model: Model, score: str = "score", evidence
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), f"`{score}` double"] + [f"`{evidence}` array<struct<doc_id: long, label: int, cosine: double>>"] * bool(evidence))
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(releasing(run), schema)
 
 
 def op9_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
