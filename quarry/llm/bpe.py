@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import releasing, small_batches
 
 BLOCK_BYTES = 4 << 20
-MAX_WORDS = 300_000
+MAX_WORDS = 420_000
 ROWS = 10_000
 
 
@@ -65,7 +65,7 @@ def rank_map(path: str) -> tuple[Column, int]:
     table: dict[int, list[int]] = {}
     n = 1 << (len(merges(path))).bit_length()
     for k, r in merges(path).items():
-        table.setdefault((k ^ k >> 13) & n - 1, []).append(k << 17 | r)
+        table.setdefault((k ^ k >> 11) & n - 1, []).append(k << 17 | r)
     text = "[" + ",".join("[" + ",".join(map(str, table.get(b, []))) + "]" for b in range(n)) + "]"
     return F.from_json(F.lit(text), "array<array<long>>"), n
 
@@ -73,10 +73,10 @@ def rank_map(path: str) -> tuple[Column, int]:
 def fold_merges(word: Column, path: str) -> Column:
     """The ids of a word. word: an element for each byte, as byte_elements() makes them."""
     known, n = rank_map(path)
-    ID, TAIL = F.lit((1 << PLACE) - 1), F.lit((1 << RANK) - 1)
+    ID, TAIL, AT = F.lit((1 << PLACE) - 1), F.lit((1 << RANK) - 1), F.lit((1 << RANK) - (1 << PLACE))
 
     def rank(k: Column) -> Column:
-        bucket = known[k.bitwiseXOR(F.shiftright(k, 13)).bitwiseAND(F.lit(n - 1)).cast("int")]
+        bucket = known[k.bitwiseXOR(F.shiftright(k, 11)).bitwiseAND(F.lit(n - 1)).cast("int")]
         return F.aggregate(bucket, F.lit(NONE).cast("long"), lambda r, x: F.when(F.shiftright(x, 17) == k, x.bitwiseAND(F.lit(NONE))).otherwise(r))
 
     def merge(s: Column, least: Column, p: Column) -> Column:
@@ -86,7 +86,7 @@ def fold_merges(word: Column, path: str) -> Column:
         right = F.when(p + 1 < F.size(s), F.shiftleft(new, PLACE) + s[p + 1].bitwiseAND(ID)).otherwise(no_pair)
 
         def put(r: Column) -> Column:
-            own = F.shiftleft(r[1], RANK) + least.bitwiseAND(TAIL) - least.bitwiseAND(ID) + new
+            own = F.shiftleft(r[1], RANK) + least.bitwiseAND(AT) + new
             before = F.array(F.shiftleft(r[0], RANK) + s[p - 2].bitwiseAND(TAIL), own)
             after = F.transform(F.slice(s, p + 2, F.size(s)), lambda x: x - F.lit(1 << PLACE))
             # flatten, as concat takes longer here
@@ -102,9 +102,12 @@ def fold_merges(word: Column, path: str) -> Column:
     return F.transform(done, lambda x: x.bitwiseAND(ID).cast("int"))
 
 
-def byte_elements(words: list[str], known: np.ndarray, pair: np.ndarray) -> pa.Array:
-    """For each word the array that the fold begins with. known, pair: as byte_tables() gives them."""
+def byte_elements(words: list[str], known: np.ndarray, pair: np.ndarray, whole: dict[bytes, int]) -> pa.Array:
+    """For each word the array that the fold begins with: an element for each byte, or one for a word that is
+    a token itself, as the library has it. known, pair: as byte_tables() gives them; whole: rank by bytes."""
     raw = [x.encode() for x in words]
+    token = np.fromiter((whole.get(x, -1) for x in raw), np.int64, len(raw))
+    raw = [x if t < 0 else x[:1] for x, t in zip(raw, token.tolist(), strict=True)]
     size = np.fromiter(map(len, raw), np.int64, len(raw))
     data = np.frombuffer(b"".join(raw), np.uint8)
     end = np.cumsum(size)
@@ -113,7 +116,9 @@ def byte_elements(words: list[str], known: np.ndarray, pair: np.ndarray) -> pa.A
         rank[:-1] = pair[data[:-1], data[1:]]
         rank[end[size > 0] - 1] = NONE
     place = np.arange(len(data)) - np.repeat(end - size, size)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], end]), pa.int32()), pa.array(rank << RANK | place << PLACE | known[data]))
+    ids = known[data]
+    ids[end[token >= 0] - 1] = token[token >= 0]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], end]), pa.int32()), pa.array(rank << RANK | place << PLACE | ids))
 
 
 @lru_cache(maxsize=4)
@@ -141,7 +146,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", as_
     columns = [f for f in docs.schema.fields if f.name not in ("ids", decoded) and (carry_text or f.name != text_col)]
     kept = [f.name for f in columns]
     # white space as the library's engine has it
-    bytes_ = byte_tables(path)  # sent to the tasks, which don't read the vocabulary's file
+    tables = (*byte_tables(path), ranks(path))  # sent to the tasks, which don't read the vocabulary's file
     own = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
 
     def cut(batches):
@@ -155,7 +160,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", as_
             for lo in range(0, len(words), ROWS):
                 part = words[lo : lo + ROWS]
                 n = len(part)
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(n, t) for t in types), byte_elements(part, *bytes_), pa.nulls(n, pa.binary()), pa.array([False] * n)], names)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(n, t) for t in types), byte_elements(part, *tables), pa.nulls(n, pa.binary()), pa.array([False] * n)], names)
             sent = len(places)
             fresh = sent > MAX_WORDS
             for i, (batch, found) in enumerate(waiting):
