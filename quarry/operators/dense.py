@@ -59,7 +59,7 @@ def dense_scores(queries: DataFrame, rows: DataFrame, k: int, metric: str = "l2s
 
         return rows.mapInArrow(run, out)
     blocks = -(-n // BLOCK)
-    dealt = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    dealt = queries.select("query_id", F.col("v").alias("q")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     slices = max(1, -(-rows.count() // 100_000))
     spread = rows.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     dealt = dealt.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
@@ -68,7 +68,7 @@ def dense_scores(queries: DataFrame, rows: DataFrame, k: int, metric: str = "l2s
         if not a.num_rows or not b.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
         a, b = a.combine_chunks(), b.combine_chunks()
-        q, x = (_matrix(t["v"].combine_chunks(), t.num_rows) for t in (a, b))
+        q, x = _matrix(a["q"].combine_chunks(), a.num_rows), _matrix(b["v"].combine_chunks(), b.num_rows)
         return pa.Table.from_batches([_best(a["query_id"].to_numpy(), q, b["id"].to_numpy(), x, k, metric)])
 
     return dealt.groupBy("block", "slice").cogroup(spread.groupBy("block", "slice")).applyInArrow(meet, out)

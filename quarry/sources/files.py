@@ -118,10 +118,21 @@ def load_documents(spark: SparkSession, folder: str) -> DataFrame:
     return docs.withColumn("source", F.regexp_extract("relative_path", r"([^/]+)$", 1))
 
 
+def _read_text(spark: SparkSession, path: str) -> str:
+    """A small file by Hadoop's file systems; Spark's readers pass over names that begin with a dot."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(conf).open(at)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def with_sidecar(docs: DataFrame, sidecar: str) -> DataFrame:
     """docs with meta, a map of what the sidecar's JSON says of their files; some keys are never taken."""
     spark = docs.sparkSession
-    raw = spark.read.text(sidecar, wholetext=True).select(F.from_json("value", "files map<string, map<string, string>>").alias("j"))
+    raw = spark.createDataFrame([(_read_text(spark, sidecar),)], "value string").select(F.from_json("value", "files map<string, map<string, string>>").alias("j"))
     files = raw.select(F.explode("j.files").alias("_path", "_meta"))
     meta = F.map_filter("_meta", lambda k, v: ~k.isin(*BLOCKED) & v.isNotNull())
     return docs.join(files.select("_path", meta.alias("meta")), F.col("relative_path") == F.col("_path"), "left").drop("_path")
