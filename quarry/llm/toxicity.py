@@ -2,9 +2,10 @@
 
 Terms are words (runs of letters, lower case) and their first 4, 5 and 6 bytes, so that inflected forms
 of a stem meet; a beginning that a text has twice or three times is a term more for each. Near copies among
-the examples (the same least hash of three words) count once. The vocabulary is the terms whose counts among the labelled examples differ between the
-labels by a log-likelihood ratio of at least MIN_G2 and by a factor of MIN_LIFT from the base rate, MAX_TERMS at
-most; its size and the number of
+the examples (the same least hash of three words) count once. The vocabulary is the terms in MIN_DF examples or more
+whose counts differ between the labels (log-likelihood ratio of at least 2 ln 100n for n examples, as more
+examples have more terms to differ by chance), and of whose examples a share of MIN_SHARE is toxic, or of the
+base rate by MIN_LIFT at most; MAX_TERMS of them at most. Its size and the number of
 examples are bounded parameters, so the index has a bounded size. A text's vector has (1 + ln tf) * idf.
 
 The index is inverted and block-max: examples lie in blocks of BLOCK, ordered by their heaviest term; each
@@ -19,6 +20,8 @@ without labelled examples every score is 0.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +32,7 @@ from .common import M1, M2, blocks, fold_case, hash_words, held_out, keep, label
 FOLDS, HELD = 3, 1
 MAX_EXAMPLES = 20_000
 MAX_TERMS = 1024
-MIN_G2, MIN_DF, MIN_LIFT = 20.0, 4, 2.5
+MIN_DF, MIN_SHARE, MIN_LIFT = 4, 0.85, 2.5
 PREFIXES = (4, 5, 6)
 K, BLOCK, PRIOR = 15, 64, 1.0
 REJECT = 0.7
@@ -151,9 +154,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return model
     seen = texts.mapInArrow(releasing(_distinct_terms), "mark int, terms array<long>").select("mark", F.explode("terms").alias("term"))
     counts = seen.groupBy("term").agg(F.sum("mark").cast("double").alias("a"), F.sum(1 - F.col("mark")).cast("double").alias("b"))
-    counts = counts.where(F.col("a") + F.col("b") >= MIN_DF).withColumn("g2", _g2(F.col("a"), F.col("b"), n1, n0)).where(F.col("g2") >= MIN_G2)
-    lift = F.col("a") / (F.col("a") + F.col("b")) * ((n1 + n0) / n1)
-    counts = counts.where((lift >= MIN_LIFT) | (lift <= 1 / MIN_LIFT))
+    counts = counts.where(F.col("a") + F.col("b") >= MIN_DF).withColumn("g2", _g2(F.col("a"), F.col("b"), n1, n0)).where(F.col("g2") >= 2 * math.log(100 * (n1 + n0)))
+    share = F.col("a") / (F.col("a") + F.col("b"))
+    counts = counts.where((share >= MIN_SHARE) | (share <= n1 / (n1 + n0) / MIN_LIFT))
     top = counts.orderBy(F.desc("g2"), "term").limit(MAX_TERMS).collect()
     terms = np.array([r["term"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(terms)
