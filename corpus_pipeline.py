@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, line_dedup, mixing, near_dup, toxicity
-from quarry.llm.common import checkpoint_folder, table
+from quarry.llm.common import checkpoint_folder, keep, small, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id of each group of near copies."""
     found = near_dup.near_duplicates(docs)
-    dropped = found.where(F.col("id") != F.col("component")).select(F.col("id").alias("_dropped"))
+    dropped = small(keep(found.where(F.col("id") != F.col("component")).select(F.col("id").alias("_dropped"))))
     return docs.join(dropped, docs["doc_id"] == F.col("_dropped"), "left_anti")
 
 

@@ -41,6 +41,14 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if its rows, which are of a few numbers, are at most BROADCAST_ROWS. df: kept."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 BATCH_ROWS = 1000
 
 

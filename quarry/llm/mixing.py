@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, keep
+from .common import WORD, keep, small
 
 WEIGHTS = (5, 2, 1)
 BLOCKS = 4096
@@ -143,9 +143,10 @@ def plan_mix(docs: DataFrame, seed: int = 0, levels: int = SHARDS_LOG2, id_col:
     )
     # each row decides for itself from its block's row
     rows = base.withColumn("_key", key)
-    some = shares.select(F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "n_blocks")
+    # a row for each source, and one for each block; beyond that many sources, joins that split a hot one
+    some = small(shares).select(F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "n_blocks")
     rows = rows.join(some, F.col(source_col).eqNullSafe(F.col("_s"))).withColumn("_block", block())
-    chosen = chosen.select(F.col("source").alias("_c"), F.col("block").alias("_b"), "passes", "whole", "shards", "is_edge", "last_key", "fill_key")
+    chosen = small(chosen).select(F.col("source").alias("_c"), F.col("block").alias("_b"), "passes", "whole", "shards", "is_edge", "last_key", "fill_key")
     rows = rows.join(chosen, F.col("_s").eqNullSafe(F.col("_c")) & (F.col("_block") == F.col("_b")))
     more = F.col("whole") | (F.coalesce("is_edge", F.lit(False)) & F.coalesce((F.col("_key") <= F.col("last_key")) | (F.col("_key") == F.col("fill_key")), F.col("_key") == F.col("fill_key"), F.lit(False)))
     rows = rows.withColumn("_copies", (F.col("passes") + more.cast("long")).cast("long"))
