@@ -5,7 +5,8 @@ headers, footers, sidebars, forms, scripts, and elements whose class, id or role
 comments and the like) are left out. Pass one classifies each block from its length, its link density
 and the density of stop words in it; a block within <article> or <main> needs no stop words. Short
 blocks stay ambiguous. Pass two gives each ambiguous block the label of its nearest decided neighbours:
-good if either side's is, or if no block is decided and the block lies within the article.
+good if either side's is, or if it lies within the article. Where an element holds the article, blocks
+outside it are no part of it.
 
 Defined results: null or empty html gives an empty text; unclosed elements end where their parent or the
 page does; a bad character reference stays as it is; each row is extracted by itself.
@@ -24,11 +25,14 @@ from .common import releasing, small_batches
 # Elements and words that mark parts of a page beside its article.
 OUT = frozenset("nav footer aside form dialog menu head".split())
 OUT_WORD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|"
+    r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|"
     r"sidebar|side|aside|widget|menu\w*|nav\w*|navbar|breadcrumbs?|pagination|pager|toolbar|tabs|footer|header|masthead|topbar|comments?|commentlist|disqus|replies|respond|"
-    r"share|sharing|social|related|recommend\w*|tags|search|form|legal|disclaimer)(?:$|[\s_-])",
+    r"share|sharing|social|related|recommend\w*|tags|search|form|legal|disclaimer)",
     re.I,
 )
+PART = re.compile(r"[\s_:-]+|(?<=[a-z])(?=[A-Z])")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+OF_READERS = re.compile(r"comment|reply|replies", re.I)
 OUT_ROLE = re.compile(r"\brole\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|form|dialog|alert|menu)", re.I)
 NAMED = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 BLOCK = frozenset(
@@ -51,6 +55,19 @@ LONG, SHORT = 70, 25
 LINKED, STOPPED = 0.5, 0.12
 
 
+def _beside(attributes: str, tag: str, inside: bool) -> bool:
+    """Whether an element's attributes say that it isn't of the article."""
+    if HIDDEN.search(attributes):
+        return True
+    named = [x[1] or x[2] or x[3] or "" for x in NAMED.finditer(attributes)]
+    if tag in ("article", "main", "body", "html"):
+        return tag == "article" and any(map(OF_READERS.search, named))
+    if OUT_ROLE.search(attributes):
+        return True
+    words = [w.lower() for n in named for w in PART.split(n) if OUT_WORD.fullmatch(w)]
+    return any(not (inside and w in ("header", "masthead")) for w in words)
+
+
 def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
     """Text, characters in links, whether in the article, and whether a heading, of each block."""
     found, parts, linked = [], [], 0
@@ -108,12 +125,10 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
         if tag in BLOCK:
             close()
             heading, anchors = tag in ("h1", "h2", "h3", "h4", "h5", "h6"), 0
-        if tag in OUT or tag == "header" and not article:
-            skip.append(tag)
-        elif tag in ("article", "main", "body", "html"):
-            article += tag in ("article", "main")
-        elif m[4] and (OUT_ROLE.search(m[4]) or any(OUT_WORD.search(x[1] or x[2] or x[3] or "") for x in NAMED.finditer(m[4]))):
+        if tag in OUT or tag == "header" and not article or m[4] and _beside(m[4], tag, article > 0):
             skip.append(tag)
+        elif tag in ("article", "main"):
+            article += 1
         elif tag == "a":
             anchors += 1
     if at < len(page) and not skip:
@@ -150,6 +165,9 @@ def labels(found: list[tuple[str, int, bool, bool]]) -> list[bool]:
         else:
             # in the article, a list of links beside it says nothing of a short block
             out[i] = bool(before[i] or after) or found[i][2]
+    if any(good and b[2] for good, b in zip(out, found, strict=True)):
+        # where an element holds the article, what is beside it isn't part of it
+        out = [good and b[2] for good, b in zip(out, found, strict=True)]
     return out
 
 

@@ -4,8 +4,9 @@ A document's set is the distinct 64-bit hashes of the shingles of its words. Doc
 one class at once, and only a class's first document goes on. Its sketch has T coordinates: in round i
 each element goes to the coordinate that a hash of the element and i names, with a value that begins with i; in
 round T + i all elements go to coordinate i. Rounds end when every coordinate is filled, so none stays empty,
-and two sketches agree in a share of coordinates that is concentrated about the similarity. BANDS bands of
-ROWS coordinates are hashed to buckets: at similarity 0.85 a pair shares no bucket once in about 1.5 million.
+and two sketches agree in a share of coordinates that is concentrated about the similarity. Bands of
+some coordinates each are hashed to buckets: with 36 of 5 a pair of similarity 0.8 shares no bucket once in about
+1.6 million, with 30 of 6 a pair of 0.85 once in about 1.5 million.
 
 A bucket's documents are compared with its first one only, which gives links enough for most. Documents in
 buckets that hold more than one component after that are open. Of their shingles those that lie in at most
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import GOLDEN, M1, M2, blocks, hash_words, keep, mix, releasing, small_batches, utf8
 from .components import components
 
-ROWS, BANDS = 6, 30
+ROWS, BANDS = 5, 36
 RARE = 8
 IN_WORD = np.ones(256, bool)
 IN_WORD[[9, 10, 11, 12, 13, 32]] = False
@@ -221,5 +222,5 @@ def _repeats(made: DataFrame) -> bool:
 
 
 def op5_near_dup(docs: DataFrame) -> DataFrame:
-    found = near_duplicates(docs, k=3, percent=85)
+    found = near_duplicates(docs, k=3, percent=85, rows=6, n_bands=30)
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
