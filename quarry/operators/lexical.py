@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import match_terms, normalize_search, strip
 
+from .sizes import small
+
 K1, B, EPSILON = 1.5, 0.75, 0.25
 MAX_QUERY_TERMS = 100_000
 
@@ -44,9 +46,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def _asked(tok: DataFrame, asked: DataFrame) -> DataFrame:
     """Postings of the asked terms, with their lengths. Asked terms are broadcast while they are few."""
-    terms = asked.select("term").distinct()
-    if terms.limit(MAX_QUERY_TERMS + 1).count() <= MAX_QUERY_TERMS:
-        terms = F.broadcast(terms)
+    terms = small(asked.select("term").distinct(), MAX_QUERY_TERMS)
     long = tok.select("id", F.greatest(F.size("terms"), F.lit(1)).cast("long").alias("dl"), F.explode("terms").alias("term"))
     return long.join(terms, "term", "left_semi").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -79,7 +79,7 @@ def bm25(tok: DataFrame, queries: DataFrame, variant: str = "legacy", scope: Dat
 def with_phrase_bonus(docs: DataFrame, scores: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Adds 0.8 where a document's text holds the query, and 1.2 where its normal form holds the query's;
     a document without any term of the query can enter by these."""
-    asked = F.broadcast(queries.select("query_id", F.lower(strip(F.col("query"))).alias("_p"), normalize_search(F.col("query")).alias("_n")))
+    asked = small(queries).select("query_id", F.lower(strip(F.col("query"))).alias("_p"), normalize_search(F.col("query")).alias("_n"))
     body = docs.select(F.col(id_col).alias("id"), F.lower(text_col).alias("_t"), normalize_search(F.col(text_col)).alias("_m"))
     holds = lambda a, b: (F.col(b) != "") & F.contains(F.col(a), F.col(b))
     hits = body.join(asked, holds("_t", "_p") | holds("_m", "_n"))

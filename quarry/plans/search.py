@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quarry.operators import dense, lexical, references, rerank
 from quarry.operators.filters import Condition, compile_filter
 from quarry.operators.fusion import fuse, merge_candidates
+from quarry.operators.sizes import small
 from quarry.operators.split import chunk_documents
 
 from .config import EngineConfig
@@ -65,7 +66,7 @@ def search(chunks: DataFrame, queries: DataFrame, config: EngineConfig | None =
     lex = lexical.top(scores, config.lexical_top_k, "query_id")
     near = dense.dense_topk(queries.select("query_id", "v"), rows.select("id", "v"), config.dense_top_k, config.metric)
     fused = fuse(merge_candidates(near, lex), config=config)
-    full = fused.join(rows.select("id", text, "doc_id", "chunk_index", "source"), "id").join(F.broadcast(queries.select("query_id", "query")), "query_id")
+    full = fused.join(rows.select("id", text, "doc_id", "chunk_index", "source"), "id").join(small(queries.select("query_id", "query")), "query_id")
     ranked = rerank.heuristic_rerank(full, text=text)
     ranked = lexical.top(ranked.where(F.col("relevance") >= config.score_threshold), config.rerank_top_k * config.overfetch, "query_id", score="rerank_score")
     chosen = rerank.diversify(ranked, group, config.rerank_top_k)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.operators import dense, evaluate, fusion, index, lexical, memory, references, rerank, split, timeseries
 from quarry.operators.filters import Condition, compile_filter, default_modality
+from quarry.operators.sizes import small
 from quarry.sources.files import html_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -552,7 +553,7 @@ def _(spark, d):
 @add("eval_positives", "select item_id, doc_id from benchmark b join documents d on contains(d.text, b.text) where b.text <> ''")
 def _(spark, d):
     items = table(spark, d, "benchmark").where("text <> ''").select("item_id", F.col("text").alias("passage"))
-    return docs_of(spark, d).join(F.broadcast(items), F.contains("text", "passage")).select("item_id", "doc_id")
+    return docs_of(spark, d).join(small(items), F.contains("text", "passage")).select("item_id", "doc_id")
 
 
 POS = "po as (select item_id as query_id, doc_id as positive from benchmark b join documents d on contains(d.text, b.text) where b.text <> ''), ru as (select item_id as query_id, doc_id, row_number() over (partition by item_id order by md5(item_id || ':' || doc_id), doc_id) as rank from benchmark join documents on doc_id % 5 = item_id % 5), rf as (select po.query_id, positive, min(rank) as rank from po left join ru on po.query_id = ru.query_id and positive = doc_id group by 1, 2)"
@@ -560,7 +561,7 @@ POS = "po as (select item_id as query_id, doc_id as positive from benchmark b jo
 
 def first_ranks(spark: SparkSession, d: str) -> DataFrame:
     positives = QUERIES["eval_positives"](spark, d).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("positive"))
-    items = F.broadcast(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id")))
+    items = small(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id")))
     docs = docs_of(spark, d).select(F.col("doc_id").alias("id"))
     # a made-up run with hits at all ranks: documents of the item's class, in hashed order
     met = docs.join(items, F.col("id") % 5 == F.col("query_id") % 5)
