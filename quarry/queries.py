@@ -52,7 +52,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def add(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
-        QUERIES[name] = f
+        def long_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+            """Ranks as the SQL has them."""
+            rows = f(spark, sf_dir)
+            return rows.withColumns({c: F.col(c).cast("long") for c in ("rank", "place", "dense_rank", "lexical_rank") if c in rows.columns})
+
+        QUERIES[name] = long_ranks
         if sql is not None:
             SQL[name] = sql
         return f
@@ -286,7 +291,7 @@ def _(spark, d):
     return named(lexical.top(fusion.merge_lists(one, two), 20, "query_id", score="fused_score"))
 
 
-@add("path_bonus", "select doc_id, least(0.06, 0.02 * (contains(source, 'src1')::int + contains(source, '0')::int + contains(source, 'rc')::int + contains(source, '19')::int)) as bonus from documents")
+@add("path_bonus", "select doc_id, least(0.06, 0.02 * (contains(source, 'src1')::int + contains(source, '0')::int + contains(source, 'rc')::int + contains(source, '19')::int))::double as bonus from documents")
 def _(spark, d):
     hints = F.array(*map(F.lit, ("src1", "0", "rc", "19")))
     return docs_of(spark, d).select("doc_id", fusion.path_bonus(F.col("source"), hints).cast("double").alias("bonus"))
@@ -400,7 +405,7 @@ def _(spark, d):
     return references.expand_neighbours(chunks, 1, "source").select("doc_id", F.nullif(F.col("context"), F.lit("")).alias("context")).where("context is not null")
 
 
-@add("reference_overview", f"{RANKED} select query_id, count(*) as total, count_if(source = 'text') as n_text, count(distinct source) as n_modalities from rl group by 1")
+@add("reference_overview", f"{RANKED} select query_id, count(*) as total, count_if(source = 'text')::bigint as n_text, count(distinct source) as n_modalities from rl group by 1")
 def _(spark, d):
     return references.overview(ranked_list(spark, d), "source", "query_id")
 
@@ -460,7 +465,7 @@ def _(spark, d):
     return planned(spark, d)
 
 
-@add("index_mode", f"with {PLAN} select count_if(kind = 'reuse') as reuse, count_if(kind = 'new') as new, count_if(kind = 'modified') as modified, count_if(kind = 'deleted') as deleted, case when count_if(kind <> 'reuse') = 0 then 'reuse' when count_if(kind in ('deleted', 'modified')) > 0 then 'full' else 'append' end as mode from pk")
+@add("index_mode", f"with {PLAN} select count_if(kind = 'reuse')::bigint as reuse, count_if(kind = 'new')::bigint as new, count_if(kind = 'modified')::bigint as modified, count_if(kind = 'deleted')::bigint as deleted, case when count_if(kind <> 'reuse') = 0 then 'reuse' when count_if(kind in ('deleted', 'modified')) > 0 then 'full' else 'append' end as mode from pk")
 def _(spark, d):
     return index.index_mode(planned(spark, d))
 
