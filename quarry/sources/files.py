@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TEXT = ("txt", "md", "markdown", "html", "htm", "json", "docx", "epub")
+# fixed value: the name of the file with metadata of its folder's files
 SIDECAR = ".rag_file_metadata.json"
 BLOCKED = ("source", "source_path", "relative_path", "extension")
 
