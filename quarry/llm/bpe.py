@@ -32,6 +32,7 @@ from .common import releasing, small_batches
 BLOCK_BYTES = 4 << 20
 MAX_WORDS = 420_000
 ROWS = 10_000
+PART_WORDS = 200_000
 
 
 @lru_cache(maxsize=4)
@@ -136,6 +137,10 @@ def _gather(flat: np.ndarray, at: np.ndarray, pick: np.ndarray) -> np.ndarray:
     return flat[np.arange(end[-1] if len(end) else 0) + np.repeat(at[pick] - end + size, size)]
 
 
+def _binary(data: np.ndarray, edges: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", as_array: bool = True, decoded: str | None = None, carry_text: bool = False) -> DataFrame:
     """docs with ids: an array, or without as_array their little-endian unsigned 32-bit bytes.
 
@@ -221,14 +226,23 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", as_
                     flat = np.concatenate([flat, *parts])
                     at = np.concatenate([at, at[-1] + np.cumsum(np.concatenate(sizes))])
                     parts, sizes = [], []
-                made, texts = [], []
-                for x in place.slice(lo, hi - lo).to_pylist():
-                    ids = _gather(flat, at, np.frombuffer(x, np.int32))
-                    made.append(ids if as_array else ids.astype("<u4").tobytes())
+                # documents in parts of about PART_WORDS words, all of a part's at once
+                start = np.frombuffer(place.buffers()[1], np.int32)[place.offset + lo : place.offset + hi + 1].astype(np.int64)
+                cuts = [0, *(np.flatnonzero(np.diff(start[:-1] // (4 * PART_WORDS))) + 1), hi - lo]
+                for i, j in zip(cuts, cuts[1:], strict=False):
+                    words = np.frombuffer(place.buffers()[2], np.uint8)[start[i] : start[j]].view(np.int32) if start[j] > start[i] else np.zeros(0, np.int32)
+                    ids = _gather(flat, at, words)
+                    count = np.concatenate([[0], np.cumsum(at[words + 1] - at[words])])
+                    edges_ = count[(start[i : j + 1] - start[i]) // 4]
+                    if as_array:
+                        made = pa.ListArray.from_arrays(pa.array(edges_, pa.int32()), pa.array(ids, pa.int32()))
+                    else:
+                        made = _binary(ids.astype("<u4").view(np.uint8), 4 * edges_)
+                    out = [*(batch.column(c).slice(lo + i, j - i) for c in kept), made]
                     if decoded:
-                        texts.append(_gather(piece_data, piece_at, ids).tobytes())
-                out = [*(batch.column(c).slice(lo, hi - lo) for c in kept), pa.array(made, pa.list_(pa.int32()) if as_array else pa.binary())]
-                yield pa.RecordBatch.from_arrays([*out, pa.array(texts, pa.binary())] if decoded else out, [*kept, "ids", *[decoded] * bool(decoded)])
+                        length = np.concatenate([[0], np.cumsum(piece_at[ids + 1] - piece_at[ids])])
+                        out.append(_binary(_gather(piece_data, piece_at, ids), length[edges_]))
+                    yield pa.RecordBatch.from_arrays(out, [*kept, "ids", *[decoded] * bool(decoded)])
                 if batch.column("_fresh")[hi - 1].as_py():
                     flat, at = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
