@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import releasing, small_batches
 
 BLOCK_BYTES = 4 << 20
-MAX_WORDS = 420_000
+MAX_WORDS = 600_000
 ROWS = 10_000
 PART_WORDS = 200_000
 
