@@ -1,26 +1,26 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 Terms are words (runs of letters, lower case) and their first 4, 5 and 6 bytes, so that inflected forms
-of a stem meet; a beginning that a text has twice or three times is a term more for each. Near copies among
-the examples (the same least hash of three words) count once. The vocabulary is the terms in MIN_DF examples or more
-whose counts differ between the labels (log-likelihood ratio of at least 2 ln 100n for n examples, as more
-examples have more terms to differ by chance), and of whose examples a share of MIN_SHARE is toxic, or of the
-base rate by MIN_LIFT at most; MAX_TERMS of them at most. Its size and the number of
-examples are bounded parameters, so the index has a bounded size. A text's vector has (1 + ln tf) * idf.
-
-The index is inverted and block-max: examples lie in blocks of BLOCK, ordered by their heaviest term; each
-term has its postings by block and its largest weight in each block. A query adds the largest weights to
-a bound for each block, visits blocks by falling bound and stops when no bound exceeds the K-th cosine
-found: the K nearest are exact. Their votes weigh 1 / (0.1 + 1 - cosine); the score is the weighted share of
+of a stem meet; a beginning that a text has twice or three times is a term more for each. The vocabulary is
+every term of the examples. A text's vector has (1 + ln tf) * idf * (1 + g) for each of its terms, where g is
+the log-likelihood ratio of the term's counts in the two labels: about 1 for a term that they share, hundreds
+for one that tells them apart. Every example is indexed under all its terms. Near copies among the examples
+count once: those that share the least hash of three words, and COPY of the SKETCH least ones, with the
+first example of their label that has it. The number of examples is a bounded parameter, so the index has a bounded size.
+
+The index has the COMMON terms of most examples as a matrix and the others as inverted lists. Cosines with all
+examples are added up; those within float32's error of the K-th are added again in float64: the K nearest
+are exact. Their votes weigh 1 / (0.1 + 1 - cosine); the score is the weighted share of
 label 1, with the labels' base rate as PRIOR votes more, and the neighbours are the evidence.
 
-Defined results: a text without terms of the vocabulary (null and empty texts too) has the base rate;
+Defined results: a text that shares no term with an example (null and empty texts too) has the base rate;
 without labelled examples every score is 0.
 """
 
 from __future__ import annotations
 
-import math
+import zlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +31,10 @@ from .common import M1, M2, blocks, fold_case, hash_words, held_out, keep, label
 
 FOLDS, HELD = 3, 1
 MAX_EXAMPLES = 20_000
-MAX_TERMS = 1024
-MIN_DF, MIN_SHARE, MIN_LIFT = 4, 0.85, 2.5
+SKETCH, COPY = 128, 0.8
 PREFIXES = (4, 5, 6)
 K, BLOCK, PRIOR = 15, 64, 1.0
+COMMON, NEAR = 512, 1e-4
 REJECT = 0.7
 
 LETTERS = np.zeros(256, bool)
@@ -49,7 +49,7 @@ def _repeated(found: np.ndarray) -> np.ndarray:
 
 def terms_of(texts: pa.Array, least: bool = False):
     """For each row the terms of its text, repeats too, as unsigned 64-bit hashes; with least, its
-    least hash of three words instead."""
+    SKETCH least hashes of three words instead."""
     data, at = utf8(texts)
     for lo, hi in blocks(at):
         part = fold_case(data[at[lo] : at[hi]])
@@ -58,7 +58,7 @@ def terms_of(texts: pa.Array, least: bool = False):
             own = slice(row[i], row[i + 1])
             if least:
                 w = words[own]
-                yield mix(w[:-2] + M1 * mix(w[1:-1] + M2 * w[2:])).min() if len(w) > 2 else w.sum(dtype=np.uint64)
+                yield np.unique(mix(w[:-2] + M1 * mix(w[1:-1] + M2 * w[2:])))[:SKETCH] if len(w) > 2 else w.sum(dtype=np.uint64, keepdims=True)
                 continue
             begins = [x[own] for x in cut]
             found = np.concatenate([words[own], *begins, *(_repeated(x[x != 0]) for x in begins)])
@@ -67,8 +67,26 @@ def terms_of(texts: pa.Array, least: bool = False):
 
 def _least(batches):
     for batch in batches:
-        keys = np.array(list(terms_of(batch.column("text"), least=True)), np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(keys)], ["doc_id", "mark", "key"])
+        keys = pa.array([x.tobytes() for x in terms_of(batch.column("text"), least=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), keys], ["doc_id", "mark", "key"])
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> float:
+    """The Jaccard similarity of two sets from their least hashes; exact for sets of up to SKETCH."""
+    both = np.union1d(a, b)[:SKETCH]
+    return float(np.isin(both, np.intersect1d(a, b)).mean())
+
+
+def _without_copies(rows: list) -> list[tuple[int, int]]:
+    """doc_id and mark of the examples, near copies of a group's first one left out."""
+    first: dict[tuple, np.ndarray] = {}
+    kept = []
+    for r in sorted(rows, key=lambda r: r["doc_id"]):
+        own = np.frombuffer(r["key"], np.uint64)
+        other = first.setdefault((int(own[0]), r["mark"]), own)
+        if other is own or _alike(own, other) < COPY:
+            kept.append((r["doc_id"], r["mark"]))
+    return kept
 
 
 def _distinct_terms(batches):
@@ -87,94 +105,170 @@ def _g2(a, b, n1: int, n0: int):
 
 
 class Index:
-    """A block-max inverted index of unit vectors."""
+    """Unit vectors, by their terms: a matrix of the first COMMON terms, inverted lists of the others."""
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, marks: np.ndarray):
-        order = np.lexsort((ids, vectors.argmax(axis=1))) if len(vectors) else np.zeros(0, np.int64)
-        vectors, self.ids, self.marks = vectors[order], ids[order], marks[order]
-        n, v = vectors.shape
-        self.n_blocks = -(-n // BLOCK)
-        self.postings = []
-        self.most = np.zeros((v, self.n_blocks), np.float64)
-        for t in range(v):
-            rows = np.flatnonzero(vectors[:, t])
-            weights = vectors[rows, t].astype(np.float64)
-            np.maximum.at(self.most[t], rows // BLOCK, weights)
-            self.postings.append((rows, weights, np.searchsorted(rows, np.arange(self.n_blocks + 1) * BLOCK)))
+        term, rows = np.nonzero(vectors.T)
+        self.ids, self.marks = ids, marks
+        self._split(np.bincount(term, minlength=vectors.shape[1]), rows, vectors[rows, term])
+
+    def _split(self, sizes: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+        c = min(COMMON, len(sizes))
+        at = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        self.common = np.zeros((len(self.ids), c), np.float32)
+        for t in range(c):
+            self.common[rows[at[t] : at[t + 1]], t] = values[at[t] : at[t + 1]]
+        self.rows, self.values, self.at = rows[at[c] :].copy(), values[at[c] :].copy(), at[c:] - at[c]
+
+    def _rare(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The part of all cosines that the inverted lists give."""
+        lo, hi = self.at[terms], self.at[terms + 1]
+        if not len(terms):
+            return np.zeros(len(self.ids))
+        rows = np.concatenate([self.rows[a:b] for a, b in zip(lo, hi, strict=True)])
+        values = np.concatenate([self.values[a:b] for a, b in zip(lo, hi, strict=True)])
+        return np.bincount(rows, values * np.repeat(weights, hi - lo), len(self.ids))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """Cosine and row of the k nearest with a cosine above 0, nearest first, ties by row."""
-        bound = weights @ self.most[terms]
-        found: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(found) == k and bound[b] * (1 + 1e-12) < found[-1][0]:
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms, weights, strict=True):
-                rows, values, at = self.postings[t]
-                own = slice(at[b], at[b + 1])
-                score[rows[own] - b * BLOCK] += w * values[own]
-            hit = np.flatnonzero(score)
-            found = sorted([*found, *((float(score[i]), int(b * BLOCK + i)) for i in hit)], key=lambda x: (-x[0], x[1]))[:k]
+        return self.nearest_of([(terms, weights)], k)[0]
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
+        c = self.common.shape[1]
+        asked = np.zeros((len(queries), c))
+        for i, (terms, weights) in enumerate(queries):
+            asked[i, terms[terms < c]] = weights[terms < c]
+        most = asked.astype(np.float32) @ self.common.T
+        found = []
+        for i, (terms, weights) in enumerate(queries):
+            rare = self._rare(terms[terms >= c] - c, weights[terms >= c])
+            about = most[i] + rare
+            least = np.partition(about, len(about) - k)[len(about) - k] - NEAR if len(about) > k else 0.0
+            some = np.flatnonzero((about >= least) & (about > 0))
+            exact = (self.common[some] * asked[i]).sum(axis=1) + rare[some]
+            order = np.lexsort((some, -exact))[:k]
+            found.append([(float(exact[j]), int(some[j])) for j in order])
         return found
 
 
+class Packed:
+    """An index as it is sent: the rows and counts of each term's list, the terms' weights and the rows' norms."""
+
+    def __init__(self, examples, sizes: np.ndarray, weight: np.ndarray, ids: np.ndarray, marks: np.ndarray):
+        """examples: terms and counts of each; sizes: how many examples have each term."""
+        self.sizes, self.weight, self.ids, self.marks = sizes.astype(np.int32), weight, ids, marks
+        free = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        rows = np.zeros(free[-1], np.uint16 if len(ids) < 1 << 16 else np.uint32)
+        counts = np.zeros(free[-1], np.uint32)
+        self.norms = np.zeros(len(ids))
+        for i, (own, count) in enumerate(examples):
+            rows[free[own]], counts[free[own]] = i, count
+            free[own] += 1
+            self.norms[i] = max(np.linalg.norm((1 + np.log(count)) * weight[own]), 1e-300)
+        self.kind = rows.dtype
+        rows[1:] -= rows[:-1].copy()  # steps, modulo the type, are small
+        self.rows, self.counts = zlib.compress(rows, 1), zlib.compress(counts, 1)
+
+    def index(self) -> Index:
+        made = Index.__new__(Index)
+        made.ids, made.marks = self.ids, self.marks
+        rows = np.cumsum(np.frombuffer(zlib.decompress(self.rows), self.kind), dtype=self.kind)
+        counts = np.frombuffer(zlib.decompress(self.counts), np.uint32)
+        values = np.repeat(self.weight.astype(np.float32), self.sizes)
+        for lo in range(0, len(values), 1 << 20):
+            own = slice(lo, lo + (1 << 20))
+            values[own] *= (1 + np.log(counts[own])) / self.norms[rows[own]]
+        made._split(self.sizes, rows, values)
+        return made
+
+
 class Model:
-    def __init__(self, terms: np.ndarray, idf: np.ndarray, rate: float):
-        self.terms, self.idf, self.rate, self.index = terms, idf, rate, None
+    """terms: sorted; place: their numbers in the index, which begin with the terms of most examples; weight: by place."""
 
-    def vector(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def __init__(self, terms: np.ndarray, place: np.ndarray, weight: np.ndarray, rate: float):
+        self.terms, self.place, self.weight, self.rate = terms, place, weight, rate
+        self.packed: Packed | None = None
+
+    @cached_property
+    def index(self) -> Index:
+        return self.packed.index()
+
+    def counts(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of a text's terms and how often it has them."""
         if not len(found) or not len(self.terms):
-            return np.zeros(0, np.int64), np.zeros(0)
+            return np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        found, count = np.unique(found, return_counts=True)
         at = np.minimum(np.searchsorted(self.terms, found), len(self.terms) - 1)
-        own, count = np.unique(at[self.terms[at] == found], return_counts=True)
-        weights = (1 + np.log(count)) * self.idf[own]
+        known = self.terms[at] == found
+        return self.place[at[known]], count[known].astype(np.uint32)
+
+    def vector(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own, count = self.counts(found)
+        weights = (1 + np.log(count)) * self.weight[own]
         return own, weights / max(np.linalg.norm(weights), 1e-300)
 
-    def score(self, found: np.ndarray) -> tuple[float, list[dict]]:
-        own, weights = self.vector(found)
-        near = self.index.nearest(own, weights, K) if len(own) else []
-        votes = [1 / (1.1 - min(c, 1.0)) for c, _ in near]
-        yes = sum(v for v, (_, i) in zip(votes, near, strict=True) if self.index.marks[i])
-        evidence = [{"doc_id": int(self.index.ids[i]), "label": int(self.index.marks[i]), "cosine": min(c, 1.0)} for c, i in near]
-        return (yes + PRIOR * self.rate) / (sum(votes) + PRIOR), evidence
+    def scores(self, rows):
+        """The score and the evidence of each row of terms."""
+        part = []
+        for found in rows:
+            part.append(self.vector(found))
+            if len(part) == BLOCK:
+                yield from self._scores(part)
+                part = []
+        yield from self._scores(part)
+
+    def _scores(self, part):
+        for near in self.index.nearest_of(part, K) if part else []:
+            votes = [1 / (1.1 - min(c, 1.0)) for c, _ in near]
+            yes = sum(v for v, (_, i) in zip(votes, near, strict=True) if self.index.marks[i])
+            evidence = [{"doc_id": int(self.index.ids[i]), "label": int(self.index.marks[i]), "cosine": min(c, 1.0)} for c, i in near]
+            yield (yes + PRIOR * self.rate) / (sum(votes) + PRIOR), evidence
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    # samples have at most MAX_EXAMPLES rows of two numbers
+    spark = docs.sparkSession
+    # samples have at most MAX_EXAMPLES rows of two numbers, and 1 KB of hashes
     labelled_rows = keep(labelled(labels, "toxic", FOLDS, HELD, MAX_EXAMPLES))
-    keys = docs.select("doc_id", "text").join(F.broadcast(labelled_rows), "doc_id").where("text is not null").mapInArrow(releasing(_least), "doc_id long, mark int, key long")
-    sample = keep(keys.groupBy("key", "mark").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "mark"))
+    keys = docs.select("doc_id", "text").join(F.broadcast(labelled_rows), "doc_id").where("text is not null").mapInArrow(releasing(_least), "doc_id long, mark int, key binary")
+    kept = _without_copies(keys.groupBy("doc_id", "mark").agg(F.min("key").alias("key")).collect())
+    sample = keep(spark.createDataFrame(kept, "doc_id long, mark int"))
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text is not null")
-    rows = sample.groupBy("mark").count().collect()
+    rows = texts.groupBy("mark").count().collect()  # every row of a repeated id is an example
     n1, n0 = (sum(r["count"] for r in rows if r["mark"] == m) for m in (1, 0))
     if not n1 or not n0:
-        model = Model(np.zeros(0, np.uint64), np.zeros(0), float(n1 > 0))
+        model = Model(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0), float(n1 > 0))
         model.index = Index(np.zeros((0, 0), np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64))
         return model
     seen = texts.mapInArrow(releasing(_distinct_terms), "mark int, terms array<long>").select("mark", F.explode("terms").alias("term"))
     counts = seen.groupBy("term").agg(F.sum("mark").cast("double").alias("a"), F.sum(1 - F.col("mark")).cast("double").alias("b"))
-    counts = counts.where(F.col("a") + F.col("b") >= MIN_DF).withColumn("g2", _g2(F.col("a"), F.col("b"), n1, n0)).where(F.col("g2") >= 2 * math.log(100 * (n1 + n0)))
-    share = F.col("a") / (F.col("a") + F.col("b"))
-    counts = counts.where((share >= MIN_SHARE) | (share <= n1 / (n1 + n0) / MIN_LIFT))
-    top = counts.orderBy(F.desc("g2"), "term").limit(MAX_TERMS).collect()
-    terms = np.array([r["term"] for r in top], np.int64).view(np.uint64)
+    counts = counts.select("term", (F.col("a") + F.col("b")).alias("df"), F.greatest(_g2(F.col("a"), F.col("b"), n1, n0), F.lit(0.0)).alias("g")).toArrow()
+    terms, df, g = (counts.column(x).to_numpy() for x in ("term", "df", "g"))
+    terms = terms.view(np.uint64)
     order = np.argsort(terms)
-    df = np.array([r["a"] + r["b"] for r in top])[order]
-    model = Model(terms[order], np.log((n1 + n0 + 1) / (df + 0.5)), n1 / (n1 + n0))
-
-    def vectors(batches):
+    terms, df, g = terms[order], df[order], g[order]
+    by_size = np.lexsort((terms, -df))
+    place = np.empty(len(terms), np.int32)
+    place[by_size] = np.arange(len(terms))
+    df, g = df[by_size], g[by_size]
+    model = Model(terms, place, np.log((n1 + n0 + 1) / (df + 0.5)) * (1 + g), n1 / (n1 + n0))
+    sent = spark.sparkContext.broadcast(model)
+
+    def counted(batches):
         for batch in batches:
-            made = [model.vector(x) for x in terms_of(batch.column("text"))]
-            columns = [batch.column("doc_id"), batch.column("mark"), pa.array([x for x, _ in made], pa.list_(pa.int64())), pa.array([x for _, x in made], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "own", "weights"])
-
-    examples = texts.mapInArrow(releasing(vectors), "doc_id long, mark int, own array<long>, weights array<double>").where("size(own) > 0")
-    examples = sorted(examples.collect(), key=lambda r: r["doc_id"])
-    dense = np.zeros((len(examples), len(terms)), np.float32)
-    for i, r in enumerate(examples):
-        dense[i, r["own"]] = r["weights"]
-    model.index = Index(dense, np.array([r["doc_id"] for r in examples], np.int64), np.array([r["mark"] for r in examples], np.int64))
+            made = [sent.value.counts(x) for x in terms_of(batch.column("text"))]
+            order = [np.argsort(x) for x, _ in made]
+            own = pa.array([zlib.compress(np.diff(x[o], prepend=np.int32(0)), 1) for (x, _), o in zip(made, order, strict=True)], pa.binary())
+            count = pa.array([zlib.compress(x[o], 1) for (_, x), o in zip(made, order, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), own, count], ["doc_id", "mark", "own", "count"])
+
+    examples = texts.mapInArrow(releasing(counted), "doc_id long, mark int, own binary, count binary").toArrow()
+    sent.destroy()
+    ids, marks = (examples.column(x).to_numpy() for x in ("doc_id", "mark"))
+    order = np.argsort(ids, kind="stable")
+    own, count = examples.column("own"), examples.column("count")
+    ints = lambda x, kind: np.frombuffer(zlib.decompress(x.as_buffer()), kind)
+    pairs = ((np.cumsum(ints(own[int(i)], np.int32), dtype=np.int32), ints(count[int(i)], np.uint32)) for i in order)
+    model.packed = Packed(pairs, df, model.weight, ids[order], marks[order])
     return model
 
 
@@ -187,7 +281,7 @@ def score_toxicity(docs: DataFrame, model: Model, score: str = "score", evidence
 
     def run(batches):
         for batch in batches:
-            made = [sent.value.score(x) for x in terms_of(batch.column(text_col))]
+            made = list(sent.value.scores(terms_of(batch.column(text_col))))
             columns = [*(batch.column(f.name) for f in kept), pa.array([x for x, _ in made], pa.float64())]
             names = [*(f.name for f in kept), score]
             if evidence:

@@ -1,6 +1,10 @@
 """Operators do the whole job: cases that a cut of rows, texts or terms would lose."""
 
-from quarry.llm import line_dedup
+import zlib
+
+import numpy as np
+
+from quarry.llm import line_dedup, toxicity
 
 
 def test_line_dedup_finds_rare_boilerplate(spark):
@@ -10,3 +14,34 @@ def test_line_dedup_finds_rare_boilerplate(spark):
     found = line_dedup.dedup_lines(docs).where("n_lines_dropped > 0 or doc_id < 7").collect()
     assert sorted(r["doc_id"] for r in found if r["n_lines_dropped"]) == list(range(0, 3000, 100))
     assert all(("now and then" in r["text"]) == (r["doc_id"] < 7) and "licence" not in r["text"] for r in found)
+
+
+def test_toxicity_indexes_every_example(spark):
+    """Examples without a word of one label are indexed, texts without one have evidence, and a shared passage is no copy."""
+    ids = [i for i in range(1, 400) if not _held(i)]
+    word = lambda i, j: "abcdefghij"[i % 10] + "klmnopqrst"[i // 10 % 10] + "uvwxyz"[i // 100] + "abcdefghij"[j]
+    text = lambda i: f"the same words are here {' '.join(word(i, j) for j in range(9))} {'idiot' if i % 4 == 0 else ''}"
+    docs = spark.createDataFrame([(i, text(i)) for i in ids] + [(1000, word(ids[1], 3))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in ids], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model.index.ids.tolist() == ids
+    last = toxicity.score_toxicity(docs, model).where("doc_id = 1000").first()
+    assert [r["doc_id"] for r in last["evidence"]] == [ids[1]]
+
+
+def test_toxicity_index_with_lists_is_exact():
+    rng = np.random.default_rng(3)
+    v = rng.random((300, 900)) * (rng.random((300, 900)) < 0.05)
+    v = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    index = toxicity.Index(v, np.arange(300), np.zeros(300))
+    for _ in range(20):
+        terms = np.sort(rng.permutation(900)[:60])
+        weights = rng.random(60)
+        full = v[:, terms].astype(np.float64) @ weights
+        got = index.nearest(terms, weights, 15)
+        assert [i for _, i in got] == np.lexsort((np.arange(300), -full))[:15].tolist()
+        assert np.allclose([c for c, _ in got], np.sort(full)[::-1][:15])
+
+
+def _held(i):
+    return zlib.crc32(str(i).encode()) % toxicity.FOLDS == toxicity.HELD
