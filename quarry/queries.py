@@ -603,6 +603,37 @@ def _(spark, d):
     return c.groupBy(evaluate.bucket(F.col("first"), F.col("covered"), F.col("query_id") % 2 == 0).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# the same measures of a real run; the queries above keep their made-up run, as their SQL has it
+def retrieved_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """The ranks of all positives in the 200 best documents of all by the item's text."""
+    positives = QUERIES["eval_positives"](spark, d).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("positive"))
+    asked = table(spark, d, "benchmark").where("text <> ''").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    run = lexical.top(lexical.bm25(lexical.tokens(docs_of(spark, d)), asked), 200, "query_id")
+    return evaluate.first_ranks(run, positives)
+
+
+@add("eval_retrieved_first_rank")
+def _(spark, d):
+    return retrieved_ranks(spark, d)
+
+
+@add("eval_retrieved_measures")
+def _(spark, d):
+    return evaluate.measures(retrieved_ranks(spark, d), 200)
+
+
+@add("eval_retrieved_rollup")
+def _(spark, d):
+    m = evaluate.measures(retrieved_ranks(spark, d), 200)
+    return m.agg(F.avg("recall").alias("recall"), F.avg("mrr").alias("mrr"), F.avg("ndcg").alias("ndcg"), F.count(F.lit(1)).alias("n"))
+
+
+@add("eval_retrieved_bucket")
+def _(spark, d):
+    c = retrieved_ranks(spark, d).groupBy("query_id").agg(F.min("rank").alias("first"), (F.count("rank") == F.count(F.lit(1))).alias("covered"))
+    return c.groupBy(evaluate.bucket(F.col("first"), F.col("covered"), F.lit(False)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @add("char_f1", "with p as (select item_id, regexp_replace(text, '\\s+', '', 'g') as a, regexp_replace(lag(text) over (order by item_id), '\\s+', '', 'g') as b from benchmark), x as (select item_id, c, count(*) as n from (select item_id, unnest(string_split(a, '')) as c from p) where c <> '' group by all), y as (select item_id, c, count(*) as n from (select item_id, unnest(string_split(b, '')) as c from p) where c <> '' group by all), z as (select coalesce(x.item_id, y.item_id) as item_id, coalesce(x.n, 0) as n, coalesce(y.n, 0) as m from x full join y on x.item_id = y.item_id and x.c = y.c) select item_id, round(2.0 * sum(least(n, m)) / (sum(n) + sum(m)), 6) as f1 from z group by 1")
 def _(spark, d):
     pairs = table(spark, d, "benchmark").withColumn("other", F.lag("text").over(Window.orderBy("item_id")))
