@@ -405,6 +405,13 @@ def _(spark, d):
     return references.expand_neighbours(chunks, 1, "source").select("doc_id", F.nullif(F.col("context"), F.lit("")).alias("context")).where("context is not null")
 
 
+@add("neighbour_context")
+def _(spark, d):
+    """neighbour_expand over whole texts; that one keeps the first 40 characters, as its SQL has them."""
+    chunks = references.number_chunks(docs_of(spark, d), "source", "doc_id")
+    return references.expand_neighbours(chunks, 1, "source").select("doc_id", F.nullif(F.col("context"), F.lit("")).alias("context")).where("context is not null")
+
+
 @add("reference_overview", f"{RANKED} select query_id, count(*) as total, count_if(source = 'text')::bigint as n_text, count(distinct source) as n_modalities from rl group by 1")
 def _(spark, d):
     return references.overview(ranked_list(spark, d), "source", "query_id")
