@@ -8,6 +8,11 @@ blocks stay ambiguous. Pass two gives each ambiguous block the label of its near
 good if either side's is, or if it lies within the article. Where an element holds the article, blocks
 outside it are no part of it.
 
+A part of a compound class name drops no element that holds most of the page's text, nor does a part after a word
+like "no" or "with". Where no block of a page reaches the share of stop words, as in other languages, length and
+link density decide. The head ends where anything but metadata begins, a left-out element with its parent, and a
+menu where an article begins.
+
 Defined results: null or empty html gives an empty text; unclosed elements end where their parent or the
 page does; a bad character reference stays as it is; each row is extracted by itself.
 """
@@ -51,27 +56,67 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 
+METADATA = frozenset("base link meta".split())
+NESTED = BLOCK - frozenset("dd dt li optgroup option p tbody td tfoot th thead tr".split())  # their end tags aren't optional
+MODIFIER = frozenset("with without no not has have hide hidden show toggle is non".split())
+
 LONG, SHORT = 70, 25
 LINKED, STOPPED = 0.5, 0.12
 
 
-def _beside(attributes: str, tag: str, inside: bool) -> bool:
-    """Whether an element's attributes say that it isn't of the article."""
+def _beside(attributes: str, tag: str, inside: bool) -> str:
+    """Whether an element's attributes say that it isn't of the article: sure, maybe (by a part of a name) or nothing."""
     if HIDDEN.search(attributes):
-        return True
+        return "sure"
     named = [x[1] or x[2] or x[3] or "" for x in NAMED.finditer(attributes)]
     if tag in ("article", "main", "body", "html"):
-        return tag == "article" and any(map(OF_READERS.search, named))
+        return "sure" if tag == "article" and any(map(OF_READERS.search, named)) else ""
     if OUT_ROLE.search(attributes):
-        return True
-    words = [w.lower() for n in named for w in PART.split(n) if OUT_WORD.fullmatch(w)]
-    return any(not (inside and w in ("header", "masthead")) for w in words)
+        return "sure"
+    found = ""
+    for name in (x for n in named for x in n.split()):
+        parts = [w.lower() for w in PART.split(name)]
+        for i, w in enumerate(parts):
+            if not OUT_WORD.fullmatch(w) or inside and w in ("header", "masthead") or i and parts[i - 1] in MODIFIER:
+                continue
+            if len(parts) == 1 or OF_READERS.search(name):
+                return "sure"
+            found = "maybe"
+    return found
+
+
+def _most(page: str) -> set[int]:
+    """Where elements begin that hold more than half of the page's text."""
+    total, at = 0, 0
+    stack: list[tuple[str, int, int]] = []
+    last: dict[str, int] = {}  # how many of each name are open
+    held: list[tuple[int, int]] = []
+    for m in TOKEN.finditer(page):
+        total += len(page[at : m.start()].strip())
+        at, tag = m.end(), (m[3] or "").lower()
+        if tag not in NESTED or tag in VOID:
+            continue
+        if not m[2]:
+            stack.append((tag, m.start(), total))
+            last[tag] = last.get(tag, 0) + 1
+        elif last.get(tag):
+            while True:
+                name, begin, before = stack.pop()
+                last[name] -= 1
+                held.append((begin, total - before))
+                if name == tag:
+                    break
+    total += len(page[at:].strip())
+    held += [(begin, total - before) for _, begin, before in stack]
+    return {begin for begin, n in held if 2 * n > total}
 
 
 def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
     """Text, characters in links, whether in the article, and whether a heading, of each block."""
     found, parts, linked = [], [], 0
     skip: list[str] = []  # open elements from the one that is left out
+    nested: dict[str, int] = {}  # how many of each name are open around it
+    most: set[int] | None = None
     article, heading, anchors, at = 0, False, 0, 0
 
     def close() -> None:
@@ -84,23 +129,29 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
         linked = 0
 
     for m in TOKEN.finditer(page):
-        if at < m.start() and not skip:
-            piece = page[at : m.start()]
+        piece = page[at : m.start()]
+        if skip == ["head"] and piece.strip():
+            skip.clear()
+        if piece and not skip:
             parts.append(piece)
             linked += len(piece.strip()) * (anchors > 0)
         at, tag = m.end(), m[3]
         if tag is None:
             continue
         tag = tag.lower()
+        if skip and skip[0] == "head" and not m[2] and tag not in METADATA and tag != "head":
+            skip.clear()
         if m[2]:
             if skip:
                 if tag in skip:
                     while skip.pop() != tag:
                         pass
                     continue
-                if tag not in ("article", "main", "body", "html"):
+                if tag not in ("article", "main", "body", "html") and not nested.get(tag):
                     continue
                 skip.clear()
+            if nested.get(tag):
+                nested[tag] -= 1
             if tag == "a":
                 anchors = max(0, anchors - 1)
             elif tag in BLOCK:
@@ -116,7 +167,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
                 close()
             continue
         if skip:
-            if skip[0] == "p" and tag in BLOCK:
+            if skip[0] == "p" and tag in BLOCK or skip[0] in ("nav", "menu") and (tag == "main" or tag == "article" and not _beside(m[4], tag, False)):
                 skip.clear()
             else:
                 if not m[4].endswith("/"):
@@ -125,9 +176,16 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
         if tag in BLOCK:
             close()
             heading, anchors = tag in ("h1", "h2", "h3", "h4", "h5", "h6"), 0
-        if tag in OUT or tag == "header" and not article or m[4] and _beside(m[4], tag, article > 0):
+        out = "sure" if tag in OUT or tag == "header" and not article else _beside(m[4], tag, article > 0) if m[4] else ""
+        if out == "maybe":
+            most = _most(page) if most is None else most
+            out = "" if m.start() in most else out
+        if out:
             skip.append(tag)
-        elif tag in ("article", "main"):
+            continue
+        if tag in NESTED:
+            nested[tag] = nested.get(tag, 0) + 1
+        if tag in ("article", "main"):
             article += 1
         elif tag == "a":
             anchors += 1
@@ -139,6 +197,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
 
 def labels(found: list[tuple[str, int, bool, bool]]) -> list[bool]:
     first: list[bool | None] = []
+    foreign: list[int] = []  # long blocks without many links that only lack stop words
     for text, linked, article, heading in found:
         density = linked / len(text)
         if density > LINKED:
@@ -150,7 +209,12 @@ def labels(found: list[tuple[str, int, bool, bool]]) -> list[bool]:
         else:
             words = text.lower().split()
             stops = sum(w.strip(".,;:!?") in STOP for w in words) / len(words)
+            if len(text) >= LONG and stops < STOPPED:
+                foreign.append(len(first))
             first.append(None if len(text) < LONG else stops >= STOPPED)
+    if True not in first:
+        for i in foreign:
+            first[i] = True
     before: list[bool | None] = []
     for x in first:
         before.append(x if x is not None else before[-1] if before else None)

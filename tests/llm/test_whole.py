@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 
 from quarry.llm import line_dedup, toxicity
+from quarry.llm.html_extract import extract
 
 
 def test_line_dedup_finds_rare_boilerplate(spark):
@@ -45,3 +46,22 @@ def test_toxicity_index_with_lists_is_exact():
 
 def _held(i):
     return zlib.crc32(str(i).encode()) % toxicity.FOLDS == toxicity.HELD
+
+
+LONG = "This is the long text of the page, which has many words and it is for the reader to see that all is well."
+
+
+def test_html_keeps_what_unclosed_elements_precede():
+    assert extract(f"<html><head><title>x</title><body><p>{LONG}</p></body></html>") == LONG
+    assert extract(f"<body><nav><a href=1>x</a><article><p>{LONG}</p></article></body>") == LONG
+    assert extract(f"<body><div><nav><a href=1>x</a></div><p>{LONG}</p></body>") == LONG
+
+
+def test_html_modifiers_drop_no_article():
+    for name in ("content with-sidebar", "no-sidebar", "layout-sidebar"):
+        assert extract(f"<body><div class='{name}'><p>{LONG}</p></div><div class='left-sidebar'><p>Of this and that it is</p></div></body>") == LONG
+
+
+def test_html_other_languages():
+    text = "\u4e2d\u6587\u7f51\u9875\u7684\u6b63\u6587" * 15
+    assert extract(f"<body><div><p>{text}</p></div><ul><li><a href=1>{text}</a></li></ul></body>") == text
