@@ -666,7 +666,7 @@ def _(spark, d):
 
 @add("sentence_units")
 def _(spark, d):
-    return split.split_sentences(docs_of(spark, d), 12, 220, 12).groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"))
+    return split.split_sentences(docs_of(spark, d), 12, 220).groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"))
 
 
 @add("html_text")
