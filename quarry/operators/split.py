@@ -161,3 +161,10 @@ def chunk_markdown(docs: DataFrame, size: int, overlap: int, id_col: str = "doc_
 def answer_segments(text):
     """Column form: parts between sentence ends, of two characters or more."""
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[\n。！？!?；;]+"), lambda x: F.trim(x)), lambda x: F.length(x) >= 2)
+
+
+def char_pieces(docs: DataFrame, size: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every piece of size characters of each text, the last one shorter, with its position from 0; none of an empty one."""
+    count = F.ceil(F.length(text_col) / size).cast("int")
+    at = F.when(count > 0, F.sequence(F.lit(0), count - 1))
+    return docs.select(id_col, text_col, F.explode(at).alias("pos")).select(id_col, "pos", F.substring(text_col, F.col("pos") * size + 1, F.lit(size)).alias("piece"))

@@ -113,6 +113,15 @@ over_documents("sentence_base_split", "with s as (select doc_id, [x for x in str
 over_documents("answer_segments", "select doc_id, len([x for x in regexp_split_to_array(coalesce(text, ''), '[\\n。！？!?；;]+') if length(trim(x)) >= 2]) as n from documents", n=lambda: F.size(split.answer_segments(F.col("text"))).cast("long"))
 over_documents("slugs", "select doc_id, regexp_replace(regexp_replace(lower(left(coalesce(text, ''), 80)), '[^0-9a-z一-鿿]+', '-', 'g'), '^-+|-+$', '', 'g') as slug from documents", slug=lambda: T.slug(F.substring("text", 1, 80)))
 over_documents("char_chunks", "select doc_id, ceil(length(coalesce(text, '')) / 16.0)::bigint as n, substr(text, 17, 16) as second from documents", n=lambda: F.ceil(F.length(T.text("text")) / 16).cast("long"), second=lambda: F.substring("text", 17, 16))
+# whole versions of the two above, which keep what their SQL has: one piece, and the slug of the first 80 characters
+over_documents("slugs_whole", "select doc_id, rtrim(left(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^0-9a-z一-鿿]+', '-', 'g'), '^-+|-+$', '', 'g'), 80), '-') as slug from documents", slug=lambda: F.regexp_replace(F.substring(T.slug(F.col("text")), 1, 80), "-+$", ""))
+
+
+@add("char_pieces", "select doc_id, pos, substr(text, pos * 16 + 1, 16) as piece from (select doc_id, text, unnest(range(ceil(length(text) / 16.0)::bigint)) as pos from documents)")
+def _(spark, d):
+    return split.char_pieces(docs_of(spark, d)).withColumn("pos", F.col("pos").cast("long"))
+
+
 over_documents("rewrite_skip", "select doc_id, length(regexp_replace(coalesce(text, ''), '\\s+', '', 'g')) <= 6 or (regexp_full_match(coalesce(text, ''), '[\\x20-\\x7e]*') and length(trim(coalesce(text, ''))) <= 24) as skip from documents",
     skip=lambda: (F.length(F.regexp_replace(T.text("text"), r"(?U)\s+", "")) <= 6) | (T.text("text").rlike(r"^[\x20-\x7e]*$") & ~F.contains(T.text("text"), F.lit("\n")) & (F.length(F.trim(T.text("text"))) <= 24)))
 
