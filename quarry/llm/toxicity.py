@@ -1,27 +1,29 @@
-"""Toxicity from the nearest labelled examples by exact TF-IDF cosine.
-
-Terms are words (runs of letters, lower case) and their first 4, 5 and 6 bytes, so that inflected forms
-of a stem meet; a beginning that a text has twice or three times is a term more for each. The vocabulary is
-every term of the examples. A text's vector has (1 + ln tf) * idf * (1 + g) for each of its terms, where g is
-the log-likelihood ratio of the term's counts in the two labels: about 1 for a term that they share, hundreds
-for one that tells them apart. Every example is indexed under all its terms. Near copies among the examples
-count once: those that share the least hash of three words, and COPY of the SKETCH least ones, with the
-first example of their label that has it. The number of examples is a bounded parameter, so the index has a bounded size.
-
-The index has the COMMON terms of most examples as a matrix and the others as inverted lists. Cosines with all
-examples are added up; those within float32's error of the K-th are added again in float64: the K nearest
-are exact. Their votes weigh 1 / (0.1 + 1 - cosine); the score is the weighted share of
-label 1, with the labels' base rate as PRIOR votes more, and the neighbours are the evidence.
+"""Toxicity from the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
+
+Terms are words (runs of letters, lower case) and their first PREFIX bytes, so that inflected forms of a stem
+meet; a beginning that a text has twice or three times is a term more for each. The vocabulary is every term of
+the examples. A text's vector has (1 + ln tf) * idf * (1 + g) for each of its terms, where g is the
+log-likelihood ratio of the term's counts in the two labels: about 1 for a term that they share, hundreds for
+one that tells them apart. Every example is indexed under all its terms. Near copies among the examples count
+once: those that share the least hash of three words, and COPY of the SKETCH least ones, with the first example
+of their label that has it. At most MAX_EXAMPLES labelled rows are examples, chosen by a hash, so the index has
+a bounded number of rows.
+
+The index lays examples that are alike side by side, in blocks of BLOCK. A term's inverted list has the examples
+that hold it; the COMMON terms of most examples have, beside it, their greatest weight in each block. A query
+adds up its rare terms' lists. What a block can reach is then its greatest sum so far and what its maxima of the
+common terms allow; blocks that can't reach the K-th best of the most promising ones are left out, the others
+are added up whole. So the K nearest are exact. Their votes weigh 1 / (0.1 + 1 - cosine); the score is the
+weighted share of label 1, with the labels' base rate as PRIOR votes more, and the neighbours are the evidence.
 
 Defined results: a text that shares no term with an example (null and empty texts too) has the base rate;
-without labelled examples every score is 0.
+without labelled examples every score is 0; long texts are scored whole; ties go to the smaller doc_id of the
+examples; rows that repeat an id or a text are scored each; an empty table gives none; columns of docs keep
+their names and values, but for one named as the score or the evidence, which these replace.
 """
 
 from __future__ import annotations
 
-import zlib
-from functools import cached_property
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,11 +32,11 @@ from pyspark.sql import functions as F
 from .common import M1, M2, blocks, fold_case, hash_words, held_out, keep, labelled, mix, releasing, small_batches, utf8
 
 FOLDS, HELD = 3, 1
-MAX_EXAMPLES = 20_000
+MAX_EXAMPLES = 3_000
 SKETCH, COPY = 128, 0.8
-PREFIXES = (4, 5, 6)
-K, BLOCK, PRIOR = 15, 64, 1.0
-COMMON, NEAR = 512, 1e-4
+PREFIX = 6
+K, QUERIES, PRIOR = 15, 32, 1.0
+COMMON, BLOCK, FIRST, SLACK = 512, 64, 2, 1e-4
 REJECT = 0.7
 
 LETTERS = np.zeros(256, bool)
@@ -43,8 +45,11 @@ LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
 
 def _repeated(found: np.ndarray) -> np.ndarray:
     """Terms for the second and the third time that a value is found."""
-    values, count = np.unique(found, return_counts=True)
-    return np.concatenate([mix(values[count >= k] + np.uint64(k)) for k in (2, 3)])
+    found = np.sort(found)
+    twice = found[1:][found[1:] == found[:-1]]  # a value once less often than it is found
+    thrice = twice[1:][twice[1:] == twice[:-1]]
+    once = lambda x: x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+    return np.concatenate([mix(once(twice) + np.uint64(2)), mix(once(thrice) + np.uint64(3))])
 
 
 def terms_of(texts: pa.Array, least: bool = False):
@@ -53,158 +58,158 @@ def terms_of(texts: pa.Array, least: bool = False):
     data, at = utf8(texts)
     for lo, hi in blocks(at):
         part = fold_case(data[at[lo] : at[hi]])
-        words, row, cut = hash_words(part, at[lo : hi + 1], LETTERS, PREFIXES)
+        words, row, (begins,) = hash_words(part, at[lo : hi + 1], LETTERS, (PREFIX,))
         for i in range(hi - lo):
             own = slice(row[i], row[i + 1])
             if least:
                 w = words[own]
                 yield np.unique(mix(w[:-2] + M1 * mix(w[1:-1] + M2 * w[2:])))[:SKETCH] if len(w) > 2 else w.sum(dtype=np.uint64, keepdims=True)
                 continue
-            begins = [x[own] for x in cut]
-            found = np.concatenate([words[own], *begins, *(_repeated(x[x != 0]) for x in begins)])
+            mine = begins[own]
+            mine = mine[mine != 0]
+            found = np.concatenate([words[own], mine, _repeated(mine)])
             yield found[found != 0]
 
 
-def _least(batches):
-    for batch in batches:
-        keys = pa.array([x.tobytes() for x in terms_of(batch.column("text"), least=True)], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), keys], ["doc_id", "mark", "key"])
-
-
 def _alike(a: np.ndarray, b: np.ndarray) -> float:
     """The Jaccard similarity of two sets from their least hashes; exact for sets of up to SKETCH."""
     both = np.union1d(a, b)[:SKETCH]
     return float(np.isin(both, np.intersect1d(a, b)).mean())
 
 
-def _without_copies(rows: list) -> list[tuple[int, int]]:
-    """doc_id and mark of the examples, near copies of a group's first one left out."""
+def _without_copies(marks: list[int], keys: list[bytes]) -> np.ndarray:
+    """Which examples stay when near copies of the first of their label go."""
     first: dict[tuple, np.ndarray] = {}
     kept = []
-    for r in sorted(rows, key=lambda r: r["doc_id"]):
-        own = np.frombuffer(r["key"], np.uint64)
-        other = first.setdefault((int(own[0]), r["mark"]), own)
+    for i, (mark, key) in enumerate(zip(marks, keys, strict=True)):
+        own = np.frombuffer(key, np.uint64)
+        other = first.setdefault((int(own[0]), mark), own)
         if other is own or _alike(own, other) < COPY:
-            kept.append((r["doc_id"], r["mark"]))
-    return kept
+            kept.append(i)
+    return np.array(kept, np.int64)
 
 
-def _distinct_terms(batches):
+def _examples(batches):
     for batch in batches:
-        rows = [np.unique(x).view(np.int64) for x in terms_of(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("mark"), pa.array(rows, pa.list_(pa.int64()))], ["mark", "terms"])
+        texts = batch.column("text")
+        made = [np.unique(x, return_counts=True) for x in terms_of(texts)]
+        terms = pa.array([x.tobytes() for x, _ in made], pa.binary())
+        counts = pa.array([c.astype(np.uint32).tobytes() for _, c in made], pa.binary())
+        keys = pa.array([x.tobytes() for x in terms_of(texts, least=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), keys, terms, counts], ["doc_id", "mark", "key", "terms", "counts"])
 
 
-def _g2(a, b, n1: int, n0: int):
+def _g2(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
     """Twice the log-likelihood ratio of a of n1 and b of n0 rows with a term."""
-    part = lambda x, n: F.when(x > 0, x * F.log(x / n)).otherwise(F.lit(0.0))
-    share = (a + b) / F.lit(float(n1 + n0))
-    none = F.lit(0.0)
-    one = lambda x, n: part(x, F.lit(float(n)) * share) + F.when(x < n, (n - x) * F.log((n - x) / (F.lit(float(n)) * (1 - share)))).otherwise(none)
-    return 2 * (one(a, n1) + one(b, n0))
+    share = (a + b) / (n1 + n0)
+
+    def part(x, of):
+        return np.where(x > 0, x * np.log(np.maximum(x, 1) / np.maximum(of, 1e-300)), 0.0)
+
+    return np.maximum(2 * (part(a, n1 * share) + part(n1 - a, n1 * (1 - share)) + part(b, n0 * share) + part(n0 - b, n0 * (1 - share))), 0)
 
 
 class Index:
-    """Unit vectors, by their terms: a matrix of the first COMMON terms, inverted lists of the others."""
+    """Unit vectors by their terms, which are numbered from those that most have."""
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, marks: np.ndarray):
-        term, rows = np.nonzero(vectors.T)
-        self.ids, self.marks = ids, marks
-        self._split(np.bincount(term, minlength=vectors.shape[1]), rows, vectors[rows, term])
-
-    def _split(self, sizes: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-        c = min(COMMON, len(sizes))
-        at = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-        self.common = np.zeros((len(self.ids), c), np.float32)
-        for t in range(c):
-            self.common[rows[at[t] : at[t + 1]], t] = values[at[t] : at[t + 1]]
-        self.rows, self.values, self.at = rows[at[c] :].copy(), values[at[c] :].copy(), at[c:] - at[c]
-
-    def _rare(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """The part of all cosines that the inverted lists give."""
-        lo, hi = self.at[terms], self.at[terms + 1]
-        if not len(terms):
-            return np.zeros(len(self.ids))
-        rows = np.concatenate([self.rows[a:b] for a, b in zip(lo, hi, strict=True)])
-        values = np.concatenate([self.values[a:b] for a, b in zip(lo, hi, strict=True)])
-        return np.bincount(rows, values * np.repeat(weights, hi - lo), len(self.ids))
+        row, term = np.nonzero(vectors)
+        self._build(row, term, vectors[row, term], vectors.shape[1], ids, marks)
+
+    @classmethod
+    def of(cls, row: np.ndarray, term: np.ndarray, value: np.ndarray, n_terms: int, ids: np.ndarray, marks: np.ndarray) -> Index:
+        made = cls.__new__(cls)
+        made._build(row, term, value, n_terms, ids, marks)
+        return made
+
+    def _build(self, row, term, value, n_terms, ids, marks) -> None:
+        n, c = len(ids), min(COMMON, n_terms)
+        self.ids, self.marks, self.c = ids, marks, c
+        common = np.zeros((n, c), np.float32)
+        often = term < c
+        common[row[often], term[often]] = value[often]
+        # examples of a label that lean on the same common term lie side by side, so that maxima are low
+        lead = common.argmax(axis=1) if n and c else np.zeros(n, np.int64)
+        self.row = np.lexsort((np.arange(n), lead, marks))
+        place = np.empty(n, np.int64)
+        place[self.row] = np.arange(n)
+        self.starts = np.arange(0, n, BLOCK)
+        self.common = np.ascontiguousarray(common[self.row])
+        self.most = np.maximum.reduceat(self.common, self.starts, axis=0) if n else self.common
+        order = np.flatnonzero(~often)
+        order = order[np.lexsort((place[row[order]], term[order]))]
+        self.rows, self.values = place[row[order]].astype(np.int32), value[order].astype(np.float32)
+        self.at = np.concatenate([[0], np.cumsum(np.bincount(term[order] - c, minlength=max(0, n_terms - c)))]).astype(np.int64)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """Cosine and row of the k nearest with a cosine above 0, nearest first, ties by row."""
         return self.nearest_of([(terms, weights)], k)[0]
 
+    def _rare(self, queries) -> np.ndarray:
+        """For each query what the lists of its rare terms give each example."""
+        total = np.zeros((len(queries), len(self.ids)))
+        for i, (terms, weights) in enumerate(queries):
+            own = terms >= self.c
+            lists = terms[own] - self.c
+            lo = self.at[lists]
+            size = self.at[lists + 1] - lo
+            end = np.cumsum(size)
+            if len(end) and end[-1]:
+                pick = np.repeat((lo - end + size).astype(np.int32), size)
+                pick += np.arange(len(pick), dtype=np.int32)
+                total[i] = np.bincount(self.rows[pick], self.values[pick] * np.repeat(weights[own].astype(np.float32), size), len(self.ids))
+        return total
+
     def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
-        c = self.common.shape[1]
-        asked = np.zeros((len(queries), c))
+        if not len(self.ids):
+            return [[] for _ in queries]
+        asked = np.zeros((len(queries), self.c), np.float32)
         for i, (terms, weights) in enumerate(queries):
-            asked[i, terms[terms < c]] = weights[terms < c]
-        most = asked.astype(np.float32) @ self.common.T
+            asked[i, terms[terms < self.c]] = weights[terms < self.c]
+        total = self._rare(queries)
+        bound = np.maximum.reduceat(total, self.starts, axis=1) + asked @ self.most.T + SLACK
+        done = np.zeros(bound.shape, bool)
+        first = max(1, min(len(self.starts), FIRST + k // BLOCK))
+        promising = np.argpartition(-bound, first - 1, axis=1)[:, :first]
+        done[np.arange(len(queries))[:, None], promising] = True
+        self._add(total, asked, done)
+        least = np.zeros(len(queries))
+        for i in range(len(queries)):
+            known = np.concatenate([total[i, b * BLOCK : (b + 1) * BLOCK] for b in promising[i]])
+            least[i] = np.partition(known, len(known) - k)[len(known) - k] if len(known) >= k else 0.0
+        rest = (bound >= least[:, None]) & ~done
+        self._add(total, asked, rest)
+        whole = np.repeat(done | rest, np.diff(np.append(self.starts, len(self.ids))), axis=1)
         found = []
-        for i, (terms, weights) in enumerate(queries):
-            rare = self._rare(terms[terms >= c] - c, weights[terms >= c])
-            about = most[i] + rare
-            least = np.partition(about, len(about) - k)[len(about) - k] - NEAR if len(about) > k else 0.0
-            some = np.flatnonzero((about >= least) & (about > 0))
-            exact = (self.common[some] * asked[i]).sum(axis=1) + rare[some]
-            order = np.lexsort((some, -exact))[:k]
-            found.append([(float(exact[j]), int(some[j])) for j in order])
+        for i in range(len(queries)):
+            some = np.flatnonzero(whole[i] & (total[i] >= least[i]) & (total[i] > 0))
+            order = np.lexsort((self.row[some], -total[i, some]))[:k]
+            found.append([(float(total[i, j]), int(self.row[j])) for j in some[order]])
         return found
 
-
-class Packed:
-    """An index as it is sent: the rows and counts of each term's list, the terms' weights and the rows' norms."""
-
-    def __init__(self, examples, sizes: np.ndarray, weight: np.ndarray, ids: np.ndarray, marks: np.ndarray):
-        """examples: terms and counts of each; sizes: how many examples have each term."""
-        self.sizes, self.weight, self.ids, self.marks = sizes.astype(np.int32), weight, ids, marks
-        free = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-        rows = np.zeros(free[-1], np.uint16 if len(ids) < 1 << 16 else np.uint32)
-        counts = np.zeros(free[-1], np.uint32)
-        self.norms = np.zeros(len(ids))
-        for i, (own, count) in enumerate(examples):
-            rows[free[own]], counts[free[own]] = i, count
-            free[own] += 1
-            self.norms[i] = max(np.linalg.norm((1 + np.log(count)) * weight[own]), 1e-300)
-        self.kind = rows.dtype
-        rows[1:] -= rows[:-1].copy()  # steps, modulo the type, are small
-        self.rows, self.counts = zlib.compress(rows, 1), zlib.compress(counts, 1)
-
-    def index(self) -> Index:
-        made = Index.__new__(Index)
-        made.ids, made.marks = self.ids, self.marks
-        rows = np.cumsum(np.frombuffer(zlib.decompress(self.rows), self.kind), dtype=self.kind)
-        counts = np.frombuffer(zlib.decompress(self.counts), np.uint32)
-        values = np.repeat(self.weight.astype(np.float32), self.sizes)
-        for lo in range(0, len(values), 1 << 20):
-            own = slice(lo, lo + (1 << 20))
-            values[own] *= (1 + np.log(counts[own])) / self.norms[rows[own]]
-        made._split(self.sizes, rows, values)
-        return made
+    def _add(self, total: np.ndarray, asked: np.ndarray, wanted: np.ndarray) -> None:
+        """Adds the common terms' part in the wanted blocks of each query."""
+        for b in np.flatnonzero(wanted.any(axis=0)):
+            own, who = slice(b * BLOCK, (b + 1) * BLOCK), np.flatnonzero(wanted[:, b])
+            total[who, own] += asked[who] @ self.common[own].T
 
 
 class Model:
-    """terms: sorted; place: their numbers in the index, which begin with the terms of most examples; weight: by place."""
-
-    def __init__(self, terms: np.ndarray, place: np.ndarray, weight: np.ndarray, rate: float):
-        self.terms, self.place, self.weight, self.rate = terms, place, weight, rate
-        self.packed: Packed | None = None
+    """terms: sorted; place: their numbers in the index; weight: by place."""
 
-    @cached_property
-    def index(self) -> Index:
-        return self.packed.index()
+    def __init__(self, terms: np.ndarray, place: np.ndarray, weight: np.ndarray, rate: float, index: Index):
+        self.terms, self.place, self.weight, self.rate, self.index = terms, place, weight, rate, index
 
-    def counts(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The places of a text's terms and how often it has them."""
+    def vector(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(found) or not len(self.terms):
-            return np.zeros(0, np.int32), np.zeros(0, np.uint32)
-        found, count = np.unique(found, return_counts=True)
+            return np.zeros(0, np.int64), np.zeros(0)
+        found = np.sort(found)
+        first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+        count, found = np.diff(np.append(first, len(found))), found[first]
         at = np.minimum(np.searchsorted(self.terms, found), len(self.terms) - 1)
         known = self.terms[at] == found
-        return self.place[at[known]], count[known].astype(np.uint32)
-
-    def vector(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own, count = self.counts(found)
-        weights = (1 + np.log(count)) * self.weight[own]
+        own = self.place[at[known]]
+        weights = (1 + np.log(count[known])) * self.weight[own]
         return own, weights / max(np.linalg.norm(weights), 1e-300)
 
     def scores(self, rows):
@@ -212,7 +217,7 @@ class Model:
         part = []
         for found in rows:
             part.append(self.vector(found))
-            if len(part) == BLOCK:
+            if len(part) == QUERIES:
                 yield from self._scores(part)
                 part = []
         yield from self._scores(part)
@@ -226,50 +231,32 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    spark = docs.sparkSession
-    # samples have at most MAX_EXAMPLES rows of two numbers, and 1 KB of hashes
-    labelled_rows = keep(labelled(labels, "toxic", FOLDS, HELD, MAX_EXAMPLES))
-    keys = docs.select("doc_id", "text").join(F.broadcast(labelled_rows), "doc_id").where("text is not null").mapInArrow(releasing(_least), "doc_id long, mark int, key binary")
-    kept = _without_copies(keys.groupBy("doc_id", "mark").agg(F.min("key").alias("key")).collect())
-    sample = keep(spark.createDataFrame(kept, "doc_id long, mark int"))
+    """The model of at most MAX_EXAMPLES labelled rows, whose terms and counts the driver gets."""
+    sample = keep(labelled(labels, "toxic", FOLDS, HELD, MAX_EXAMPLES))
+    small_batches(docs.sparkSession)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text is not null")
-    rows = texts.groupBy("mark").count().collect()  # every row of a repeated id is an example
-    n1, n0 = (sum(r["count"] for r in rows if r["mark"] == m) for m in (1, 0))
-    if not n1 or not n0:
-        model = Model(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0), float(n1 > 0))
-        model.index = Index(np.zeros((0, 0), np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return model
-    seen = texts.mapInArrow(releasing(_distinct_terms), "mark int, terms array<long>").select("mark", F.explode("terms").alias("term"))
-    counts = seen.groupBy("term").agg(F.sum("mark").cast("double").alias("a"), F.sum(1 - F.col("mark")).cast("double").alias("b"))
-    counts = counts.select("term", (F.col("a") + F.col("b")).alias("df"), F.greatest(_g2(F.col("a"), F.col("b"), n1, n0), F.lit(0.0)).alias("g")).toArrow()
-    terms, df, g = (counts.column(x).to_numpy() for x in ("term", "df", "g"))
-    terms = terms.view(np.uint64)
-    order = np.argsort(terms)
-    terms, df, g = terms[order], df[order], g[order]
-    by_size = np.lexsort((terms, -df))
-    place = np.empty(len(terms), np.int32)
-    place[by_size] = np.arange(len(terms))
-    df, g = df[by_size], g[by_size]
-    model = Model(terms, place, np.log((n1 + n0 + 1) / (df + 0.5)) * (1 + g), n1 / (n1 + n0))
-    sent = spark.sparkContext.broadcast(model)
-
-    def counted(batches):
-        for batch in batches:
-            made = [sent.value.counts(x) for x in terms_of(batch.column("text"))]
-            order = [np.argsort(x) for x, _ in made]
-            own = pa.array([zlib.compress(np.diff(x[o], prepend=np.int32(0)), 1) for (x, _), o in zip(made, order, strict=True)], pa.binary())
-            count = pa.array([zlib.compress(x[o], 1) for (_, x), o in zip(made, order, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), own, count], ["doc_id", "mark", "own", "count"])
-
-    examples = texts.mapInArrow(releasing(counted), "doc_id long, mark int, own binary, count binary").toArrow()
-    sent.destroy()
-    ids, marks = (examples.column(x).to_numpy() for x in ("doc_id", "mark"))
-    order = np.argsort(ids, kind="stable")
-    own, count = examples.column("own"), examples.column("count")
-    ints = lambda x, kind: np.frombuffer(zlib.decompress(x.as_buffer()), kind)
-    pairs = ((np.cumsum(ints(own[int(i)], np.int32), dtype=np.int32), ints(count[int(i)], np.uint32)) for i in order)
-    model.packed = Packed(pairs, df, model.weight, ids[order], marks[order])
-    return model
+    rows = texts.mapInArrow(releasing(_examples), "doc_id long, mark int, key binary, terms binary, counts binary").toArrow()
+    rows = rows.sort_by([("doc_id", "ascending"), ("key", "ascending"), ("terms", "ascending")])
+    marks = rows.column("mark").to_numpy().astype(np.int64)
+    kept = _without_copies(marks.tolist(), rows.column("key").to_pylist())
+    marks, ids = marks[kept], rows.column("doc_id").to_numpy()[kept]
+    n, n1 = len(marks), int(marks.sum())
+    if n1 in (0, n):
+        nothing = np.zeros(0, np.int64)
+        return Model(np.zeros(0, np.uint64), nothing, np.zeros(0), float(n1 > 0), Index.of(nothing, nothing, np.zeros(0), 0, nothing, nothing))
+    raw = lambda name, kind: [np.frombuffer(rows.column(name)[int(i)].as_buffer(), kind) for i in kept]
+    terms, count = raw("terms", np.uint64), np.concatenate(raw("counts", np.uint32))
+    row = np.repeat(np.arange(n), [len(x) for x in terms])
+    known, term = np.unique(np.concatenate(terms), return_inverse=True)
+    df = np.bincount(term, minlength=len(known))
+    ones = np.bincount(term, marks[row], len(known))
+    weight = np.log((n + 1) / (df + 0.5)) * (1 + _g2(ones, df - ones, n1, n - n1))
+    by_size = np.lexsort((known, -df))
+    place = np.empty(len(known), np.int64)
+    place[by_size] = np.arange(len(known))
+    value = (1 + np.log(count)) * weight[term]
+    value /= np.maximum(np.sqrt(np.bincount(row, value * value, n)), 1e-300)[row]
+    return Model(known, place, weight[by_size], n1 / n, Index.of(row, place[term], value, len(known), ids, marks))
 
 
 def score_toxicity(docs: DataFrame, model: Model, score: str = "score", evidence: str | None = "evidence", text_col: str = "text") -> DataFrame:
