@@ -1,25 +1,32 @@
 """Byte-level BPE encoding and decoding.
 
-Texts are cut by the vocabulary's pattern into words. Each task hands on the distinct words of its
-documents once, as arrays of bytes, and then the documents as places among them. Spark's higher-order
-functions fold ranked merges over the byte arrays of the distinct words: the state is an array with an element
-for each piece, which has the rank of the pair that it begins, its place and its id; a step merges the first
-pair of least rank and looks up the pairs on both sides in a literal map from pair to rank (cut into buckets,
-as Spark scans maps). What remains is the word's ids. The task then puts its documents' ids together; decoding
-concatenates the binary pieces of the ids.
+Texts are cut by the vocabulary's pattern into words. Spark's higher-order functions fold ranked merges over the
+byte arrays of distinct words: the state is an array with an element for each piece, which has the rank of the
+pair that it begins, its place and its id; a step merges the first pair of least rank and looks up the pairs on
+both sides in a literal map from pair to rank (cut into buckets, as Spark scans maps). What remains is the word's ids.
+
+Words that are met often are folded once for all tasks: those of the first SEEN_ROWS documents of the first
+SEEN_TASKS partitions, the most frequent ones up to about MAX_KNOWN, are counted by a shuffle, folded in parallel and
+broadcast with their ids. This saves work and decides nothing else: each task hands on the distinct words of its own
+documents that are not among them once, to be folded, and then the documents as places among all words. The task
+then puts its documents' ids together; decoding concatenates the binary pieces of the ids. A word of more than
+LONG bytes, for which a step over the whole array would take too long, is merged with a heap instead.
 
 A task forgets its words at MAX_WORDS, and documents wait for theirs to no more than BLOCK_BYTES of text, so
-memory is bounded but for one very long document. Nothing is shuffled, and nothing broadcast but the
-vocabulary, which is literal. Defined results: null counts as empty; an empty text has no ids;
-texts of special tokens are ordinary text; rows are independent, so repeated rows and ids are kept.
+memory is bounded but for one very long document. No text is shuffled, and nothing broadcast but the
+vocabulary, which is literal, and the frequent words. Defined results: null counts as empty; an empty text has no
+ids; long texts and words are encoded whole; texts of special tokens are ordinary text; rows are independent, so
+repeated rows and ids are kept; an empty table gives none; columns of docs keep their names and values, but for
+the text and for ones named as those that are added, which these replace.
 """
 
 from __future__ import annotations
 
 import base64
-from collections import defaultdict
+import heapq
+from collections import Counter, defaultdict
 from functools import lru_cache
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +34,14 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import releasing, small_batches
+from .common import free, keep, releasing, small_batches
 
 BLOCK_BYTES = 4 << 20
 MAX_WORDS = 600_000
 ROWS = 10_000
 PART_WORDS = 200_000
+SEEN_ROWS, SEEN_TASKS, MAX_KNOWN = 512, 64, 500_000
+LONG = 512
 
 
 @lru_cache(maxsize=4)
@@ -71,8 +80,8 @@ def rank_map(path: str) -> tuple[Column, int]:
     return F.from_json(F.lit(text), "array<array<long>>"), n
 
 
-def fold_merges(word: Column, path: str) -> Column:
-    """The ids of a word. word: an element for each byte, as byte_elements() makes them."""
+def fold_merges(word: Column, steps: Column, path: str) -> Column:
+    """The ids of a word. word: an element for each byte, and how many merges it may take, as byte_elements() makes them."""
     known, n = rank_map(path)
     ID, TAIL, AT = F.lit((1 << PLACE) - 1), F.lit((1 << RANK) - 1), F.lit((1 << RANK) - (1 << PLACE))
 
@@ -99,27 +108,59 @@ def fold_merges(word: Column, path: str) -> Column:
     def step(s: Column, _: Column) -> Column:
         return _let(F.array_min(s), lambda m: F.when(m >= NONE << RANK, s).otherwise(_let((F.shiftright(m.bitwiseAND(TAIL), PLACE) + 1).cast("int"), lambda p: merge(s, m, p))))
 
-    done = F.aggregate(F.slice(word, F.lit(1), F.greatest(F.size(word) - 1, F.lit(0))), word, step)
+    done = F.aggregate(F.slice(word, F.lit(1), steps), word, step)
     return F.transform(done, lambda x: x.bitwiseAND(ID).cast("int"))
 
 
-def byte_elements(words: list[str], known: np.ndarray, pair: np.ndarray, whole: dict[bytes, int]) -> pa.Array:
-    """For each word the array that the fold begins with: an element for each byte, or one for a word that is
-    a token itself, as the library has it. known, pair: as byte_tables() gives them; whole: rank by bytes."""
+def heap_merges(word: bytes, whole: dict[bytes, int]) -> list[int]:
+    """The ids of a word by the same merges, in about the time of a sort."""
+    n = len(word)
+    end, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
+    heap: list[tuple[int, int, int, int]] = []
+
+    def push(i: int) -> None:
+        if i >= 0 and end[i] < n:
+            rank = whole.get(word[i : end[end[i]]])
+            if rank is not None:
+                heapq.heappush(heap, (rank, i, end[i], end[end[i]]))
+
+    for i in range(n - 1):
+        push(i)
+    while heap:
+        _, i, middle, last = heapq.heappop(heap)
+        if alive[i] and end[i] == middle and alive[middle] and end[middle] == last:
+            end[i], alive[middle] = last, False
+            if last < n:
+                before[last] = i
+            push(before[i])
+            push(i)
+    return [whole[word[i : end[i]]] for i in range(n) if alive[i]]
+
+
+def byte_elements(words: list[str], known: np.ndarray, pair: np.ndarray, whole: dict[bytes, int]) -> tuple[pa.Array, pa.Array]:
+    """For each word the array that the fold begins with, an element for each byte, and the fold's steps; for a word
+    that is a token itself, as the library has it, and for a long one, its ids and no steps. known, pair: as
+    byte_tables() gives them; whole: rank by bytes."""
     raw = [x.encode() for x in words]
-    token = np.fromiter((whole.get(x, -1) for x in raw), np.int64, len(raw))
-    raw = [x if t < 0 else x[:1] for x, t in zip(raw, token.tolist(), strict=True)]
-    size = np.fromiter(map(len, raw), np.int64, len(raw))
-    data = np.frombuffer(b"".join(raw), np.uint8)
+    ready = {i: [t] if (t := whole.get(x)) is not None else heap_merges(x, whole) for i, x in enumerate(raw) if len(x) > LONG or x in whole}
+    size = np.fromiter((len(ready[i]) if i in ready else len(x) for i, x in enumerate(raw)), np.int64, len(raw))
     end = np.cumsum(size)
-    rank = np.full(len(data), NONE, np.int64)
-    if len(data):
+    total = int(end[-1]) if len(end) else 0
+    fold = np.ones(len(raw), bool)
+    fold[list(ready)] = False
+    inner = np.repeat(fold, size)
+    data = np.zeros(total, np.uint8)
+    data[inner] = np.frombuffer(b"".join(x for i, x in enumerate(raw) if i not in ready), np.uint8)
+    rank = np.full(total, NONE, np.int64)
+    if total:
         rank[:-1] = pair[data[:-1], data[1:]]
         rank[end[size > 0] - 1] = NONE
-    place = np.arange(len(data)) - np.repeat(end - size, size)
+        rank[~inner] = NONE
     ids = known[data]
-    ids[end[token >= 0] - 1] = token[token >= 0]
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], end]), pa.int32()), pa.array(rank << RANK | place << PLACE | ids))
+    ids[~inner] = [t for i in sorted(ready) for t in ready[i]]
+    place = np.arange(total) - np.repeat(end - size, size)
+    arrays = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], end]), pa.int32()), pa.array(rank << RANK | place << PLACE | ids))
+    return arrays, pa.array(np.where(fold, np.maximum(size - 1, 0), 0), pa.int32())
 
 
 @lru_cache(maxsize=4)
@@ -141,6 +182,55 @@ def _binary(data: np.ndarray, edges: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+class Known:
+    """Words with places from 0, and their ids."""
+
+    def __init__(self, words: list[str], flat: np.ndarray, at: np.ndarray):
+        self.place = {w: i for i, w in enumerate(words)}
+        self.flat, self.at = flat, at
+
+
+def frequent_words(docs: DataFrame, path: str, cutter: str, text_col: str) -> Known:
+    """The words of some documents, the most frequent ones, with their ids."""
+    from pyspark import TaskContext
+
+    tables = (*byte_tables(path), ranks(path))
+
+    def seen(batches):
+        found: Counter[str] = Counter()
+        if TaskContext.get().partitionId() < SEEN_TASKS:
+            find, left = regex.compile(cutter).findall, SEEN_ROWS
+            for batch in batches:
+                for text in batch.column(0).slice(0, left):
+                    found.update(find(text.as_py() or ""))
+                left -= batch.num_rows
+                if left <= 0:
+                    break
+        words = [w for w in found if len(w) <= LONG // 4]
+        for lo in range(0, len(words), ROWS):
+            part = words[lo : lo + ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([found[w] for w in part], pa.int64())], ["word", "n"])
+
+    def elements(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), *byte_elements(batch.column(0).to_pylist(), *tables)], ["word", "e", "steps"])
+
+    counts = docs.select(text_col).mapInArrow(releasing(seen), "word string, n long")
+    counts = keep(counts.groupBy("word").agg(F.sum("n").alias("n")))
+    least, total = 1, 0
+    for r in counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect():  # at most 10,000 rows
+        total += r["words"]
+        if total > MAX_KNOWN:
+            least = r["n"] + 1
+            break
+    parts = 4 * docs.sparkSession.sparkContext.defaultParallelism
+    wanted = counts.where(F.col("n") >= least).select("word").repartition(parts, "word")
+    made = wanted.mapInArrow(elements, "word string, e array<long>, steps int").select("word", fold_merges(F.col("e"), F.col("steps"), path).alias("ids")).toArrow()
+    ids = made.column("ids").combine_chunks()
+    size = np.diff(ids.offsets.to_numpy()) if len(ids) else np.zeros(0, np.int64)
+    return Known(made.column("word").to_pylist(), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.concatenate([[0], np.cumsum(size, dtype=np.int64)]))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", as_array: bool = True, decoded: str | None = None, carry_text: bool = False) -> DataFrame:
     """docs with ids: an array, or without as_array their little-endian unsigned 32-bit bytes.
 
@@ -150,32 +240,35 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", as_
     small_batches(docs.sparkSession)
     columns = [f for f in docs.schema.fields if f.name not in ("ids", decoded) and (carry_text or f.name != text_col)]
     kept = [f.name for f in columns]
+    _word, _steps, _places, _fresh, _ids = free(docs, "word", "steps", "places", "fresh", "ids")
     # white space as the library's engine has it
     tables = (*byte_tables(path), ranks(path))  # sent to the tasks, which don't read the vocabulary's file
     own = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
+    often = docs.sparkSession.sparkContext.broadcast(frequent_words(docs, path, own, text_col))
 
     def cut(batches):
         find = regex.compile(own).findall
-        places: dict[str, int] = defaultdict(count().__next__)
-        sent, waiting, size = 0, [], 0
+        start = len(often.value.place)
+        places: dict[str, int] = defaultdict(count(start).__next__, often.value.place)
+        sent, waiting, size = start, [], 0
 
         def flush():
-            nonlocal sent, waiting, size
-            words = list(places)[sent:] if len(places) > sent else []
+            nonlocal places, sent, waiting, size
+            words = list(islice(places, sent, None))
             for lo in range(0, len(words), ROWS):
                 part = words[lo : lo + ROWS]
                 n = len(part)
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(n, t) for t in types), byte_elements(part, *tables), pa.nulls(n, pa.binary()), pa.array([False] * n)], names)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(n, t) for t in types), *byte_elements(part, *tables), pa.nulls(n, pa.binary()), pa.array([False] * n)], names)
             sent = len(places)
-            fresh = sent > MAX_WORDS
+            fresh = sent - start > MAX_WORDS
             for i, (batch, found) in enumerate(waiting):
                 last = [False] * (len(found) - 1) + [fresh and i == len(waiting) - 1]
-                yield pa.RecordBatch.from_arrays([*batch, pa.nulls(len(found), pa.list_(pa.int64())), pa.array(found, pa.binary()), pa.array(last)], names)
+                n = len(found)
+                yield pa.RecordBatch.from_arrays([*batch, pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.array(found, pa.binary()), pa.array(last)], names)
             waiting, size = [], 0
             if fresh:
-                places.clear()
-                places.default_factory = count().__next__
-                sent = 0
+                places = defaultdict(count(start).__next__, often.value.place)
+                sent = start
 
         for batch in batches:
             own_columns = [batch.column(x) for x in kept]
@@ -193,10 +286,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", as_
         if waiting:
             yield from flush()
 
-    names = [*kept, "_word", "_places", "_fresh"]
+    names = [*kept, _word, _steps, _places, _fresh]
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in columns)
-    lines = docs.select(*kept, *[text_col] * (not carry_text)).mapInArrow(releasing(cut), f"{fields}_word array<long>, _places binary, _fresh boolean")
-    folded = lines.select(*kept, F.when(F.col("_word").isNotNull(), fold_merges(F.col("_word"), path)).alias("_ids"), "_places", "_fresh")
+    lines = docs.select(*kept, *[text_col] * (not carry_text)).mapInArrow(releasing(cut), f"{fields}`{_word}` array<long>, `{_steps}` int, `{_places}` binary, `{_fresh}` boolean")
+    folded = lines.select(*kept, F.when(F.col(_word).isNotNull(), fold_merges(F.col(_word), F.col(_steps), path)).alias(_ids), _places, _fresh)
 
     pieces = sorted(ranks(path).items(), key=lambda x: x[1])
     length = np.zeros(pieces[-1][1] + 1, np.int64)
@@ -207,10 +300,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", as_
     def join(batches):
         parts: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
-        flat, at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        flat, at = often.value.flat, often.value.at
 
         for batch in batches:
-            place = batch.column("_places")
+            place = batch.column(_places)
             is_doc = np.asarray(place.is_valid())
             # runs of words and runs of documents
             edges = np.flatnonzero(np.diff(is_doc)) + 1
@@ -218,7 +311,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", as_
                 if lo == hi:
                     continue
                 if not is_doc[lo]:
-                    ids = batch.column("_ids").slice(lo, hi - lo)
+                    ids = batch.column(_ids).slice(lo, hi - lo)
                     parts.append(ids.flatten().to_numpy(zero_copy_only=False))
                     sizes.append(np.diff(ids.offsets.to_numpy()))
                     continue
@@ -243,8 +336,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", as_
                         length = np.concatenate([[0], np.cumsum(piece_at[ids + 1] - piece_at[ids])])
                         out.append(_binary(_gather(piece_data, piece_at, ids), length[edges_]))
                     yield pa.RecordBatch.from_arrays(out, [*kept, "ids", *[decoded] * bool(decoded)])
-                if batch.column("_fresh")[hi - 1].as_py():
-                    flat, at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+                if batch.column(_fresh)[hi - 1].as_py():
+                    flat, at = often.value.flat, often.value.at
 
     return folded.mapInArrow(releasing(join), f"{fields}ids {'array<int>' if as_array else 'binary'}" + f", `{decoded}` binary" * bool(decoded))
 

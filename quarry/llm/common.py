@@ -41,6 +41,15 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own, beginning with underscores, that none of df's begin with."""
+    taken = [c.lower() for c in df.columns]
+    lead = "_"
+    while any(c.startswith(lead) for c in taken):
+        lead += "_"
+    return [lead + n for n in names]
+
+
 BROADCAST_ROWS = 200_000
 
 

@@ -65,3 +65,26 @@ def test_html_modifiers_drop_no_article():
 def test_html_other_languages():
     text = "\u4e2d\u6587\u7f51\u9875\u7684\u6b63\u6587" * 15
     assert extract(f"<body><div><p>{text}</p></div><ul><li><a href=1>{text}</a></li></ul></body>") == text
+
+
+def test_bpe_of_long_words_and_clashing_columns(spark):
+    """Words of 100,000 letters, and columns named as those that the operator works with."""
+    import base64
+    import random
+
+    import public_tokenizers as P
+    import tiktoken
+
+    from quarry.llm import bpe
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    plain = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("etaoinshr") for _ in range(100_000)), "a" * 3000, "the " * 5, "é" * 600 + " x", None]
+    docs = spark.createDataFrame([(i, t, "w", i, "p") for i, t in enumerate(texts)], "doc_id long, text string, _word string, _steps int, __places string")
+    rows = bpe.encode(docs, path, P.PATTERN, decoded="back", carry_text=True).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r["ids"] == plain.encode_ordinary(r["text"] or "") and bytes(r["back"]).decode() == (r["text"] or "")
+        assert (r["_word"], r["_steps"], r["__places"]) == ("w", r["doc_id"], "p")
