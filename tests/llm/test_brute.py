@@ -226,3 +226,34 @@ def test_block_max_index_is_exact():
         got = index.nearest(terms, weights, 15)
         full = np.sort(v[:, terms].astype(np.float64) @ weights)[::-1]
         assert np.allclose([c for c, _ in got], full[: len(got)])
+
+
+def test_sharding_places_by_weight():
+    """Shares follow weights, alike over regions and racks, and a row's place is that of the earliest arrival."""
+    keys = np.random.default_rng(8).integers(0, 2**63, 60_000).astype(np.uint64)
+    weights = [1.0] * 40
+    weights[7], weights[33], weights[12] = 4.0, 2.0, 0.0
+    when, shard = sharding.first_arrivals(keys, weights)
+    own = shard[np.arange(len(keys)), when.argmin(axis=1)]
+    share = np.bincount(own, minlength=40) / len(keys)
+    assert np.abs(share - np.array(weights) / sum(weights)).max() < 0.006 and share[12] == 0
+    # an arrival by arrival version of one region
+    for key in keys[:50]:
+        h, t = sharding.mix(np.array([key]) + np.uint64(2) * sharding.GOLDEN), 0.0
+        while True:
+            h = sharding.mix(h + sharding.GOLDEN)
+            u = [float(sharding._unit(sharding.mix(h ^ np.uint64(i)))[0]) for i in (1, 3)]
+            t -= math.log(float(sharding._unit(h)[0])) / 80
+            rack = int(u[0] * 4)
+            leaf = 20 + 5 * rack + int(float(sharding._unit(sharding.mix(h ^ np.uint64(2)) + np.uint64(rack))[0]) * 5)
+            if u[1] * 4 < weights[leaf]:
+                break
+        i = int(np.flatnonzero(keys == key)[0])
+        assert shard[i, 1] == leaf and math.isclose(when[i, 1], t)
+
+
+def test_slots_of_repeated_ids_agree(spark):
+    rows = [(1, "a"), (1, "b"), (1, "b"), (None, "c"), (None, None), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [sorted(map(str, sharding.op3_sharding(d).collect())) for d in (docs, docs.repartition(3), docs.orderBy("text"))]
+    assert found[0] == found[1] == found[2]
