@@ -1,26 +1,32 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks at block-level tags. Elements that never hold the article (menus, page
-headers, footers, sidebars, forms, scripts, and elements whose class, id or role says advert, notice,
-comments and the like) are left out. Pass one classifies each block from its length, its link density
-and the density of stop words in it; a block within <article> or <main> needs no stop words. Short
-blocks stay ambiguous. Pass two gives each ambiguous block the label of its nearest decided neighbours:
-good if either side's is, or if it lies within the article. Where an element holds the article, blocks
-outside it are no part of it.
-
-A part of a compound class name drops no element that holds most of the page's text, nor does a part after a word
-like "no" or "with". Where no block of a page reaches the share of stop words, as in other languages, length and
-link density decide. The head ends where anything but metadata begins, a left-out element with its parent, and a
-menu where an article begins.
+A page is cut into blocks at block-level tags. Elements that never hold the article (menus, page headers,
+footers, sidebars, forms, scripts, hidden ones) are left out, and so are elements whose class, id or role names
+them as such: at once where the whole name is one of FIRM or names readers' comments, otherwise only where the
+element doesn't hold most of the page's text. On a paragraph or heading such a name is a doubt about the block
+only, and an id on a heading, which is an anchor, none.
+
+Pass one classifies blocks by length, link density and the density of stop words: a long block with stop words is
+good; one that is mostly links, or doubtful and not good, is bad; a long one without stop words is bad outside the
+article. The others are ambiguous: short blocks, headings, and in the article any block that isn't long and dense, and
+a paragraph that is one link. Pass two gives ambiguous blocks the label of their nearest decided neighbours on the
+same side of the article's edge: good if either is; in the article good but for a heading between bad blocks; without
+decided neighbours good in the article. Where an element holds the article, good blocks outside it are no part of
+it, unless they hold BESIDE times its text. Where no block of a page has the share of stop words, as in other
+languages, length and link density decide. The head ends where anything but metadata begins, a left-out element
+with its parent, and a menu where an article begins.
 
 Defined results: null or empty html gives an empty text; unclosed elements end where their parent or the
-page does; a bad character reference stays as it is; each row is extracted by itself.
+page does; a bad character reference stays as it is; long pages are read whole; each row is extracted by itself, so
+repeated rows and ids come back each; an empty table gives none; columns of pages keep their names and values, but
+for the html and for ones named as those that are added, which these replace.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,14 +38,17 @@ OUT = frozenset("nav footer aside form dialog menu head".split())
 OUT_WORD = re.compile(
     r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|"
     r"sidebar|side|aside|widget|menu\w*|nav\w*|navbar|breadcrumbs?|pagination|pager|toolbar|tabs|footer|header|masthead|topbar|comments?|commentlist|disqus|replies|respond|"
-    r"share|sharing|social|related|recommend\w*|tags|search|form|legal|disclaimer)",
+    r"share|sharing|social|related|recommend\w*|tags|search|form|legal|disclaimer|teaser)",
     re.I,
 )
+FIRM = re.compile(r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|cookies?|consent|gdpr|newsletter|sidebar|nav|navbar|navigation|breadcrumbs?|pagination|footer|masthead|topbar)", re.I)
+READERS = frozenset("comment comments commentlist disqus reply replies respond".split())
+STATES = frozenset("open closed on off enabled disabled count link number".split())
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd dt figcaption span b i em strong a".split())
 PART = re.compile(r"[\s_:-]+|(?<=[a-z])(?=[A-Z])")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-OF_READERS = re.compile(r"comment|reply|replies", re.I)
 OUT_ROLE = re.compile(r"\brole\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|form|dialog|alert|menu)", re.I)
-NAMED = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+NAMED = re.compile(r"\b(class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -51,37 +60,55 @@ STOP = frozenset(
     "el los las y que del por con una para su no lo al más se sus como ha pero este o fue ya entre cuando muy sin sobre también me hasta hay donde desde".split()
 )
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|textarea|iframe|object|select|button|title|canvas|audio|video)\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|iframe|object|select|button|title|canvas|audio|video)\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*+(?:>|\Z)|<[!?][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
 
 METADATA = frozenset("base link meta".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NESTED = BLOCK - frozenset("dd dt li optgroup option p tbody td tfoot th thead tr".split())  # their end tags aren't optional
 MODIFIER = frozenset("with without no not has have hide hidden show toggle is non".split())
 
 LONG, SHORT = 70, 25
 LINKED, STOPPED = 0.5, 0.12
+BESIDE = 4
+
+
+def _of_readers(parts: list[str]) -> bool:
+    """Whether a name is that of readers' comments, and not of a state that an article has."""
+    return any(w in READERS and not (i and parts[i - 1] in MODIFIER) and not (i + 1 < len(parts) and parts[i + 1] in STATES) for i, w in enumerate(parts))
 
 
 def _beside(attributes: str, tag: str, inside: bool) -> str:
-    """Whether an element's attributes say that it isn't of the article: sure, maybe (by a part of a name) or nothing."""
+    """Whether an element's attributes say that it isn't of the article: sure, maybe, doubt (of the block alone) or nothing."""
     if HIDDEN.search(attributes):
         return "sure"
-    named = [x[1] or x[2] or x[3] or "" for x in NAMED.finditer(attributes)]
-    if tag in ("article", "main", "body", "html"):
-        return "sure" if tag == "article" and any(map(OF_READERS.search, named)) else ""
+    if tag in ("main", "body", "html"):
+        return ""
     if OUT_ROLE.search(attributes):
-        return "sure"
+        return "maybe" if tag in PARAGRAPHS else "sure"
+    heading = tag in HEADINGS
     found = ""
-    for name in (x for n in named for x in n.split()):
-        parts = [w.lower() for w in PART.split(name)]
-        for i, w in enumerate(parts):
-            if not OUT_WORD.fullmatch(w) or inside and w in ("header", "masthead") or i and parts[i - 1] in MODIFIER:
-                continue
-            if len(parts) == 1 or OF_READERS.search(name):
+    for m in NAMED.finditer(attributes):
+        if heading and m[1].lower() == "id":
+            continue
+        for name in (m[2] or m[3] or m[4] or "").split():
+            parts = [w.lower() for w in PART.split(name) if w]
+            if _of_readers(parts):
                 return "sure"
-            found = "maybe"
+            if tag == "article":
+                found = "maybe" if "teaser" in parts else found
+                continue
+            for i, w in enumerate(parts):
+                if not OUT_WORD.fullmatch(w) or inside and w in ("header", "masthead") or i and parts[i - 1] in MODIFIER or w in READERS:
+                    continue
+                if tag in PARAGRAPHS:
+                    found = found or "doubt"
+                elif len(parts) == 1 and FIRM.fullmatch(w):
+                    return "sure"
+                else:
+                    found = "maybe"
     return found
 
 
@@ -111,22 +138,30 @@ def _most(page: str) -> set[int]:
     return {begin for begin, n in held if 2 * n > total}
 
 
-def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
-    """Text, characters in links, whether in the article, and whether a heading, of each block."""
+class Block(NamedTuple):
+    text: str
+    linked: int  # characters in links
+    article: bool
+    heading: bool
+    paragraph: bool
+    doubt: bool
+
+
+def blocks(page: str) -> list[Block]:
     found, parts, linked = [], [], 0
     skip: list[str] = []  # open elements from the one that is left out
     nested: dict[str, int] = {}  # how many of each name are open around it
     most: set[int] | None = None
-    article, heading, anchors, at = 0, False, 0, 0
+    article, heading, paragraph, doubt, anchors, at = 0, False, False, False, 0, 0
 
     def close() -> None:
-        nonlocal linked
+        nonlocal linked, doubt
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                found.append((text, linked, article > 0, heading))
+                found.append(Block(text, linked, article > 0, heading, paragraph, doubt))
             parts.clear()
-        linked = 0
+        linked, doubt = 0, False
 
     for m in TOKEN.finditer(page):
         piece = page[at : m.start()]
@@ -156,7 +191,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
                 anchors = max(0, anchors - 1)
             elif tag in BLOCK:
                 close()
-                heading, anchors = False, 0
+                heading, paragraph, anchors = False, False, 0
                 if tag in ("article", "main"):
                     article = max(0, article - 1)
             continue
@@ -175,8 +210,10 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
                 continue
         if tag in BLOCK:
             close()
-            heading, anchors = tag in ("h1", "h2", "h3", "h4", "h5", "h6"), 0
-        out = "sure" if tag in OUT or tag == "header" and not article else _beside(m[4], tag, article > 0) if m[4] else ""
+            heading, paragraph, anchors = tag in HEADINGS, tag == "p", 0
+        out = "maybe" if tag == "form" else "sure" if tag in OUT or tag == "header" and not article else _beside(m[4], tag, article > 0) if m[4] else ""
+        if out == "doubt":
+            doubt, out = True, ""
         if out == "maybe":
             most = _most(page) if most is None else most
             out = "" if m.start() in most else out
@@ -195,49 +232,66 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
     return found
 
 
-def labels(found: list[tuple[str, int, bool, bool]]) -> list[bool]:
+def _stops(text: str) -> float:
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?") in STOP for w in words) / len(words)
+
+
+def first_pass(found: list[Block]) -> list[bool | None]:
+    """Good, bad or ambiguous, by a block's own length, links and stop words."""
     first: list[bool | None] = []
-    foreign: list[int] = []  # long blocks without many links that only lack stop words
-    for text, linked, article, heading in found:
-        density = linked / len(text)
-        if density > LINKED:
-            first.append(False)
-        elif len(text) < SHORT or heading:
-            first.append(None)
-        elif article:
+    plain: list[int] = []  # long blocks without many links that only lack stop words
+    for b in found:
+        if b.linked > LINKED * len(b.text):
+            first.append(None if b.article and b.paragraph and not b.doubt else False)
+        elif b.heading or len(b.text) < SHORT:
+            first.append(False if b.doubt else None)
+        elif len(b.text) >= LONG and _stops(b.text) >= STOPPED:
             first.append(True)
         else:
-            words = text.lower().split()
-            stops = sum(w.strip(".,;:!?") in STOP for w in words) / len(words)
-            if len(text) >= LONG and stops < STOPPED:
-                foreign.append(len(first))
-            first.append(None if len(text) < LONG else stops >= STOPPED)
+            if len(b.text) >= LONG:
+                plain.append(len(first))
+            first.append(False if b.doubt or len(b.text) >= LONG and not b.article else None)
     if True not in first:
-        for i in foreign:
+        for i in plain:
             first[i] = True
-    before: list[bool | None] = []
-    for x in first:
-        before.append(x if x is not None else before[-1] if before else None)
-    after: bool | None = None
-    out = [False] * len(first)
-    for i in range(len(first) - 1, -1, -1):
-        after = first[i] if first[i] is not None else after
-        if first[i] is not None:
-            out[i] = first[i]
-        elif before[i] is None and after is None:
-            out[i] = found[i][2]
+    return first
+
+
+def _nearest(first: list[bool | None], found: list[Block]) -> list[bool | None]:
+    """For each block the last decided label before it on its side of the article's edge."""
+    out, last, side = [], None, None
+    for x, b in zip(first, found, strict=True):
+        if b.article != side:
+            last, side = None, b.article
+        out.append(last)
+        last = x if x is not None else last
+    return out
+
+
+def labels(found: list[Block]) -> list[bool]:
+    first = first_pass(found)
+    before, after = _nearest(first, found), _nearest(first[::-1], found[::-1])[::-1]
+    out = []
+    for x, b, left, right in zip(first, found, before, after, strict=True):
+        if x is not None:
+            out.append(x)
+        elif left is None and right is None:
+            out.append(b.article)
         else:
             # in the article, a list of links beside it says nothing of a short block
-            out[i] = bool(before[i] or after) or found[i][2]
-    if any(good and b[2] for good, b in zip(out, found, strict=True)):
+            between = b.heading and left is False and right is False
+            out.append(bool(left or right) or b.article and not between)
+    held = [sum(len(b.text) for good, b in zip(out, found, strict=True) if good and b.article == side) for side in (False, True)]
+    if held[1] and held[0] <= BESIDE * held[1]:
         # where an element holds the article, what is beside it isn't part of it
-        out = [good and b[2] for good, b in zip(out, found, strict=True)]
+        out = [good and b.article for good, b in zip(out, found, strict=True)]
     return out
 
 
 def extract(page: str | None) -> str:
     found = blocks(page or "")
-    return "\n".join(b[0] for b, good in zip(found, labels(found), strict=True) if good)
+    return "\n".join(b.text for b, good in zip(found, labels(found), strict=True) if good)
 
 
 def extract_pages(pages: DataFrame, html: str = "html", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
