@@ -36,7 +36,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 def keep(df: DataFrame) -> DataFrame:
     """Computes df once into the checkpoint folder, so that a lost executor costs a reread. Spark
-    deletes the files when nothing refers to them any more."""
+    deletes the files of results that nothing refers to any more where the session has
+    spark.cleaner.referenceTracking.cleanCheckpoints; otherwise the folder is to be emptied between runs."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 

@@ -9,7 +9,9 @@ its distinct lines; counts are combined before the shuffle, so a host with a thi
 line on every page, is no hot task. The ratio is low, as licence lines and footers stand on 0.7 to 1.8 %
 of a host's pages: up to MIN_PAGES / MAX_RATIO pages only MIN_PAGES decides. A line on fewer pages of each of
 its hosts is kept, on however many hosts it stands. Blank lines are never boilerplate. Defined results: null text stays
-null; a null host is a host; a page is a row, so repeated rows count as pages; an empty table gives none.
+null; a null host is a host; a page is a row, so repeated rows count as pages; long texts
+are read whole; an empty table gives none; columns of docs keep their names and values, but for the text and for one
+named as the count, which these replace.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, keep
+from .common import SPACE, free, keep
 
 MAX_RATIO = 0.001
 MIN_PAGES = 8
@@ -47,19 +49,21 @@ def boilerplate(docs: DataFrame, host: str, text: str, max_ratio: float = MAX_RA
     return bad.groupBy("_host").agg(F.sort_array(F.collect_list("_k")).alias("_keys"))
 
 
-def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """docs, with text without its host's boilerplate lines, and n_lines_dropped."""
+def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, dropped: str = "n_lines_dropped") -> DataFrame:
+    """docs, with text without its host's boilerplate lines, and how many were dropped."""
     bad = keep(boilerplate(docs, host, text, max_ratio, min_pages))
     found = bad.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_keys")), F.lit(0))).first()
-    if found[0] + found[1] <= BROADCAST_LINES:
-        bad = F.broadcast(bad)  # 16 bytes a line; beyond that, a join that splits a hot host
-    rows = docs.join(bad, docs[host].eqNullSafe(bad["_host"]), "left")
+    few = found[0] + found[1] <= BROADCAST_LINES
+    _host, _keys, _kept = free(docs, "host", "keys", "kept")
+    bad = bad.select(F.col("_host").alias(_host), F.col("_keys").alias(_keys))
+    bad = F.broadcast(bad) if few else bad  # 16 bytes a line; beyond that, a join that splits a hot host
+    rows = docs.join(bad, F.col(host).eqNullSafe(F.col(_host)), "left")
     lines = _lines(F.col(text))
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_keys"), _key(_trimmed(x))))
-    rows = rows.withColumn("_kept", F.when(F.col("_keys").isNull(), lines).otherwise(kept))
-    dropped = F.coalesce(F.size(lines) - F.size("_kept"), F.lit(0)).cast("long")
-    others = [docs[c] if c != text else F.array_join("_kept", "\n").alias(text) for c in docs.columns]
-    return rows.select(*others, F.when(F.col(text).isNull(), F.lit(0)).otherwise(dropped).cast("long").alias("n_lines_dropped"))
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col(_keys), _key(_trimmed(x))))
+    rows = rows.withColumn(_kept, F.when(F.col(_keys).isNull(), lines).otherwise(kept))
+    count = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.coalesce(F.size(lines) - F.size(_kept), F.lit(0))).cast("long")
+    others = [F.col(f"`{c}`") if c != text else F.array_join(_kept, "\n").alias(text) for c in docs.columns if c != dropped]
+    return rows.select(*others, count.alias(dropped))
 
 
 def op1_line_dedup(docs: DataFrame) -> DataFrame:

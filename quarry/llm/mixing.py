@@ -14,7 +14,9 @@ another permuted order, then fill its quotas, disjointly; within a shard documen
 
 Only DataFrame operations are used. All draws are hashes of a seed, the source and doc_id, so reruns
 agree. Tickets number a few thousand at any size of input. Defined results: null text has size 0; null is
-a source; rows that repeat a doc_id are taken alike; a source without words has target 0.
+a source; rows that repeat a doc_id are taken alike; long texts are counted and taken whole; a source without words
+has target 0; an empty table gives none; columns of docs keep their names and values. Sources are few: a row for each
+of them, and for each ticket at the tree's root, is handled by one task, which suits tens of thousands of them.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, keep, small
+from .common import WORD, free, keep, small
 
 WEIGHTS = (5, 2, 1)
 BLOCKS = 4096
@@ -64,10 +66,11 @@ def split_quotas(tickets: DataFrame, levels: int, seed: int) -> DataFrame:
 
 
 def plan_mix(docs: DataFrame, seed: int = 0, levels: int = SHARDS_LOG2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs with _size, _source_size, _target, _copies (0 to 2) and _shards, that of each copy."""
-    base = docs.withColumn("_size", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
+    """docs, all columns in a struct `row`, with _size, _source_size, _target, _copies (0 to 2) and _shards, that of each copy."""
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     key = _hash(F.col(id_col), seed=seed, salt=1)
-    lean = base.select(F.col(source_col).alias("source"), key.alias("_key"), F.col("_size").alias("size"))
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), size.alias("_size"), key.alias("_key"), F.col(source_col).alias("_source"))
+    lean = base.select(F.col("_source").alias("source"), "_key", F.col("_size").alias("size"))
     # one row for each id: repeated rows of an id are taken together
     lean = keep(lean.groupBy("source", "_key").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")))
     sources = keep(lean.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum("rows").alias("n_rows")))
@@ -142,30 +145,29 @@ def plan_mix(docs: DataFrame, seed: int = 0, levels: int = SHARDS_LOG2, id_col:
         .select("source", "block", "passes", "whole", "shards", (F.col("block") == F.col("edge_block")).alias("is_edge"), "last_key", "fill_key")
     )
     # each row decides for itself from its block's row
-    rows = base.withColumn("_key", key)
     # a row for each source, and one for each block; beyond that many sources, joins that split a hot one
     some = small(shares).select(F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "n_blocks")
-    rows = rows.join(some, F.col(source_col).eqNullSafe(F.col("_s"))).withColumn("_block", block())
+    rows = base.join(some, F.col("_source").eqNullSafe(F.col("_s"))).withColumn("_block", block())
     chosen = small(chosen).select(F.col("source").alias("_c"), F.col("block").alias("_b"), "passes", "whole", "shards", "is_edge", "last_key", "fill_key")
     rows = rows.join(chosen, F.col("_s").eqNullSafe(F.col("_c")) & (F.col("_block") == F.col("_b")))
     more = F.col("whole") | (F.coalesce("is_edge", F.lit(False)) & F.coalesce((F.col("_key") <= F.col("last_key")) | (F.col("_key") == F.col("fill_key")), F.col("_key") == F.col("fill_key"), F.lit(False)))
     rows = rows.withColumn("_copies", (F.col("passes") + more.cast("long")).cast("long"))
     shards = F.slice(F.coalesce("shards", F.array().cast("array<int>")), F.lit(1), F.col("_copies").cast("int"))
-    return rows.withColumn("_shards", shards).select(*docs.columns, "_size", "_source_size", "_target", "_copies", "_shards")
+    return rows.withColumn("_shards", shards).select("row", "_size", "_source_size", "_target", "_copies", "_shards")
 
 
 def mix_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The rows that the mix takes, repeats too, with docs' columns: by shard, shuffled within each."""
     planned = plan_mix(docs, seed)
     turn = F.posexplode("_shards").alias("_copy", "_shard")
-    taken = planned.select(*docs.columns, turn).withColumn("_order", _hash("doc_id", "_copy", "_shard", seed=seed, salt=5))
-    return taken.repartition("_shard", F.pmod("_order", F.lit(32))).sortWithinPartitions("_shard", "_order").select(*docs.columns)
+    taken = planned.select("row", turn).withColumn("_order", _hash("row.doc_id", "_copy", "_shard", seed=seed, salt=5))
+    return taken.repartition("_shard", F.pmod("_order", F.lit(32))).sortWithinPartitions("_shard", "_order").select("row.*")
 
 
 def op8_mixing(docs: DataFrame) -> DataFrame:
     planned = plan_mix(docs.select("doc_id", "text", "source"))
     return planned.select(
-        "doc_id",
+        "row.doc_id",
         F.col("_size").alias("size"),
         F.col("_source_size").alias("source_size"),
         F.col("_target").alias("target"),

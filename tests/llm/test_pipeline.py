@@ -31,3 +31,13 @@ def test_run(spark, folder):
     assert rows and all(r["round_trip"] for r in rows)
     ids = {r["doc_id"] for r in rows}
     assert 2 not in ids  # a copy of 1
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stage_keeps_clashing_columns(spark, folder, name, stage):
+    """Columns named as those that stages work with keep their values."""
+    names = "_host _keys _kept _dropped _gone _s _c _b _key _size _block _copies _shards _word _places _steps _fresh _toxicity _back row source_size component".split()
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumns({c: F.lit(c + "!") for c in names})
+    made = stage(spark, docs, folder)
+    for r in made.select(*names).collect():
+        assert all(r[c] == c + "!" for c in names)
