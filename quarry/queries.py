@@ -689,6 +689,10 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", T.normal_url(F.col("url")).alias("url"), T.web_host_valid(F.col("url")).alias("valid"))
 
 
+# queries in modules of their own register themselves here
+from quarry import profile_queries  # noqa: E402, F401
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
