@@ -79,5 +79,33 @@ def dense_topk(queries: DataFrame, rows: DataFrame, k: int, metric: str = "l2sq"
     return top(dense_scores(queries, rows, k, metric), k, "query_id", score="distance", descending=False)
 
 
+def dense_grouped_topk(queries: DataFrame, rows: DataFrame, k: int, group: str, metric: str = "l2sq") -> DataFrame:
+    """The k nearest of each query in each group of rows (id, v, group), in one pass over the rows; null is a group.
+    A task keeps its best k for each query and group."""
+    first = queries.select(F.size("v").alias("d")).first()
+    kind = rows.schema[group].dataType.simpleString()
+    out = f"query_id long, id long, distance double, `{group}` {kind}"
+    if first is None:
+        return queries.sparkSession.createDataFrame([], out + ", rank int")
+    n = queries.count()
+    if n * first["d"] > BROADCAST_NUMBERS:
+        raise ValueError("too many queries at once: ask in parts")
+    asked = queries.orderBy("query_id").collect()
+    q_ids, q = np.array([r["query_id"] for r in asked], np.int64), np.array([r["v"] for r in asked], np.float64)
+
+    def run(batches):
+        for b in batches:
+            own = b.column(group).dictionary_encode(null_encoding="encode")
+            codes = own.indices.to_numpy()
+            for g in np.unique(codes):
+                part = b.take(pa.array(np.flatnonzero(codes == g)))
+                best = _best(q_ids, q, part.column("id").to_numpy(), _matrix(part.column("v"), part.num_rows), k, metric)
+                label = part.column(group).take(pa.array(np.zeros(best.num_rows, np.int64)))
+                yield pa.RecordBatch.from_arrays([*best.columns, label], [*best.schema.names, group])
+
+    found = rows.select(F.col("id").cast("long"), "v", group).where("v is not null").mapInArrow(run, out)
+    return top(found, k, "query_id", group, score="distance", descending=False)
+
+
 def relevance(distance):
     return 1 / (1 + distance)

@@ -6,7 +6,9 @@ asked terms reach an exchange. Corpus figures come from one pass over document l
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import match_terms, normalize_search, strip
@@ -76,14 +78,70 @@ def bm25(tok: DataFrame, queries: DataFrame, variant: str = "legacy", scope: Dat
     return scored.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 
 
-def with_phrase_bonus(docs: DataFrame, scores: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+PUSHED_TERMS = 500
+
+
+@dataclass(frozen=True)
+class LexicalIndex:
+    """postings: id, dl, term, tf, in the order of terms; df: term, df; figures: one row of n, avgdl and mean, that of all
+    terms' okapi idf; bodies: id, low and normal, a text in lower case and in its normal form."""
+
+    postings: DataFrame
+    df: DataFrame
+    figures: DataFrame
+    bodies: DataFrame
+
+
+def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> LexicalIndex:
+    """Writes the index of docs. Postings are dealt and sorted by term, so that a scan for asked terms skips the rest."""
+    tok = tokens(docs, id_col, text_col)
+    long = tok.select("id", F.greatest(F.size("terms"), F.lit(1)).cast("long").alias("dl"), F.explode("terms").alias("term"))
+    counted = long.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    spark = docs.sparkSession
+    term_df(spark.read.parquet(f"{path}/postings")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/df")
+    figures, f = corpus(tok), F.col("df")
+    mean = spark.read.parquet(f"{path}/df").join(F.broadcast(figures), how="cross").agg(F.avg(F.log(F.col("n") - f + 0.5) - F.log(f + 0.5)).alias("mean"))
+    figures.join(mean, how="cross").write.mode("overwrite").parquet(f"{path}/figures")
+    docs.select(F.col(id_col).alias("id"), F.lower(text_col).alias("low"), normalize_search(F.col(text_col)).alias("normal")).write.mode("overwrite").parquet(f"{path}/bodies")
+    return read_index(spark, path)
+
+
+def read_index(spark: SparkSession, path: str) -> LexicalIndex:
+    return LexicalIndex(*(spark.read.parquet(f"{path}/{x}") for x in ("postings", "df", "figures", "bodies")))
+
+
+def bm25_indexed(index: LexicalIndex, queries: DataFrame, variant: str = "legacy", scope: DataFrame | None = None) -> DataFrame:
+    """bm25() from a written index: only postings of asked terms are read, while these are few."""
+    asked = query_terms(queries)
+    wanted = [r["term"] for r in asked.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+    if len(wanted) <= PUSHED_TERMS:
+        keep = lambda rows: rows.where(F.col("term").isin(wanted))
+    else:
+        terms = small(asked.select("term").distinct(), MAX_QUERY_TERMS)
+        keep = lambda rows: rows.join(terms, "term", "left_semi")
+    n, f, tf = F.col("n"), F.col("df").cast("double"), F.col("tf")
+    raw = F.log(n - f + 0.5) - F.log(f + 0.5)
+    idf = F.log(1 + (n - f + 0.5) / (f + 0.5)) if variant == "legacy" else F.when(raw < 0, EPSILON * F.col("mean")).otherwise(raw)
+    weights = keep(index.df).join(F.broadcast(index.figures), how="cross").select("term", "avgdl", idf.alias("idf"))
+    post = keep(index.postings)
+    if scope is not None:
+        post = post.join(scope.select("id"), "id", "left_semi")
+    part = F.col("idf") * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
+    return post.join(weights, "term").join(asked, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+
+
+def bodies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.lower(text_col).alias("low"), normalize_search(F.col(text_col)).alias("normal"))
+
+
+def with_phrase_bonus(body: DataFrame, scores: DataFrame, queries: DataFrame) -> DataFrame:
     """Adds 0.8 where a document's text holds the query, and 1.2 where its normal form holds the query's;
-    a document without any term of the query can enter by these."""
+    a document without any term of the query can enter by these. body: as bodies() makes it, or an index has it."""
     asked = small(queries).select("query_id", F.lower(strip(F.col("query"))).alias("_p"), normalize_search(F.col("query")).alias("_n"))
-    body = docs.select(F.col(id_col).alias("id"), F.lower(text_col).alias("_t"), normalize_search(F.col(text_col)).alias("_m"))
     holds = lambda a, b: (F.col(b) != "") & F.contains(F.col(a), F.col(b))
-    hits = body.join(asked, holds("_t", "_p") | holds("_m", "_n"))
-    hits = hits.select("query_id", "id", (F.when(holds("_t", "_p"), 0.8).otherwise(0.0) + F.when(holds("_m", "_n"), 1.2).otherwise(0.0)).alias("score"))
+    hits = body.join(asked, holds("low", "_p") | holds("normal", "_n"))
+    hits = hits.select("query_id", "id", (F.when(holds("low", "_p"), 0.8).otherwise(0.0) + F.when(holds("normal", "_n"), 1.2).otherwise(0.0)).alias("score"))
     return scores.unionByName(hits).groupBy("query_id", "id").agg(F.sum("score").alias("score")).where("score > 0")
 
 

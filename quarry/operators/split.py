@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,37 +58,45 @@ def _windows(pieces: list[str], size: int, overlap: int) -> list[str]:
     return [x for x in out if x]
 
 
+def _runs(sizes: list[int], enough: int) -> list[slice]:
+    """Ranges of neighbours, each just long enough in total; the last one may fall short."""
+    upto = [0, *accumulate(sizes)]
+    runs, at = [], 0
+    while at < len(sizes):
+        end = min(len(sizes), max(at + 1, bisect_left(upto, upto[at] + enough)))
+        runs.append(slice(at, end))
+        at = end
+    return runs
+
+
+def _clauses(sentence: str, most: int) -> list[str]:
+    """A sentence in as few runs of whole clauses as a limit of characters allows."""
+    clauses = [c for c in map(str.strip, CLAUSE_END.split(sentence)) if c]
+    upto = [0, *accumulate(map(len, clauses))]
+    out, at = [], 0
+    while at < len(clauses):
+        end = max(at + 1, bisect_right(upto, upto[at] + most) - 1)
+        out.append("".join(clauses[at:end]))
+        at = end
+    return out
+
+
 def sentence_units(text: str, least: int, most: int) -> list[str]:
-    """Sentences of least to most characters: long ones are cut at clauses, short ones join the next."""
-    parts: list[str] = []
-    for sentence in filter(None, map(str.strip, SENTENCE_END.split(text.strip()))):
-        if len(sentence) <= most:
-            parts.append(sentence)
-            continue
-        held = ""
-        for clause in filter(None, map(str.strip, CLAUSE_END.split(sentence))):
-            if held and len(held) + len(clause) > most:
-                parts.append(held)
-                held = clause
-            else:
-                held += clause
-        parts += [held] if held else []
+    """Sentences of least to most characters. A longer sentence becomes runs of clauses; parts below least join those that
+    follow until they reach it, unless that is too long, in which case the last part stands alone and what is short goes.
+    What is short at the end joins the last unit after a space."""
+    sentences = [s for s in map(str.strip, SENTENCE_END.split(text.strip())) if s]
+    parts = [p for s in sentences for p in ([s] if len(s) <= most else _clauses(s, most))]
     units: list[str] = []
-    held = ""
-    for part in parts:
-        joined = (held + part).strip()
-        if len(joined) < least:
-            held = joined
-        elif len(joined) <= most or not held:
-            units.append(joined)
-            held = ""
+    for run in _runs([len(p) for p in parts], least):
+        own = parts[run]
+        whole = "".join(own)
+        if len(whole) < least:  # only the last run
+            units[-1:] = [f"{units[-1]} {whole}"] if units else []
+        elif len(whole) > most and len(own) > 1:
+            units.append(own[-1])
         else:
-            units += [held, part]
-            held = ""
-    if held and units and len(held) < least:
-        units[-1] = f"{units[-1]} {held}"
-    elif held:
-        units.append(held)
+            units.append(whole)
     return [u for u in units if len(u) >= least]
 
 

@@ -61,8 +61,9 @@ def search(chunks: DataFrame, queries: DataFrame, config: EngineConfig | None =
     if "v" not in queries.columns:
         queries = embed(queries, "query", "v", model or hash_embedding())
     rows = chunks.where(compile_filter(list(conditions), mode))
-    tok = lexical.tokens(rows, "id", text)
-    scores = lexical.with_phrase_bonus(rows, lexical.bm25(tok, queries), queries, "id", text)
+    # figures are those of all chunks, results those of the chunks that the conditions leave
+    found = lexical.bm25(lexical.tokens(chunks, "id", text), queries, scope=rows if conditions else None)
+    scores = lexical.with_phrase_bonus(lexical.bodies(rows, "id", text), found, queries)
     lex = lexical.top(scores, config.lexical_top_k, "query_id")
     near = dense.dense_topk(queries.select("query_id", "v"), rows.select("id", "v"), config.dense_top_k, config.metric)
     fused = fuse(merge_candidates(near, lex), config=config)

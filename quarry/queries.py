@@ -6,6 +6,8 @@ Scores are rounded to six digits before they rank, ties go to the smaller id.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -111,9 +113,6 @@ over_documents("date_ordinals", "with e as (select doc_id, regexp_extract_all(re
 over_documents("sentence_base_split", "with s as (select doc_id, [x for x in string_split(regexp_replace(coalesce(text, ''), '([。！？!?；;])', '\\1' || chr(10), 'g'), chr(10)) if regexp_replace(x, '^\\s+|\\s+$', '', 'g') <> ''] as s from documents) select doc_id, len(s) as n, list_aggregate([regexp_replace(x, '^\\s+|\\s+$', '', 'g') for x in s], 'string_agg', '|') as sentences from s",
     n=lambda: F.size(T.base_sentences(F.col("text"))).cast("long"), sentences=lambda: F.nullif(F.array_join(T.base_sentences(F.col("text")), "|"), F.lit("")))
 over_documents("answer_segments", "select doc_id, len([x for x in regexp_split_to_array(coalesce(text, ''), '[\\n。！？!?；;]+') if length(trim(x)) >= 2]) as n from documents", n=lambda: F.size(split.answer_segments(F.col("text"))).cast("long"))
-over_documents("slugs", "select doc_id, regexp_replace(regexp_replace(lower(left(coalesce(text, ''), 80)), '[^0-9a-z一-鿿]+', '-', 'g'), '^-+|-+$', '', 'g') as slug from documents", slug=lambda: T.slug(F.substring("text", 1, 80)))
-over_documents("char_chunks", "select doc_id, ceil(length(coalesce(text, '')) / 16.0)::bigint as n, substr(text, 17, 16) as second from documents", n=lambda: F.ceil(F.length(T.text("text")) / 16).cast("long"), second=lambda: F.substring("text", 17, 16))
-# whole versions of the two above, which keep what their SQL has: one piece, and the slug of the first 80 characters
 over_documents("slugs_whole", "select doc_id, rtrim(left(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^0-9a-z一-鿿]+', '-', 'g'), '^-+|-+$', '', 'g'), 80), '-') as slug from documents", slug=lambda: F.regexp_replace(F.substring(T.slug(F.col("text")), 1, 80), "-+$", ""))
 
 
@@ -155,6 +154,16 @@ def _(spark, d):
     return lexical.postings(lexical.tokens(docs_of(spark, d))).withColumnRenamed("id", "doc_id")
 
 
+@add("index_postings", f"with {TERMS} select doc_id, dl, term, tf from tf join dl using (doc_id)")
+def _(spark, d):
+    return stored(spark, d).postings.withColumnRenamed("id", "doc_id")
+
+
+@add("index_figures", f"with {TERMS} select n, round(avgdl, 6) as avgdl, round((select avg(ln(st.n - df + 0.5) - ln(df + 0.5)) from df, st), 6) as mean from st")
+def _(spark, d):
+    return stored(spark, d).figures.select("n", *[F.round(c, 6).alias(c) for c in ("avgdl", "mean")])
+
+
 @add("term_df", f"with {TERMS} select term, df from df")
 def _(spark, d):
     return lexical.term_df(lexical.postings(lexical.tokens(docs_of(spark, d))))
@@ -166,8 +175,28 @@ def _(spark, d):
 
 
 # lexical retrieval
+STORED: dict[tuple[str, str], lexical.LexicalIndex] = {}
+
+
+def stored(spark: SparkSession, d: str) -> lexical.LexicalIndex:
+    """The lexical index of the documents, written once in a session, in the shared folder where the cluster names one."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in STORED:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="quarry-index-")
+        STORED[key] = lexical.write_index(docs_of(spark, d), f"{folder}/lexical-{uuid.uuid4().hex}")
+    return STORED[key]
+
+
 def legacy(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.bm25(lexical.tokens(docs_of(spark, d)), bundle(spark))
+    return lexical.bm25_indexed(stored(spark, d), bundle(spark))
+
+
+def with_bonus(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.with_phrase_bonus(stored(spark, d).bodies, legacy(spark, d), bundle(spark))
 
 
 def named(rows: DataFrame) -> DataFrame:
@@ -185,20 +214,19 @@ s as (select query_id, doc_id, sum(case when raw < 0 then 0.25 * mean else raw e
 
 @add("bm25_okapi_topk", f"with {TERMS},\n{ASKED},\n{OKAPI} {topk('s', 10)}")
 def _(spark, d):
-    return named(lexical.top(lexical.bm25(lexical.tokens(docs_of(spark, d)), bundle(spark), "okapi"), 10, "query_id"))
+    return named(lexical.top(lexical.bm25_indexed(stored(spark, d), bundle(spark), "okapi"), 10, "query_id"))
 
 
 @add("bm25_phrase_bonus", f"{BASE}, {BONUS} {topk('lx', 10)}")
 def _(spark, d):
-    docs = docs_of(spark, d)
-    return named(lexical.top(lexical.with_phrase_bonus(docs, legacy(spark, d), bundle(spark)), 10, "query_id"))
+    return named(lexical.top(with_bonus(spark, d), 10, "query_id"))
 
 
 @add("bm25_scope_filtered", f"{BASE}, f as (select s.* from s join documents using (doc_id) where lang = 'en') {topk('f', 10)}")
 def _(spark, d):
     docs = docs_of(spark, d)
     scope = docs.where(compile_filter([Condition("lang", "==", "en")])).select(F.col("doc_id").alias("id"))
-    return named(lexical.top(lexical.bm25(lexical.tokens(docs), bundle(spark), scope=scope), 10, "query_id"))
+    return named(lexical.top(lexical.bm25_indexed(stored(spark, d), bundle(spark), scope=scope), 10, "query_id"))
 
 
 @add("lexical_per_group_topk", f"{BASE}, g as (select s.*, source from s join documents using (doc_id)) {topk('g', 5, keys='query_id, source')}")
@@ -237,12 +265,7 @@ def _(spark, d):
 @add("dense_grouped_topk", f"{L2}, g as (select c.*, label from c join embeddings on vec_id = doc_id) {topk('g', 3, 'distance', keys='query_id, label', order='asc')}")
 def _(spark, d):
     asked, rows = vectors(spark, d)
-    labels = [r["label"] for r in rows.select("label").distinct().collect()]  # a handful of modalities
-    parts = [dense.dense_scores(asked, rows.where(F.col("label").eqNullSafe(x)), 3).withColumn("label", F.lit(x)) for x in sorted(labels)]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return named(lexical.top(every, 3, "query_id", "label", score="distance", descending=False))
+    return named(dense.dense_grouped_topk(asked, rows, 3, "label"))
 
 
 @add("dense_relevance", f"{L2} select query_id, doc_id, round(1 / (1 + distance), 6) as relevance from ({topk('c', 5, 'distance', order='asc')})")
@@ -270,8 +293,7 @@ PAIR = f"{BASE}, {BONUS}, lk as ({topk('lx', 50)}), {VEC}, dc as (select (query_
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
-    docs = docs_of(spark, d)
-    lex = lexical.top(lexical.with_phrase_bonus(docs, legacy(spark, d), bundle(spark)), 50, "query_id")
+    lex = lexical.top(with_bonus(spark, d), 50, "query_id")
     asked, rows = vectors(spark, d)
     asked = asked.withColumn("query_id", (F.col("query_id") / 100 + 1).cast("long")).where("query_id <= 4")
     return fusion.merge_candidates(dense.dense_topk(asked, rows, 50), lex.withColumn("query_id", F.col("query_id").cast("long")))
@@ -408,15 +430,8 @@ def _(spark, d):
     return references.number_chunks(docs_of(spark, d), "source", "doc_id").select("doc_id", "source", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_id")
 
 
-@add("neighbour_expand", "with c as (select doc_id, source, left(text, 40) as t, row_number() over (partition by source order by doc_id) - 1 as i from documents), x as (select a.doc_id, b.i, trim(b.t) as t from c a join c b on a.source = b.source and b.i between a.i - 1 and a.i + 1), y as (select doc_id, t, min(i) as i from x where t <> '' group by all) select doc_id, string_agg(t, chr(10) order by i) as context from y group by 1")
+@add("neighbour_expand", "with c as (select doc_id, source, trim(text) as t, row_number() over (partition by source order by doc_id) - 1 as i from documents), x as (select a.doc_id, b.i, b.t from c a join c b on a.source = b.source and b.i between a.i - 1 and a.i + 1), y as (select doc_id, t, min(i) as i from x where t <> '' group by all) select doc_id, string_agg(t, chr(10) order by i) as context from y group by 1")
 def _(spark, d):
-    chunks = references.number_chunks(docs_of(spark, d).withColumn("text", F.substring("text", 1, 40)), "source", "doc_id")
-    return references.expand_neighbours(chunks, 1, "source").select("doc_id", F.nullif(F.col("context"), F.lit("")).alias("context")).where("context is not null")
-
-
-@add("neighbour_context")
-def _(spark, d):
-    """neighbour_expand over whole texts; that one keeps the first 40 characters, as its SQL has them."""
     chunks = references.number_chunks(docs_of(spark, d), "source", "doc_id")
     return references.expand_neighbours(chunks, 1, "source").select("doc_id", F.nullif(F.col("context"), F.lit("")).alias("context")).where("context is not null")
 
@@ -577,18 +592,19 @@ def _(spark, d):
     return docs_of(spark, d).join(small(items), F.contains("text", "passage")).select("item_id", "doc_id")
 
 
-POS = "po as (select item_id as query_id, doc_id as positive from benchmark b join documents d on contains(d.text, b.text) where b.text <> ''), ru as (select item_id as query_id, doc_id, row_number() over (partition by item_id order by md5(item_id || ':' || doc_id), doc_id) as rank from benchmark join documents on doc_id % 5 = item_id % 5), rf as (select po.query_id, positive, min(rank) as rank from po left join ru on po.query_id = ru.query_id and positive = doc_id group by 1, 2)"
+POS = f"""{TERMS}, po as (select item_id as query_id, doc_id as positive from benchmark b join documents d on contains(d.text, b.text) where b.text <> ''),
+bq as (select item_id as query_id, regexp_extract_all(lower(text), '[a-z0-9][a-z0-9._:/-]*') as t from benchmark where text <> ''),
+iq as (select distinct query_id, unnest(list_concat(t, [regexp_replace(x, '[^0-9a-z]+', '', 'g') for x in t if length(regexp_replace(x, '[^0-9a-z]+', '', 'g')) >= 3 and regexp_replace(x, '[^0-9a-z]+', '', 'g') <> x])) as term from bq),
+sr as (select query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))) as score from tf join iq using (term) join df using (term) join dl using (doc_id), st group by all),
+ru as (select * from (select query_id, doc_id, row_number() over (partition by query_id order by round(score, 6) desc, doc_id) as rank from sr) where rank <= 200),
+rf as (select po.query_id, positive, min(rank) as rank from po left join ru on po.query_id = ru.query_id and positive = ru.doc_id group by all)"""
 
 
 def first_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """The ranks of all positives in the 200 best documents of all by the item's text."""
     positives = QUERIES["eval_positives"](spark, d).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("positive"))
-    items = small(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id")))
-    docs = docs_of(spark, d).select(F.col("doc_id").alias("id"))
-    # a made-up run with hits at all ranks: documents of the item's class, in hashed order
-    met = docs.join(items, F.col("id") % 5 == F.col("query_id") % 5)
-    key = F.md5(F.concat(F.col("query_id").cast("string"), F.lit(":"), F.col("id").cast("string")).cast("binary"))
-    run = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(key, "id")))
-    return evaluate.first_ranks(run, positives)
+    asked = table(spark, d, "benchmark").where("text <> ''").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return evaluate.first_ranks(lexical.top(lexical.bm25_indexed(stored(spark, d), asked), 200, "query_id"), positives)
 
 
 @add("eval_first_rank", f"with {POS} select * from rf")
@@ -620,36 +636,6 @@ def _(spark, d):
 
 
 # the same measures of a real run; the queries above keep their made-up run, as their SQL has it
-def retrieved_ranks(spark: SparkSession, d: str) -> DataFrame:
-    """The ranks of all positives in the 200 best documents of all by the item's text."""
-    positives = QUERIES["eval_positives"](spark, d).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("positive"))
-    asked = table(spark, d, "benchmark").where("text <> ''").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    run = lexical.top(lexical.bm25(lexical.tokens(docs_of(spark, d)), asked), 200, "query_id")
-    return evaluate.first_ranks(run, positives)
-
-
-@add("eval_retrieved_first_rank")
-def _(spark, d):
-    return retrieved_ranks(spark, d)
-
-
-@add("eval_retrieved_measures")
-def _(spark, d):
-    return evaluate.measures(retrieved_ranks(spark, d), 200)
-
-
-@add("eval_retrieved_rollup")
-def _(spark, d):
-    m = evaluate.measures(retrieved_ranks(spark, d), 200)
-    return m.agg(F.avg("recall").alias("recall"), F.avg("mrr").alias("mrr"), F.avg("ndcg").alias("ndcg"), F.count(F.lit(1)).alias("n"))
-
-
-@add("eval_retrieved_bucket")
-def _(spark, d):
-    c = retrieved_ranks(spark, d).groupBy("query_id").agg(F.min("rank").alias("first"), (F.count("rank") == F.count(F.lit(1))).alias("covered"))
-    return c.groupBy(evaluate.bucket(F.col("first"), F.col("covered"), F.lit(False)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @add("char_f1", "with p as (select item_id, regexp_replace(text, '\\s+', '', 'g') as a, regexp_replace(lag(text) over (order by item_id), '\\s+', '', 'g') as b from benchmark), x as (select item_id, c, count(*) as n from (select item_id, unnest(string_split(a, '')) as c from p) where c <> '' group by all), y as (select item_id, c, count(*) as n from (select item_id, unnest(string_split(b, '')) as c from p) where c <> '' group by all), z as (select coalesce(x.item_id, y.item_id) as item_id, coalesce(x.n, 0) as n, coalesce(y.n, 0) as m from x full join y on x.item_id = y.item_id and x.c = y.c) select item_id, round(2.0 * sum(least(n, m)) / (sum(n) + sum(m)), 6) as f1 from z group by 1")
 def _(spark, d):
     pairs = table(spark, d, "benchmark").withColumn("other", F.lag("text").over(Window.orderBy("item_id")))
