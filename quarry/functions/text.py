@@ -106,6 +106,13 @@ def date_ordinals(value: Column) -> Column:
     return F.filter(F.transform(found, lambda x: ordinal(day(x))), lambda x: x.isNotNull())
 
 
+def labelled_date_ordinals(value: Column) -> Column:
+    """Ordinals of dates after a label for the date of a text."""
+    label = r"(?:日期|发布时间|更新(?:时间)?|发布(?:时间)?)\s*[：: ]+\s*"
+    found = F.regexp_extract_all(text(value), F.lit(label + r"((?:19|20)\d{2}\s*[-/.年]\s*\d{1,2}\s*[-/.月]\s*\d{1,2})"), F.lit(1))
+    return date_ordinals(F.array_join(found, "\n"))
+
+
 def sample_id(path: Column) -> Column:
     """The last part of a path that is 24 hexadecimal digits."""
     own = F.filter(F.split(text(path), r"[\\/]+"), lambda x: x.rlike("^[0-9a-fA-F]{24}$"))
@@ -127,16 +134,6 @@ def base_sentences(value: Column) -> Column:
     return F.filter(F.transform(F.split(text(value), r"(?<=[。！？!?；;])|\n+"), strip), lambda x: x != "")
 
 
-def requirements(value: Column) -> Column:
-    """Parts of a request: cut at ；;。 and line ends, then at the words that join clauses."""
-    first = F.split(text(value), "[；;。\n]+")
-    return distinct_strings(F.flatten(F.transform(first, lambda x: F.split(x, "以及|并且|同时|另外|还有|此外"))))
-
-
-def numbers(value: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text(value), F.lit(r"(?<![\w.])(-?\d+(?:\.\d+)?)(?![\w.])"), F.lit(1)), lambda x: x.cast("double"))
-
-
 def overlap_ratio(terms: Column, wanted: Column) -> Column:
     """The share of the distinct wanted terms that are among terms; 0 without wanted ones."""
     n = F.size(F.array_distinct(wanted))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import date_ordinals, years
+from quarry.functions.profiles import extension_bonus, modality_bonus
+from quarry.functions.text import date_ordinals, labelled_date_ordinals, years
 from quarry.plans.config import EngineConfig
 
 DEFAULT = EngineConfig()
@@ -62,6 +63,66 @@ def temporal_anchor(text: Column) -> Column:
     return F.coalesce(F.array_max(date_ordinals(head)), end)
 
 
+def document_anchor(text: Column, date: Column, *fields: Column) -> Column:
+    """A document's date as an ordinal: that of its date field, else the latest labelled one in its title, section, source
+    and text, else the latest one there, else the end of the latest year."""
+    head = F.concat_ws("\n", *fields, F.substring(text, 1, 1200))
+    return F.coalesce(F.array_max(date_ordinals(date)), F.array_max(labelled_date_ordinals(head)), temporal_anchor(head))
+
+
+def candidate_bonus(kind: Column, modality: Column, extension: Column, hints: Column, *fields: Column) -> Column:
+    """What a candidate's modality, extension and path earn under a kind of question."""
+    return modality_bonus(kind, modality) + extension_bonus(kind, extension) + path_bonus(F.concat_ws(" ", *fields), hints)
+
+
+def fuse_mode(candidates: DataFrame, mode: str, adjustment: Column | None = None, config: EngineConfig = DEFAULT, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """fused_score and relevance of one retrieval alone (bm25 or dense) or of both (hybrid): a side counts where it ranks a candidate."""
+    sides = {"dense": ("dense_rank", "dense_relevance", config.dense_weight), "bm25": ("lexical_rank", "lexical_score", config.lexical_weight)}
+    used = [sides[m] for m in ("dense", "bm25") if mode in (m, "hybrid")]
+    if not used:
+        raise ValueError(f"unknown mode {mode!r}")
+    rows = candidates.where(" or ".join(f"{rank} is not null" for rank, _, _ in used))
+    parts = [F.when(F.col(rank).isNotNull(), 1.0 / (config.rrf_k + F.col(rank)) + weight * F.col(value) / highest(value, *keys)).otherwise(0.0) for rank, value, weight in used]
+    total = parts[0] if len(parts) == 1 else parts[0] + parts[1]
+    score = total if adjustment is None else total + adjustment
+    return rows.withColumn("fused_score", score).withColumn("relevance", F.greatest("fused_score", *[value for _, value, _ in used]))
+
+
+def sentence_hits(candidates: DataFrame, sentences: DataFrame) -> DataFrame:
+    """candidates with the rank, relevance and text of their nearest sentence, where one was found; nothing is added.
+    sentences: query_id, parent, sentence and distance of the nearest sentences of each query."""
+    best = sentences.groupBy("query_id", F.col("parent").alias("id")).agg(F.min(F.struct("distance", "sentence")).alias("s"))
+    order = Window.partitionBy("query_id").orderBy("s.distance", "id")
+    best = best.select("query_id", "id", F.row_number().over(order).alias("sentence_rank"), (1 / (1 + F.col("s.distance"))).alias("sentence_relevance"), F.col("s.sentence").alias("sentence"))
+    return candidates.join(best, ["query_id", "id"], "left")
+
+
+def modality_limits(docs: DataFrame, dense_k: int, lexical_k: int, k: int, modality: str = "source_modality") -> DataFrame:
+    """One row: how many modalities there are, whether dense retrieval goes by modality, and how many each gives."""
+    name = F.nullif(F.trim(F.col(modality)), F.lit(""))
+    found = docs.agg(F.countDistinct(F.coalesce(name, F.lit("text"))).alias("modalities"), F.count(name).alias("named"), F.count(F.lit(1)).alias("n"))
+    m = F.greatest(F.col("modalities"), F.lit(1))
+    grouped = (F.col("modalities") > 1) & (F.col("named") / F.greatest(F.col("n"), F.lit(1)) >= 0.9)
+    return found.select("modalities", grouped.alias("grouped"), (F.greatest(F.lit(1), F.ceil(dense_k / m)) + 2).cast("long").alias("dense_limit"), F.greatest(F.lit(k), F.ceil(lexical_k / m)).cast("long").alias("lexical_limit"))
+
+
+def asked_modalities(queries: DataFrame, modalities: DataFrame) -> DataFrame:
+    """query_id, modality and turn: the modalities that a query of its kind looks at, the preferred ones first; a time
+    series only where the question is about one. queries: query_id, kind and preferred; modalities: modality."""
+    met = queries.join(F.broadcast(modalities.select("modality").distinct()))  # a handful of modalities
+    at = F.array_position("preferred", F.col("modality"))
+    kept = met.where((F.col("modality") != "timeseries") | (F.col("kind") == "timeseries_related") | (at > 0))
+    order = Window.partitionBy("query_id").orderBy(F.when(at > 0, at).otherwise(1_000), "modality")
+    return kept.select("query_id", "modality", F.row_number().over(order).alias("turn"))
+
+
+def fuse_branches(candidates: DataFrame, branch: str, config: EngineConfig = DEFAULT) -> DataFrame:
+    """Each branch's candidates scored by its own maxima, then merged with the larger score of each."""
+    scored = fuse(candidates, config=config, keys=("query_id", branch))
+    best = Window.partitionBy("query_id", "id").orderBy(F.desc("fused_score"), branch)
+    return scored.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
+
+
 def temporal_adjustment(candidates: DataFrame, query_years: Column, query_dates: Column, recent: Column, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Adds temporal_bonus to candidates that have years (array) and anchor (ordinal or null)."""
     window = Window.partitionBy(*keys)

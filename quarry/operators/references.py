@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import fingerprint
 
+from .sizes import small
+
 
 def number_chunks(chunks: DataFrame, doc: str = "doc_id", order: str = "pos") -> DataFrame:
     """chunk_index from 0 within a document, and chunk_id."""
@@ -22,6 +24,16 @@ def expand_neighbours(chunks: DataFrame, n: int, doc: str = "doc_id", index: str
     return chunks.withColumn("context", F.array_join(texts, "\n"))
 
 
+def neighbours_of(chosen: DataFrame, chunks: DataFrame, n: int, doc: str = "doc_id", index: str = "chunk_index", text: str = "text") -> DataFrame:
+    """doc, index and context of chosen chunks (distinct doc and index): as expand_neighbours() has it, but only chunks beside
+    chosen ones are read together, by a join on their places."""
+    wanted = chosen.select(doc, F.col(index).alias("_own"), F.explode(F.sequence(F.col(index) - n, F.col(index) + n)).alias(index))
+    met = chunks.select(doc, index, F.trim(text).alias("t")).join(small(wanted), [doc, index])
+    around = F.array_sort(F.collect_list(F.struct(index, "t")))
+    texts = F.array_distinct(F.filter(F.transform(around, lambda x: x["t"]), lambda x: x != ""))
+    return met.groupBy(doc, F.col("_own").alias(index)).agg(F.array_join(texts, "\n").alias("context"))
+
+
 def overview(references: DataFrame, modality: str, *keys: str) -> DataFrame:
     grouped = references.groupBy(*keys) if keys else references.groupBy()
     return grouped.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col(modality) == "text").alias("n_text"), F.countDistinct(modality).alias("n_modalities"))

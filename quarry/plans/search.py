@@ -1,7 +1,8 @@
 """The engine: build an index of chunks, and search it with many queries at once.
 
-Search is one plan: lexical and dense candidates, fusion, rerank, threshold, diversity and neighbours. Model-backed
-steps come in as functions; the stand-ins here are deterministic and claim no parity with a model.
+Search is one plan: lexical and dense candidates under filters, sentence hits, fusion with bonuses by modality, path and time,
+the full rerank with joint features, group adjustments, threshold, diversity and neighbours of the chosen chunks alone. The embedding comes in
+as a function; the stand-in here is deterministic and claims no parity with a model.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions import profiles as P
+from quarry.functions.text import years
 from quarry.operators import dense, lexical, references, rerank
-from quarry.operators.filters import Condition, compile_filter
-from quarry.operators.fusion import fuse, merge_candidates
+from quarry.operators.filters import Condition, filtered
+from quarry.operators.fusion import candidate_bonus, document_anchor, fuse, merge_candidates, sentence_hits, temporal_adjustment
 from quarry.operators.sizes import small
 from quarry.operators.split import chunk_documents
 
@@ -52,24 +55,43 @@ def build_index(docs: DataFrame, path: str, config: EngineConfig | None = None,
     return docs.sparkSession.read.parquet(path)
 
 
-def search(chunks: DataFrame, queries: DataFrame, config: EngineConfig | None = None, conditions: list[Condition] = (), mode: str = "and", model: Callable | None = None, text: str = "chunk_text", group: str = "doc_id") -> DataFrame:
+def search(chunks: DataFrame, queries: DataFrame, config: EngineConfig | None = None, conditions: list[Condition] = (), mode: str = "and", model: Callable | None = None, text: str = "chunk_text", group: str = "doc_id",
+           sample: str | None = None, index: lexical.LexicalIndex | None = None, sentences: DataFrame | None = None) -> DataFrame:
     """query_id, place, id, rerank_score, relevance, text and context of the references of each query.
 
-    chunks: id, text, v, doc_id, chunk_index, source. queries: query_id, query; v too, or a model.
+    chunks: id, text, v, doc_id, chunk_index, source; source_modality, extension and title where there are. queries: query_id,
+    query; v too, or a model. sample: a column whose dominant group is raised, and alone kept where it leads by enough.
+    index: a written lexical index of the chunks; none: postings are made here. sentences: nearest sentences of each query.
     """
     config = config or EngineConfig()
     if "v" not in queries.columns:
         queries = embed(queries, "query", "v", model or hash_embedding())
-    rows = chunks.where(compile_filter(list(conditions), mode))
+    rows = filtered(chunks, list(conditions), mode)
+    scope = rows if conditions else None
     # figures are those of all chunks, results those of the chunks that the conditions leave
-    found = lexical.bm25(lexical.tokens(chunks, "id", text), queries, scope=rows if conditions else None)
-    scores = lexical.with_phrase_bonus(lexical.bodies(rows, "id", text), found, queries)
-    lex = lexical.top(scores, config.lexical_top_k, "query_id")
+    found = lexical.bm25_indexed(index, queries, scope=scope) if index else lexical.bm25(lexical.tokens(chunks, "id", text), queries, scope=scope)
+    body = lexical.bodies(rows, "id", text) if index is None else index.bodies if scope is None else index.bodies.join(scope.select("id"), "id", "left_semi")
+    lex = lexical.top(lexical.with_phrase_bonus(body, found, queries), config.lexical_top_k, "query_id")
     near = dense.dense_topk(queries.select("query_id", "v"), rows.select("id", "v"), config.dense_top_k, config.metric)
-    fused = fuse(merge_candidates(near, lex), config=config)
-    full = fused.join(rows.select("id", text, "doc_id", "chunk_index", "source"), "id").join(small(queries.select("query_id", "query")), "query_id")
-    ranked = rerank.heuristic_rerank(full, text=text)
-    ranked = lexical.top(ranked.where(F.col("relevance") >= config.score_threshold), config.rerank_top_k * config.overfetch, "query_id", score="rerank_score")
+    bundle = F.array("query")
+    asked = queries.select("query_id", "query").withColumn("kind", P.kind(bundle)).withColumns({"hints": P.path_hints(bundle, F.col("kind")), "joint": P.joint(bundle), "times": P.temporal(bundle)})
+    fields = [c for c in ("title", "source", "source_modality", "extension", "location", "event_type", "channel_names", "date") if c in rows.columns]
+    own = [c for c in ("doc_id", "chunk_index", *fields, *([sample] if sample else [])) if c in rows.columns]
+    full = merge_candidates(near, lex).join(rows.select("id", text, *dict.fromkeys(own)), "id").join(small(asked), "query_id")
+    if sentences is not None:
+        full = sentence_hits(full, sentences)
+    get = lambda name: F.col(name) if name in fields else F.lit(None).cast("string")
+    full = full.withColumn("source_modality", F.coalesce(F.nullif(F.trim(get("source_modality")), F.lit("")), F.lit("text")))
+    named = F.concat_ws(" ", get("title"), get("source"))
+    full = full.withColumns({"years": years(F.col(text)), "anchor": document_anchor(F.col(text), get("date"), get("title"), get("source")), "modality_bonus": candidate_bonus(F.col("kind"), F.col("source_modality"), get("extension"), F.col("hints"), named)})
+    timed = temporal_adjustment(full, F.col("times.years"), F.col("times.days"), F.col("times.recent"))
+    timed = timed.withColumn("temporal_bonus", F.when(F.col("times.temporal"), F.col("temporal_bonus")).otherwise(0.0))
+    scored = fuse(timed, F.col("modality_bonus") + F.col("temporal_bonus"), config)
+    ranked = rerank.full_rerank(rerank.with_joint_features(scored.withColumnRenamed(text, "text")))
+    ranked = ranked.withColumn("rerank_score", rerank.joint_boost(F.col("rerank_score"), F.col("joint"), F.col("source_modality")))
+    if sample:
+        ranked = rerank.trim_groups(rerank.boost_groups(ranked, sample, "rerank_score"), sample, "rerank_score")
+    ranked = lexical.top(ranked.where(F.round("relevance", 6) >= config.score_threshold), config.rerank_top_k * config.overfetch, "query_id", score="rerank_score")
     chosen = rerank.diversify(ranked, group, config.rerank_top_k)
-    wide = references.expand_neighbours(rows.select("id", "doc_id", "chunk_index", F.col(text).alias("text")), config.neighbours)
-    return chosen.join(wide.select("id", "context"), "id").select("query_id", "place", "id", "doc_id", "rerank_score", "relevance", F.col(text).alias("text"), "context")
+    around = references.neighbours_of(chosen.select("doc_id", "chunk_index").distinct(), rows.select("doc_id", "chunk_index", F.col(text).alias("text")), config.neighbours)
+    return chosen.join(around, ["doc_id", "chunk_index"]).select("query_id", "place", "id", "doc_id", "rerank_score", "relevance", "text", "context")

@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.functions import profiles as P
 from quarry.functions import text as T
 from quarry.operators import dense, evaluate, fusion, index, memory, references, rerank, split, timeseries
 from quarry.operators.filters import Condition, compile_filter
@@ -46,7 +47,7 @@ def test_normal_forms(one):
     assert one(T.clip(F.col("t"), 10), t="a，" + "y" * 20) == "a，" + "y" * 8
     assert one(T.fingerprint(F.col("t"), 5), t="É-a 中_9 b") == "éa中_9"
     assert one(T.slug(F.col("t")), t=" A b! ") == "a-b"
-    assert one(T.requirements(F.col("t")), t="查一；查二以及查三") == ["查一", "查二", "查三"]
+    assert one(P.requirement_parts(F.col("t")), t="查一；查二以及查三") == ["查一", "查二以及查三", "查二", "查三"]
 
 
 def test_dates(one):
