@@ -10,16 +10,20 @@ some coordinates each are hashed to buckets: with 36 of 5 a pair of similarity 0
 
 A bucket's documents are compared with its first one only, which gives links enough for most. Documents in
 buckets that hold more than one component after that are open. Of their shingles those that lie in at most
-RARE components are set apart. Two open documents of different components either share such a shingle, and
-then meet by it; or what they share is among their other shingles, whose numbers bound their similarity: only
-pairs whose bound reaches the threshold are left. Both are exact, so every pair that shares a bucket
-is verified to be linked or not, or can't be linked, or lies in one component already; and a passage that very
-many documents share makes no pairs. Verification compares whole sets, from the texts of the documents in
-candidate pairs alone.
+RARE components are set apart. How many rare shingles of an open document lie in another component as a whole, with all its
+shingles that aren't rare, bounds what it can share with any document there, and the component's least size bounds the
+union: only documents whose bound reaches the threshold stay open against that component, and only such pairs that
+share a bucket are compared, first with one document of a component for each bucket, then, where that merged nothing, all.
+Documents whose shingles that aren't rare reach the threshold by themselves are compared by their sizes. The bounds are
+exact, so every pair that shares a bucket is verified to be linked or not, or can't be linked, or lies in one component
+already; and neither a passage that very many documents share nor two large groups that share one makes all
+pairs. Verification compares whole sets, from the texts of the documents in candidate pairs alone; a document that is in
+very many pairs is dealt in copies.
 
 Defined results: null and empty texts, and texts without words, have an empty set and are linked with
 nothing; fewer words than a shingle's are one shingle; rows that repeat an id come back each with its
-own set's size, and all with the component of the one whose set has the least hash; null ids are linked with nothing.
+own set's size, and all with the component of the one whose set has the least hash; null ids are linked with nothing; long
+texts are read whole; an empty table gives none; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,11 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, M1, M2, blocks, hash_words, keep, mix, releasing, small_batches, utf8
+from .common import GOLDEN, M1, M2, blocks, hash_words, keep, mix, releasing, small, small_batches, utf8
 from .components import components
 
 ROWS, BANDS = 5, 36
 RARE = 8
+HEAD_PAIRS = 256
 IN_WORD = np.ones(256, bool)
 IN_WORD[[9, 10, 11, 12, 13, 32]] = False
 
@@ -124,10 +129,18 @@ def _alike(k: int, percent: int):
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough. docs: id and text."""
-    texts_a = docs.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+    """The pairs (a, b) whose whole sets are similar enough. pairs: kept; docs: id and text. Only texts of documents
+    in pairs are shuffled; an a with more than HEAD_PAIRS pairs goes along in as many copies as that takes."""
+    involved = small(keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+    docs = docs.join(involved, "id", "left_semi")
+    often = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HEAD_PAIRS).cast("int").alias("copies")).where("copies > 1")
+    often = small(keep(often))
+    copies = F.coalesce("copies", F.lit(1))
+    dealt = pairs.join(often, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), copies).cast("int").alias("copy"))
+    texts_a = docs.select(F.col("id").alias("a"), F.col("text").alias("text_a")).join(often, "a", "left")
+    texts_a = texts_a.select("a", "text_a", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
     texts_b = docs.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    with_a = pairs.join(texts_a, "a")
+    with_a = dealt.join(texts_a, ["a", "copy"])
     return with_a.join(texts_b, "b").select("a", "b", "text_a", "text_b").mapInArrow(releasing(_alike(k, percent)), "a long, b long")
 
 
@@ -158,8 +171,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     named = keep(named.withColumn("component", F.coalesce("component", "first")))
     open_ = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
     left = keep(named.join(open_, "bucket", "left_semi"))
-    across = keep(_across(left, texts, k, percent).join(pairs, ["a", "b"], "left_anti"))
-    more = keep(verify(across, texts, k, percent))
+    bounded, alive = _across(left, texts, k, percent)
+    some = keep(bounded.union(_meet(alive, left, percent, representatives=True)).distinct().join(pairs, ["a", "b"], "left_anti"))
+    more = keep(verify(some, texts, k, percent))
+    if not more.isEmpty():
+        links = links.union(more)
+        found = keep(components(links))
+    rest = keep(_meet(_apart(alive, found), left, percent).join(pairs, ["a", "b"], "left_anti").join(some, ["a", "b"], "left_anti"))
+    more = keep(verify(rest, texts, k, percent))
     if not more.isEmpty():
         found = keep(components(links.union(more)))
     named = classes.select("key", "first").join(found.select(F.col("id").alias("first"), "component"), "first", "left")
@@ -187,33 +206,66 @@ def _exploded(k: int):
     return run
 
 
-def _across(left: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of open documents (bucket, first, n, component) across components that can be links."""
+def _across(left: DataFrame, texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of open documents (bucket, first, n, component): pairs (a, b) across components that the sizes of their sets of shingles
+    that aren't rare allow; and id, n, component, other and most, what a document can share with any one of another component,
+    where that may be enough."""
     open_ids = left.select(F.col("first").alias("id"), "n", "component").distinct()
     rows = texts.join(open_ids.select("id", "component"), "id").mapInArrow(releasing(_exploded(k)), "id long, component long, shingle long")
     rows = keep(rows)
-    spread = rows.select("shingle", "component").distinct().groupBy("shingle").agg(F.count(F.lit(1)).alias("spread")).where(F.col("spread") <= RARE)
+    held = keep(rows.select("shingle", "component").distinct())
+    spread = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("spread")).where(F.col("spread") <= RARE)
     rare = keep(rows.join(spread, "shingle"))
     others = open_ids.join(rare.groupBy("id").agg(F.count(F.lit(1)).alias("r")), "id", "left")
-    others = others.select(F.col("id").alias("first"), "n", (F.col("n") - F.coalesce("r", F.lit(0))).alias("e"))
+    others = keep(others.select("id", "n", "component", (F.col("n") - F.coalesce("r", F.lit(0))).alias("e")))
     # alive: even if all of the others are shared
-    sides = keep(left.drop("n").join(others, "first").where(F.lit(100) * F.col("e") >= F.lit(percent) * F.col("n")))
+    sides = keep(left.drop("n", "component").join(others.withColumnRenamed("id", "first"), "first").where(F.lit(100) * F.col("e") >= F.lit(percent) * F.col("n")))
     every = sides.groupBy("first").agg(F.collect_list("bucket").alias("all"))
     sides = sides.join(every, "first")
     one, two = (sides.select("bucket", F.col("first").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}"), F.col("e").alias(f"e_{x}"), F.col("all").alias(f"all_{x}")) for x in "ab")
     most = F.least("e_a", "e_b")
-    reach = F.lit(100) * most >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - most)
-    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     once = one["bucket"] == F.array_min(F.array_intersect("all_a", "all_b"))  # of the buckets that they share
-    bounded = one.join(two, (one["bucket"] == two["bucket"]) & (F.col("c_a") < F.col("c_b")) & reach & once).select(*pair)
-    shared = rare.where("spread > 1")
-    shared = shared.join(others.withColumnRenamed("first", "id"), "id")
-    one, two = (shared.select("shingle", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}"), F.col("e").alias(f"e_{x}")) for x in "ab")
-    met = one.join(two, (one["shingle"] == two["shingle"]) & (F.col("c_a") < F.col("c_b")))
-    met = met.groupBy("a", "b", "n_a", "n_b", "e_a", "e_b").agg(F.count(F.lit(1)).alias("m"))
-    most = most + F.col("m")
-    met = met.where(F.lit(100) * most >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - most)).select(*pair)
-    return bounded.union(met).distinct()
+    enough = _enough(most, F.col("n_a") + F.col("n_b"), percent)
+    bounded = one.join(two, (one["bucket"] == two["bucket"]) & (F.col("c_a") < F.col("c_b")) & enough & once).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # what a document shares with all of another component
+    elsewhere = held.select("shingle", F.col("component").alias("other")).join(spread.where("spread > 1"), "shingle")
+    met = rare.where("spread > 1").select("id", "component", "shingle").join(elsewhere.select("shingle", "other"), "shingle").where("component <> other")
+    met = met.groupBy("id", "other").agg(F.count(F.lit(1)).alias("m")).join(others, "id")
+    sizes = open_ids.groupBy(F.col("component").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    smallest = F.greatest(F.col("low").cast("double"), F.col("n") * percent / 100)
+    fits = (smallest <= F.col("high")) & _enough(F.col("e") + F.col("m"), F.col("n") + smallest, percent)
+    alive = met.join(sizes, "other").where(fits).select("id", "n", "component", "other", (F.col("e") + F.col("m")).alias("most"))
+    return bounded, keep(alive)
+
+
+def _enough(shared, total, percent: int):
+    """Whether sets of so many elements together can be similar enough if they share so many."""
+    return F.lit(100 + percent) * shared >= F.lit(percent) * total
+
+
+def _apart(alive: DataFrame, found: DataFrame) -> DataFrame:
+    """alive where the two components are still different ones."""
+    rows = alive
+    for name in ("component", "other"):
+        rows = rows.join(found.select(F.col("id").alias(name), F.col("component").alias(f"now_{name}")), name, "left")
+    return rows.where(F.coalesce("now_component", "component") != F.coalesce("now_other", "other")).select(*alive.columns)
+
+
+def _meet(alive: DataFrame, left: DataFrame, percent: int, representatives: bool = False) -> DataFrame:
+    """Pairs (a, b) of documents that are open against each other's component and share a bucket. representatives: only
+    those with the first such document of a bucket and component on one side."""
+    rows = alive.join(left.select(F.col("first").alias("id"), "bucket"), "id")
+    if representatives:
+        first = rows.groupBy("bucket", "component", "other").agg(F.min("id").alias("head"))
+        rows = rows.join(first, ["bucket", "component", "other"])
+    else:
+        rows = rows.withColumn("head", F.col("id"))
+    names = {"id": "i", "n": "n", "component": "c", "other": "o", "most": "m", "head": "h"}
+    one, two = (rows.select("bucket", *[F.col(c).alias(f"{short}_{x}") for c, short in names.items()]) for x in "ab")
+    c = F.col
+    across = (one["bucket"] == two["bucket"]) & (c("c_a") == c("o_b")) & (c("o_a") == c("c_b")) & (c("c_a") < c("c_b"))
+    on = across & _enough(F.least("m_a", "m_b"), c("n_a") + c("n_b"), percent) & ((c("i_a") == c("h_a")) | (c("i_b") == c("h_b")))
+    return one.join(two, on).select(F.least("i_a", "i_b").alias("a"), F.greatest("i_a", "i_b").alias("b")).distinct()
 
 
 def _repeats(made: DataFrame) -> bool:

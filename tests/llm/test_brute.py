@@ -257,3 +257,24 @@ def test_slots_of_repeated_ids_agree(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = [sorted(map(str, sharding.op3_sharding(d).collect())) for d in (docs, docs.repartition(3), docs.orderBy("text"))]
     assert found[0] == found[1] == found[2]
+
+
+def test_near_dup_two_large_clusters(spark):
+    """Two groups of near copies that share most of their text and buckets, but aren't near copies of each other; a third
+    that is linked with the first by one document alone."""
+    core = [f"c{i}" for i in range(200)]
+    tails = {g: [f"{g}{i}" for i in range(34)] for g in "xyz"}
+
+    def text(g, i, n):
+        words = core + tails[g]
+        words[5 + i % 180] = f"{g}e{i}"
+        return " ".join(words) + (" " + " ".join(f"t{j}" for j in range(n)) if n else "")
+
+    rows = [(i, text("x", i, 0)) for i in range(120)] + [(1000 + i, text("y", i, 0)) for i in range(120)]
+    rows += [(2000 + i, " ".join(core[20:] + tails["x"] + tails["z"][: 6 + i % 3] + [f"z{i}"])) for i in range(40)]
+    found = {r["doc_id"]: r["component_id"] for r in near_dup.op5_near_dup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: {tuple(t.split()[j : j + 3]) for j in range(len(t.split()) - 2)} for i, t in rows}
+    ids = list(sets)
+    links = [(a, b) for n, a in enumerate(ids) for b in ids[:n] if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert found == roots(ids, links)
+    assert len({found[i] for i in range(120)}) == 1 and found[0] != found[1000]
