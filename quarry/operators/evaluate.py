@@ -61,3 +61,133 @@ def rouge_l(a: pd.Series, b: pd.Series) -> pd.Series:
         return 2 * row[-1] / (len(x) + len(y))
 
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+
+
+# fixed values: how files and texts name documents and passages
+DOC_ID, PASSAGE_ID = "(?:文档ID：|doc-)(\\d+)", "(?:段落ID：|psg-)([\\w-]+)"
+IN_PATH = "(?i)__doc-(\\d+)(?:__psg-(\\d+)\\.txt$)?"
+
+
+def plain(value: Column) -> Column:
+    """Without white space and with straight quotes, as texts are compared."""
+    return F.translate(F.regexp_replace(F.coalesce(value, F.lit("")), r"(?U)\s+", ""), "“”‘’", "\"\"''")
+
+
+def named_in(pattern: str, *texts: Column) -> Column:
+    """The first group of a pattern in the first of the texts that has it; null in none."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(F.coalesce(t, F.lit("")), pattern, 1), F.lit("")) for t in texts])
+
+
+def _squeezed(value: Column) -> Column:
+    return F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), r"(?U)\s+", " "))
+
+
+def _keys(**named: Column) -> Column:
+    every = [F.when(v != "", F.concat(F.lit(f"{k}:"), v)) for k, v in named.items()]
+    return F.filter(F.array(*every), lambda x: x.isNotNull())
+
+
+def sample_keys(path: Column, title: Column, source: Column) -> Column:
+    """What tells a reference of a sample corpus: its sample, title and source."""
+    from quarry.functions.text import sample_id
+
+    return _keys(sample=F.coalesce(sample_id(path), F.lit("")), title=F.lower(_squeezed(title)), source=F.lower(_squeezed(source)))
+
+
+def passage_keys(doc: Column, passage: Column, url: Column, title: Column) -> Column:
+    doc, passage = _squeezed(doc), _squeezed(passage)
+    both = F.when((doc != "") & (passage != ""), F.concat_ws(":", doc, passage)).otherwise("")
+    return _keys(doc_psg=both, doc=doc, url=F.lower(_squeezed(url)), title=F.lower(_squeezed(title)))
+
+
+def retrieved_passage_keys(path: Column, source: Column, title: Column) -> Column:
+    """passage_keys() of a retrieved reference: ids from its path, a url where the source is one."""
+    at = F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/"))
+    url = F.lower(_squeezed(source))
+    return passage_keys(F.regexp_extract(at, IN_PATH, 1), F.regexp_extract(at, IN_PATH, 2), F.when(F.startswith(url, F.lit("http")), url).otherwise(""), title)
+
+
+def key_hits(retrieved: DataFrame, expected: DataFrame, limit: int = 5) -> DataFrame:
+    """query_id, expected_id and rank: the best rank up to limit at which an expected reference shares a key with a retrieved
+    one, or null. retrieved: query_id, rank, keys; expected: query_id, expected_id, keys. Joined on keys, not on pairs."""
+    r = retrieved.where(F.col("rank") <= limit).select("query_id", "rank", F.explode("keys").alias("key"))
+    e = expected.select("query_id", "expected_id", F.explode("keys").alias("key"))
+    best = e.join(r, ["query_id", "key"]).groupBy("query_id", "expected_id").agg(F.min("rank").alias("rank"))
+    return expected.select("query_id", "expected_id").join(best, ["query_id", "expected_id"], "left")
+
+
+def expected_hits(hits: DataFrame) -> DataFrame:
+    """For each query whether the first 1, 3 and 5 hold an expected reference, how many they hold, and whether all."""
+    first = F.min("rank")
+    found = [F.coalesce(first <= n, F.lit(False)).alias(f"hit_top{n}") for n in (1, 3, 5)]
+    return hits.groupBy("query_id").agg(*found, F.count("rank").alias("matched"), (F.count("rank") >= F.count(F.lit(1))).alias("all_covered"))
+
+
+def matches_positive(content: Column, source: Column, chunk: Column, title: Column, gold_title: Column, gold_id: Column, gold_url: Column, gold_passage: Column, gold_text: Column) -> Column:
+    """Whether a retrieved reference is a positive one by any of: title, document's id, url in its text, passage's id, or text."""
+    there = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    yes = lambda rule: F.coalesce(rule, F.lit(False))
+    return (
+        yes((there(gold_title) != "") & (title == there(gold_title)))
+        | yes((there(gold_id) != "") & (named_in(DOC_ID, content, source, chunk) == there(gold_id)))
+        | yes((there(gold_url) != "") & F.contains(F.coalesce(content, F.lit("")), there(gold_url)))
+        | yes((there(gold_passage) != "") & (named_in(PASSAGE_ID, content, source, chunk) == there(gold_passage)))
+        | yes((plain(gold_text) != "") & F.contains(plain(content), plain(gold_text)))
+    )
+
+
+def matches_gold_passage(path: Column, content: Column, source: Column, chunk: Column, gold_path: Column, gold_id: Column, gold_passage: Column, gold_text: Column) -> Column:
+    """Whether a retrieved reference holds a gold passage: its text, or in the gold file or document the passage's id or nothing else."""
+    there = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    yes = lambda rule: F.coalesce(rule, F.lit(False))
+    holds = (plain(gold_text) != "") & F.contains(plain(content), plain(gold_text))
+    same_file = yes((there(gold_path) != "") & (path == there(gold_path)))
+    same_doc = yes((there(gold_id) != "") & (named_in(DOC_ID, content, source, chunk) == there(gold_id)))
+    by_id = yes((there(gold_passage) != "") & (named_in(PASSAGE_ID, content, source, chunk) == there(gold_passage)))
+    return holds | (same_file & by_id) | (same_doc & (plain(gold_text) == ""))
+
+
+def proxy_measures(references: DataFrame, answers: DataFrame) -> DataFrame:
+    """How far retrieved texts hold a gold answer: found whole, F1 of characters, longest common subsequence, references.
+    references: query_id, rank, content; answers: query_id, answer."""
+    lines = F.array_sort(F.collect_list(F.struct("rank", _squeezed(F.col("content")).alias("t"))))
+    texts = references.groupBy("query_id").agg(F.array_join(F.filter(F.transform(lines, lambda x: x["t"]), lambda t: t != ""), "\n").alias("shown"), F.count(F.lit(1)).alias("references"))
+    rows = answers.join(texts, "query_id", "left").select("query_id", _squeezed(F.col("answer")).alias("gold"), F.coalesce("shown", F.lit("")).alias("shown"), F.coalesce("references", F.lit(0)).alias("references"))
+    held = (F.col("gold") != "") & F.contains(_squeezed(F.col("shown")), F.col("gold"))
+    return rows.join(char_f1(rows, "query_id", "shown", "gold"), "query_id", "left").select("query_id", held.alias("answer_held"), F.coalesce("f1", F.lit(0.0)).alias("char_f1"), rouge_l("shown", "gold").alias("rouge_l"), "references")
+
+
+def case_query(direct: Column, event: Column, question: Column) -> Column:
+    """A case's question: as given, else its event and its question on two lines, else what there is of them."""
+    d, e, q = _squeezed(direct), _squeezed(event), _squeezed(question)
+    return F.when(d != "", d).when((e != "") & (q != ""), F.concat_ws("\n", e, q)).otherwise(F.when(q != "", q).otherwise(e))
+
+
+def task_query(task: Column, question: Column, date: Column, history: Column) -> Column:
+    """A question of a task: with its year in front, after the questions before it (an array), or alone."""
+    year = F.trim(F.coalesce(date, F.lit("")))
+    timed = F.concat(F.when(year != "", F.concat(year, F.lit("年 "))).otherwise(""), F.coalesce(question, F.lit("")))
+    asked = F.filter(F.transform(F.coalesce(history, F.array().cast("array<string>")), lambda x: F.trim(F.coalesce(x, F.lit("")))), lambda x: x != "")
+    talk = F.concat_ws(" ", F.array_join(asked, " "), F.trim(F.coalesce(question, F.lit(""))))
+    return _squeezed(F.when(task == "time", timed).when(task == "conversation", talk).otherwise(question))
+
+
+def seeded_sample(rows: DataFrame, n: int, seed: int, key: str) -> DataFrame:
+    """n rows without replacement, the same for a seed, by a hash of their key."""
+    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+
+
+def regression_verdict(cases: DataFrame) -> DataFrame:
+    """cases with passed, missing and cause. Columns: required, found and sequence (arrays of modalities), answer, groups (arrays of
+    keywords, of each group one must be there), needs_joint, needs_times, joint_shown, joint_traced, times_traced, series_traced, series_answered."""
+    c = F.col
+    missing = F.array_sort(F.array_except(F.coalesce("required", F.array().cast("array<string>")), F.coalesce("found", F.array().cast("array<string>"))))
+    keywords = F.forall(F.coalesce("groups", F.array().cast("array<array<string>>")), lambda g: F.exists(g, lambda w: F.contains(F.coalesce("answer", F.lit("")), w)))
+    series = F.array_contains("required", "timeseries")
+    rows = cases.withColumns({"missing": missing, "keywords": keywords, "_s": F.coalesce(series, F.lit(False))})
+    fine = (F.size("missing") == 0) & c("keywords") & (~c("needs_joint") | c("joint_shown")) & (~c("needs_times") | c("times_traced")) & (~c("_s") | (c("series_traced") & c("series_answered")))
+    top = F.slice("sequence", 1, 2)
+    ranked = F.array_contains(top, "timeseries") & F.array_contains(top, "text")
+    recall = (F.size("missing") > 0) | (c("needs_joint") & ~c("joint_shown")) | (c("_s") & ~c("series_traced"))
+    cause = F.when(fine, "passed").when(recall, "recall_failure").when(c("needs_joint") & c("joint_traced") & ~ranked, "ranking_failure").otherwise("generation_failure")
+    return rows.withColumn("passed", fine).withColumn("cause", cause).drop("_s")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPISODE_TURNS, HISTORY_TURNS, SUMMARY_CHARS = 8, 6, 280
@@ -50,3 +50,47 @@ def expire(records: DataFrame, key: str, at: str, minutes: int) -> DataFrame:
 def retain(tasks: DataFrame, at: str, hours: int, limit: int, now) -> DataFrame:
     """Tasks of the last so many hours, the newest limit at most."""
     return tasks.where(F.col(at) > F.lit(now).cast("timestamp_ntz") - F.expr(f"interval {int(hours)} hours")).orderBy(F.desc(at), *[c for c in tasks.columns if c != at]).limit(limit)
+
+
+def _cosine(a: str, b: str) -> Column:
+    """Cosine of two array columns; a vector of zeros is near nothing."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
+    norm = lambda x: F.sqrt(dot(F.col(x), F.col(x))) + 1e-9
+    return dot(F.col(a), F.col(b)) / (norm(a) * norm(b))
+
+
+SEMANTIC_K, EPISODE_K, TURN_CHARS, BUDGET = 5, 3, 400, 2400
+
+
+def recall(asked: DataFrame, facts: DataFrame, told: DataFrame, turns: DataFrame | None = None, budget: int = BUDGET) -> DataFrame:
+    """What a session remembers about a question: session, the nearest facts, episodes (those that a fact came from first, then
+    by nearness), how many recent turns, and the whole as a text of at most budget characters.
+
+    asked: session, v. facts: session, fact, episode_id, v. told: session, episode_id, title, summary, v. turns: session, turn, role, text.
+    """
+    q = asked.select("session", F.col("v").alias("q"))
+    near = facts.where("trim(fact) <> ''").join(q, "session").withColumn("near", F.round(_cosine("v", "q"), 6))
+    order = Window.partitionBy("session").orderBy(F.desc("near"), "fact")
+    hits = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SEMANTIC_K)
+    known = hits.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("n", F.trim("fact").alias("fact")))).alias("f"), F.collect_set("episode_id").alias("from"))
+    rows = told.where("trim(summary) <> '' and episode_id <> ''").join(q, "session").join(known.select("session", "from"), "session", "left")
+    rows = rows.withColumn("met", F.when(F.array_contains("from", F.col("episode_id")), 0).otherwise(1)).withColumn("near", F.round(_cosine("v", "q"), 6))
+    once = Window.partitionBy("session", "episode_id").orderBy("met", F.desc("near"))
+    rows = rows.withColumn("_o", F.row_number().over(once)).where("_o = 1")
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("session").orderBy("met", F.desc("near"), "episode_id"))).where(F.col("n") <= EPISODE_K)
+    label = F.when(F.coalesce(F.trim("title"), F.lit("")) != "", F.concat(F.trim("title"), F.lit(" ("), "episode_id", F.lit(")"))).otherwise(F.col("episode_id"))
+    line = F.concat(F.lit("- ["), label, F.lit("] "), F.trim("summary"))
+    episodes_ = rows.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("n", line.alias("line"), "episode_id"))).alias("e"))
+    made = q.select("session").join(known.select("session", "f"), "session", "left").join(episodes_, "session", "left")
+    if turns is not None:
+        last = turns.withColumn("_n", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("turn")))).where(F.col("_n") <= HISTORY_TURNS).where("trim(text) <> ''")
+        said = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), F.substring(F.trim("text"), 1, TURN_CHARS)).alias("line"))))
+        made = made.join(last.groupBy("session").agg(said.alias("t")), "session", "left")
+    else:
+        made = made.withColumn("t", F.lit(None).cast("array<struct<turn: long, line: string>>"))
+    lines = lambda c, f, lead: F.when(F.size(c) > 0, F.concat(F.lit(lead + "：\n"), F.array_join(F.transform(c, f), "\n")))
+    parts = [lines("f", lambda x: F.concat(F.lit("- "), x["fact"]), "语义层事实"), lines("e", lambda x: x["line"], "相关会话摘要"), lines("t", lambda x: x["line"], "近期原话摘录")]
+    whole = F.concat_ws("\n\n", *parts)
+    cut = F.when(F.length(whole) <= budget, whole).otherwise(F.concat(F.rtrim(F.substring(whole, 1, budget - 3)), F.lit("...")))
+    ids = lambda c, f: F.coalesce(F.array_join(F.transform(c, f), "|"), F.lit(""))
+    return made.select("session", ids("f", lambda x: x["fact"]).alias("facts"), ids("e", lambda x: x["episode_id"]).alias("episodes"), F.greatest(F.coalesce(F.size("t"), F.lit(0)), F.lit(0)).alias("turns"), cut.alias("memory"))

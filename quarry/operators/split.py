@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from itertools import accumulate
+from collections import deque
+from itertools import accumulate, takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -101,17 +102,17 @@ def sentence_units(text: str, least: int, most: int) -> list[str]:
 
 
 def markdown_sections(text: str, least: int = 0) -> list[tuple[str, str]]:
-    """Header path and content of each section; headers and rules inside code fences are content. A section
-    shorter than least goes in front of the next one with its title."""
+    """Header path and content of each section; headers and rules inside code fences are content. A section shorter than
+    least joins the neighbour that shares more of its headers, the longer one if both share as much, with its title."""
     path: list[str] = ["", "", ""]
-    found: list[tuple[str, str]] = []
+    found: list[tuple[tuple[str, ...], str]] = []
     lines: list[str] = []
     fenced = False
 
     def close() -> None:
         content = "\n".join(lines).strip()
         if content:
-            found.append((" / ".join(filter(None, path)), content))
+            found.append((tuple(filter(None, path)), content))
         lines.clear()
 
     for line in text.split("\n"):
@@ -122,19 +123,67 @@ def markdown_sections(text: str, least: int = 0) -> list[tuple[str, str]]:
             close()
             level = len(header[1])
             path[level - 1 :] = [header[2]] + [""] * (3 - level)
-        elif fenced or line.strip() not in RULES:
+        elif fenced or line.strip().replace(" ", "") not in RULES:
             lines.append(line)
     close()
-    merged: list[tuple[str, str]] = []
-    carried = ""
-    for i, (where, content) in enumerate(found):
-        content = f"{carried}\n{content}".strip()
-        carried = ""
-        if len(content) < least and i + 1 < len(found):
-            carried = f"{where.rsplit(' / ', 1)[-1]}\n{content}"
+    return [(" / ".join(where), content) for where, content in joined_sections(found, least, _nearer)]
+
+
+def _titled(where: tuple[str, ...], content: str) -> str:
+    title = where[-1] if where else ""
+    return content if content.startswith(title) else f"{title}\n{content}"
+
+
+def _nearer(own: tuple, before: tuple, after: tuple) -> bool:
+    """Whether a short section belongs to the one after it."""
+    shared = lambda other: sum(1 for _ in takewhile(lambda p: p[0] == p[1], zip(own[0], other[0], strict=False)))
+    return (shared(after), len(after[1])) >= (shared(before), len(before[1]))
+
+
+def joined_sections(found: list[tuple], least: int, forward, short=None) -> list[tuple]:
+    """Sections (where, content), short ones joined to a neighbour: forward(own, before, after) says to which where there are both.
+    short: which sections are, by default those of fewer than least characters."""
+    short = short or (lambda s: len(s[1]) < least)
+    todo, done = deque(found), []
+    while todo:
+        own = todo.popleft()
+        alone = not todo and not done
+        if alone or not short(own):
+            done.append(own)
+        elif todo and (not done or forward(own, done[-1], todo[0])):
+            todo[0] = (todo[0][0], f"{_titled(*own)}\n\n{todo[0][1]}")
         else:
-            merged.append((where, content))
-    return merged
+            done[-1] = (done[-1][0], f"{done[-1][1]}\n\n{_titled(*own)}")
+    return done
+
+
+# fixed value: lines of at most 80 characters that begin a section of a text without markup
+HEADING = re.compile(r"(?:[一二三四五六七八九十]+、.+|\d+\.\d+(?:\.\d+)?\s*.+|[（(]\s*\d+\s*[)）].+|(?:拆卸|安装|检查|测量|调整).+)$")
+HEADING_CHARS, HEADING_ONLY = 80, 40
+
+
+def _is_heading(line: str) -> bool:
+    plain = " ".join(line.split())
+    return 0 < len(plain) <= HEADING_CHARS and HEADING.match(plain) is not None
+
+
+def structure_sections(text: str, least: int = 0) -> list[tuple[str, str]]:
+    """Title and content of each section of a text whose headings are numbered lines. Sections shorter than least, or of little
+    but their heading, join the next one, the last one the one before."""
+    groups: list[list[str]] = [[]]
+    for line in map(str.strip, text.splitlines()):
+        if _is_heading(line):
+            groups.append([])
+        if line:
+            groups[-1].append(line)
+    found = [((g[0],), "\n".join(g)) for g in groups if g]
+
+    def short(section: tuple) -> bool:
+        (title,), content = section
+        lines = [x for x in content.splitlines() if x]
+        return len(content) < least or content == title or len(lines) <= 2 and lines[0] == title and len(content) < HEADING_ONLY
+
+    return [(where[0], content) for where, content in joined_sections(found, least, lambda *_: True, short)]
 
 
 def _explode(docs: DataFrame, id_col: str, text_col: str, cut, kind: str) -> DataFrame:
@@ -168,6 +217,35 @@ def chunk_markdown(docs: DataFrame, size: int, overlap: int, id_col: str = "doc_
     return _explode(docs, id_col, text_col, cut, "chunk")
 
 
+def chunk_structured(docs: DataFrame, size: int, overlap: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    least = max(100, min(320, overlap + 100))
+
+    def cut(text: str) -> list[str]:
+        return [c for _, s in structure_sections(text, least) for c in recursive_chunks(s, size, overlap)] or recursive_chunks(text, size, overlap)
+
+    return _explode(docs, id_col, text_col, cut, "chunk")
+
+
+SPLITTERS = {"md": chunk_markdown, "pdf": chunk_structured}
+
+
+def chunk_by_kind(docs: DataFrame, size: int, overlap: int, id_col: str = "doc_id", text_col: str = "text", kind_col: str = "extension") -> DataFrame:
+    """Chunks of each document by the splitter for its extension, the recursive one for all others."""
+    kind = F.coalesce(F.lower(F.regexp_replace(kind_col, r"^\.", "")), F.lit(""))
+    parts = [cut(docs.where(kind == name), size, overlap, id_col, text_col) for name, cut in SPLITTERS.items()]
+    every = chunk_documents(docs.where(~kind.isin(*SPLITTERS)), size, overlap, id_col, text_col)
+    for p in parts:
+        every = every.unionByName(p)
+    return every
+
+
+def sentence_entries(chunks: DataFrame, least: int, most: int, limit: int, id_col: str = "chunk_id", text_col: str = "text", modality_col: str = "source_modality") -> DataFrame:
+    """Entries of the sentence index: sentence_id, parent and sentence, limit at most of each chunk; none of images."""
+    kept = chunks.where(~F.coalesce(F.lower(F.trim(modality_col)), F.lit("text")).isin("vision", "image"))
+    rows = split_sentences(kept, least, most, limit, id_col, text_col)
+    return rows.select(F.concat(F.col(id_col).cast("string"), F.lit("::sent-"), F.lpad((F.col("pos") + 1).cast("string"), 3, "0")).alias("sentence_id"), F.col(id_col).alias("parent"), "sentence")
+
+
 def answer_segments(text):
     """Column form: parts between sentence ends, of two characters or more."""
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[\n。！？!?；;]+"), lambda x: F.trim(x)), lambda x: F.length(x) >= 2)

@@ -676,7 +676,7 @@ def _(spark, d):
 
 
 # queries in modules of their own register themselves here
-from quarry import context_queries, profile_queries, search_queries  # noqa: E402, F401
+from quarry import context_queries, profile_queries, search_queries, upkeep_queries  # noqa: E402, F401
 
 
 def queries() -> dict[str, Query]:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import html as entities
 import json
 import re
 import zipfile
 from html.parser import HTMLParser
 from io import BytesIO
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,13 +61,18 @@ def html_text(page: str) -> tuple[str, str]:
 
 
 def _docx(data: bytes) -> list[tuple[str, str]]:
+    """Path of headings and text of each section, which begins with its heading."""
     with zipfile.ZipFile(BytesIO(data)) as z:
         xml = z.read("word/document.xml").decode("utf-8", "ignore")
+    above: dict[int, str] = {}
     sections: list[tuple[str, list[str]]] = [("", [])]
     for p in re.findall(r"(?s)<w:p[ >].*?</w:p>", xml):
-        words = "".join(re.findall(r"(?s)<w:t(?: [^>]*)?>(.*?)</w:t>", p)).strip()
-        if re.search(r'<w:pStyle w:val="(?:Heading|标题)\s*[1-3]"', p) and words:
-            sections.append((words, []))
+        words = " ".join(entities.unescape("".join(re.findall(r"(?s)<w:t(?: [^>]*)?>(.*?)</w:t>", p))).split())
+        style = re.search(r'<w:pStyle w:val="(?:Heading|标题)\s*([1-3])"', p)
+        if style and words:
+            level = int(style[1])
+            above = {n: t for n, t in above.items() if n < level} | {level: words}
+            sections.append((" > ".join(above[n] for n in sorted(above)), [words]))
         elif words:
             sections[-1][1].append(words)
     return [(t, "\n".join(x)) for t, x in sections if x]
@@ -157,6 +164,16 @@ def timeseries_units(text: str) -> list[dict]:
     return [data] if isinstance(data, dict) and {"series_id", "start_time", "end_time"} <= data.keys() else []
 
 
+def timeseries_documents(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with kind: timeseries where the payload has units; else text, one document as it is."""
+
+    @F.pandas_udf("boolean")
+    def known(values: pd.Series) -> pd.Series:
+        return pd.Series([bool(timeseries_units(x or "")) for x in values], dtype=bool)
+
+    return docs.withColumn("kind", F.when(known(F.col(text)), "timeseries").otherwise("text"))
+
+
 def timeseries_points(docs: DataFrame, text: str = "text") -> DataFrame:
     """series_id, timestamp, channel and value of each point in documents of time series."""
 

@@ -90,7 +90,7 @@ def test_sentences_and_sections():
     assert split.sentence_units("", 5, 30) == []
     page = "# A\ntext a\n---\n## B\n```\n# no\n```\nend"
     assert split.markdown_sections(page) == [("A", "text a"), ("A / B", "```\n# no\n```\nend")]
-    assert split.markdown_sections(page, 10)[0] == ("A / B", "A\ntext a\n```\n# no\n```\nend")
+    assert split.markdown_sections(page, 10)[0] == ("A / B", "A\ntext a\n\n```\n# no\n```\nend")
 
 
 def test_families(spark):
@@ -145,7 +145,7 @@ def test_sources(spark, tmp_path):
     docs = files.load_documents(spark, str(tmp_path))
     found = {r["relative_path"]: (r["title"], r["text"]) for r in docs.collect()}
     assert found["a.txt"] == ("a", "plain  text") and found["sub/b.MD"] == ("b", "# T\nbody")
-    assert found["c.html"][1].splitlines()[-1] == "Hello you" and found["d.docx"] == ("Head", "Body")
+    assert found["c.html"][1].splitlines()[-1] == "Hello you" and found["d.docx"] == ("Head", "Head\nBody")
     assert "skip.bin" not in found
     meta = {r["relative_path"]: r["meta"] for r in files.with_sidecar(docs, str(tmp_path / ".rag_file_metadata.json")).collect()}
     assert meta["a.txt"] == {"date": "2024-01-01"} and meta["sub/b.MD"] is None
