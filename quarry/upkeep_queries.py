@@ -19,9 +19,9 @@ def manifests(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumns({"ttl_minutes": F.lit(TTL), "expires_at": expires, "touch_on_access": F.col("knowledge_id") % 2 == 0, "cleanup_state": F.lit("active")})
 
 
-@add("ttl_access", f"""with {LIFE}, l as (select e.user_id as knowledge_id, ts as at, touch, expires, case when touch and lag(ts) over w is not null then lag(ts) over w + interval {TTL} minutes else expires end <= ts as late from events e join ma using (user_id) window w as (partition by e.user_id order by ts)),
+@add("ttl_access", f"""with {LIFE}, l as (select e.user_id as knowledge_id, ts as "at", touch, expires, case when touch and lag(ts) over w is not null then lag(ts) over w + interval {TTL} minutes else expires end <= ts as late from events e join ma using (user_id) window w as (partition by e.user_id order by ts)),
 g as (select *, coalesce(sum(late::int) over (partition by knowledge_id order by "at" rows between unbounded preceding and 1 preceding), 0) > 0 as dead from l)
-select knowledge_id, at, case when dead then 'gone' when late then 'expired_on_access' else 'ok' end as status, case when dead or late then null when touch then at + interval {TTL} minutes else expires end as expires_at from g""")
+select knowledge_id, "at", case when dead then 'gone' when late then 'expired_on_access' else 'ok' end as status, case when dead or late then null when touch then "at" + interval {TTL} minutes else expires end as expires_at from g""")
 def _(spark, d):
     accesses = table(spark, d, "events").select(F.col("user_id").alias("knowledge_id"), F.col("ts").alias("at"))
     return lifecycle.access(manifests(spark, d), accesses)
