@@ -90,10 +90,10 @@ def _(spark, d):
     return context.build_context(refs, asked)
 
 
-@add("web_references", "select page_id as query_id, url as source, round(greatest(0.3, 0.68 - 0.08 * (page_id % 9)), 6)::double as relevance, concat_ws(chr(10), 'page', nullif(trim(url), '')) as content from pages")
+@add("web_references", "select page_id as query_id, 'web::' || left(sha1(url), 16) as chunk_id, 'page' as source, round(greatest(0.3, 0.68 - 0.08 * (page_id % 9)), 6)::double as relevance, 'title: page' || chr(10) || 'url: ' || url || chr(10) || 'snippet: of it' as content from pages")
 def _(spark, d):
-    rows = table(spark, d, "pages").select(F.col("page_id").alias("query_id"), (F.col("page_id") % 9 + 1).alias("rank"), F.lit("page").alias("title"), F.lit(" ").alias("snippet"), "url")
-    return context.web_references(rows).select("query_id", "source", F.round(F.col("relevance").cast("double"), 6).alias("relevance"), "content")
+    rows = table(spark, d, "pages").select(F.col("page_id").alias("query_id"), (F.col("page_id") % 9 + 1).alias("rank"), F.lit("page").alias("title"), F.lit(" of it").alias("snippet"), F.lit("x.org").alias("domain"), "url")
+    return context.web_references(rows).select("query_id", "chunk_id", "source", F.round(F.col("relevance").cast("double"), 6).alias("relevance"), "content")
 
 
 @add("topk_diagnostics", f"with {REFS} select query_id, string_agg(modality, '|' order by rank) as modalities, bool_or(modality = 'text') and bool_or(modality = 'timeseries') as joint_coverage, string_agg(round(relevance, 3)::double::varchar, '|' order by rank) as relevances from rf where rank <= 5 group by 1")

@@ -16,6 +16,11 @@ from .text import date_ordinals, distinct_strings, strip, text, years
 MARKS = " ，,。；;？?"
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value in the plan once, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def has_any(value: Column, words: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(value, F.lit(w)) for w in words])
 
@@ -255,9 +260,12 @@ def accepted_rewrites(value: Column, original: Column, limit: int) -> Column:
 # answers
 def last_question(value: Column) -> Column:
     """What follows the last mark of a question; all where nothing does."""
-    whole = strip(text(value))
-    at = F.greatest(*[F.when(F.contains(whole, F.lit(m)), F.length(whole) - F.locate(m[::-1], F.reverse(whole)) + 2).otherwise(0) for m in W.QUESTION_MARKS])
-    return F.coalesce(F.nullif(strip(F.substring(whole, at, F.length(whole))), F.lit("")), whole)
+
+    def of(whole: Column) -> Column:
+        at = F.greatest(*[F.when(F.contains(whole, F.lit(m)), F.length(whole) - F.locate(m[::-1], F.reverse(whole)) + 2).otherwise(0) for m in W.QUESTION_MARKS])
+        return F.coalesce(F.nullif(strip(F.substring(whole, at, F.length(whole))), F.lit("")), whole)
+
+    return let(strip(text(value)), of)
 
 
 def requirement_parts(value: Column) -> Column:
@@ -273,17 +281,19 @@ def requirement_parts(value: Column) -> Column:
 
 def answer_policy(value: Column) -> Column:
     """struct of requirements (a count), direct, comparative, procedural, numeric and symbols."""
-    q = last_question(value)
-    there = q != ""
-    upper = F.upper(q)
-    return F.struct(
-        F.size(requirement_parts(value)).alias("requirements"),
-        (there & (F.size(requirement_parts(q)) <= 1) & has_any(q, W.DIRECT)).alias("direct"),
-        (there & has_any(q, W.ANSWER_RELATING) & has_any(q, W.ANSWER_COMPARING) & has_any(q, W.ENTITIES)).alias("comparative"),
-        (there & has_any(q, W.PROCEDURAL)).alias("procedural"),
-        (there & has_any(q, W.NUMERIC)).alias("numeric"),
-        (there & (has_any(q, W.MEANING) | (hits(upper, W.SYMBOLS) >= 2))).alias("symbols"),
-    )
+
+    def of(q: Column) -> Column:
+        there, upper = q != "", F.upper(q)
+        return F.struct(
+            F.size(requirement_parts(value)).alias("requirements"),
+            (there & (F.size(requirement_parts(q)) <= 1) & has_any(q, W.DIRECT)).alias("direct"),
+            (there & has_any(q, W.ANSWER_RELATING) & has_any(q, W.ANSWER_COMPARING) & has_any(q, W.ENTITIES)).alias("comparative"),
+            (there & has_any(q, W.PROCEDURAL)).alias("procedural"),
+            (there & has_any(q, W.NUMERIC)).alias("numeric"),
+            (there & (has_any(q, W.MEANING) | (hits(upper, W.SYMBOLS) >= 2))).alias("symbols"),
+        )
+
+    return let(last_question(value), of)
 
 
 def snippet_limit(group: Column, policy: Column) -> Column:

@@ -112,3 +112,20 @@ EXTENSION_BONUS = {
 }
 REQUIRED = {"image_related": ("ocr", "vision", "ocr+vision", "image"), "multimodal_joint": ("text", "vision", "image", "ocr", "ocr+vision")}
 PATH_HINTS = {"multimodal_joint": ("图片", "图像", "照片", "文档", "书籍", "内容"), "image_related": ("图片", "图像", "截图", "照片", "ocr", "图中", "画面")}
+
+# gates and requirements of answers
+CHECKLIST = ("哪些", "哪几", "分别", "同时", "以及", "角色", "原因", "措施", "步骤", "职责")
+WHY = ("背景", "原因", "事件", "为什么", "影响")
+OBSERVED = ("趋势", "上升", "下降", "波动", "峰值", "谷值", "时间范围")
+EXPLAINED = ("背景", "原因", "事件", "由于", "导致", "文本证据", "冷空气")
+ANOMALIES = ("异常", "峰值", "谷值", "拐点", "波动")
+ANSWER_TIMES = ("当前", "最新", "现任", "截至", "哪一年", "哪年", "何时", "什么时候", "什么时间", "日期", "时间")
+PAST_ROLES = ("曾任", "历任", "前任", "上一任", "原", "时任", "当时", "哪一任", "哪位曾")
+CURRENT_ROLES = ("校长", "院长", "主任", "书记", "局长", "部长", "市长", "县长", "董事长", "总经理", "ceo", "负责人", "馆长")
+UNFINISHED = ("多方合力共[。；;，,]?", "具体如下[:：]?[。；;，,]?", "主要有以下[:：]?[。；;，,]?", "包括以下[:：]?[。；;，,]?")
+
+# arithmetic in questions
+AVERAGE = ("平均",)
+MULTIPLY = ("乘积", "相乘", "乘起来", "乘以")
+DIVIDE = ("除以", "相除", "比值")
+SUBTRACT = ("差值", "相减", "减去", "差")

@@ -107,12 +107,16 @@ def build_context(references: DataFrame, queries: DataFrame, detail: bool = Fals
     return grouped.groupBy("query_id").agg(F.array_join(F.transform(parts, lambda x: x["section"]), "\n\n").alias("context"))
 
 
-def web_references(results: DataFrame) -> DataFrame:
-    """Results of a web search (query_id, rank, title, url, snippet) as references, less relevant by rank."""
-    title, snippet, url = (strip(text(c)) for c in ("title", "snippet", "url"))
-    content = F.concat_ws("\n", F.nullif(title, F.lit("")), F.nullif(snippet, F.lit("")), F.nullif(url, F.lit("")))
+def web_references(results: DataFrame, most: int = 400) -> DataFrame:
+    """Results of a web search (query_id, rank, title, url, snippet, domain) as references, less relevant by rank."""
+    title, snippet = F.col("title"), strip(text("snippet"))
+    content = F.concat_ws("\n", F.concat(F.lit("title: "), title), F.concat(F.lit("url: "), "url"), F.when(snippet != "", F.concat(F.lit("snippet: "), snippet)))
     relevance = F.greatest(F.lit(0.3), 0.68 - 0.08 * (F.col("rank") - 1))
-    return results.select("query_id", "rank", F.col("url").alias("source"), title.alias("title"), F.lit("web_search_result").alias("content_type"), content.alias("content"), F.substring(content, 1, PREVIEW).alias("content_preview"), relevance.alias("relevance"), (1 - relevance).alias("raw_score"))
+    return results.select(
+        "query_id", "rank", F.concat(F.lit("web::"), F.substring(F.sha1(F.col("url").cast("binary")), 1, 16)).alias("chunk_id"), F.substring(F.coalesce(F.nullif(title, F.lit("")), "domain"), 1, 120).alias("source"),
+        F.col("url").alias("source_path"), F.substring(title, 1, 160).alias("title"), F.col("domain").alias("section_title"), F.lit("web_search_result").alias("content_type"), F.lit("text").alias("source_modality"),
+        F.concat("domain", F.lit(" 网络结果摘要")).alias("evidence_summary"), content.alias("content"), F.rtrim(F.substring(content, 1, most)).alias("content_preview"), relevance.alias("relevance"), (1 - relevance).alias("raw_score"),
+    )
 
 
 def corrective_settings(k: Column, threshold: Column) -> tuple[Column, Column]:
