@@ -25,7 +25,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections import Counter, defaultdict
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import count, islice
 
 import numpy as np
@@ -34,13 +34,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, keep, releasing, small_batches
+from .common import free, keep, releasing, small_batches, tidy
 
 BLOCK_BYTES = 4 << 20
 MAX_WORDS = 600_000
 ROWS = 10_000
 PART_WORDS = 200_000
-SEEN_ROWS, SEEN_TASKS, MAX_KNOWN = 512, 64, 500_000
+SEEN_ROWS, SEEN_TASKS, MAX_KNOWN = 512, 64, 300_000
 LONG = 512
 
 
@@ -183,11 +183,14 @@ def _binary(data: np.ndarray, edges: np.ndarray) -> pa.Array:
 
 
 class Known:
-    """Words with places from 0, and their ids."""
+    """Words with places from 0, and their ids. A worker makes the look-up table when it first needs it."""
 
-    def __init__(self, words: list[str], flat: np.ndarray, at: np.ndarray):
-        self.place = {w: i for i, w in enumerate(words)}
-        self.flat, self.at = flat, at
+    def __init__(self, words: pa.Array, flat: np.ndarray, at: np.ndarray):
+        self.words, self.flat, self.at = words, flat, at
+
+    @cached_property
+    def place(self) -> dict[str, int]:
+        return {w: i for i, w in enumerate(self.words.to_pylist())}
 
 
 def frequent_words(docs: DataFrame, path: str, cutter: str, text_col: str) -> Known:
@@ -228,7 +231,8 @@ def frequent_words(docs: DataFrame, path: str, cutter: str, text_col: str) -> Kn
     made = wanted.mapInArrow(elements, "word string, e array<long>, steps int").select("word", fold_merges(F.col("e"), F.col("steps"), path).alias("ids")).toArrow()
     ids = made.column("ids").combine_chunks()
     size = np.diff(ids.offsets.to_numpy()) if len(ids) else np.zeros(0, np.int64)
-    return Known(made.column("word").to_pylist(), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.concatenate([[0], np.cumsum(size, dtype=np.int64)]))
+    words = pa.array(made.column("word").combine_chunks())
+    return Known(words, ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.concatenate([[0], np.cumsum(size, dtype=np.int64)]))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", as_array: bool = True, decoded: str | None = None, carry_text: bool = False) -> DataFrame:
@@ -245,10 +249,11 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", as_
     tables = (*byte_tables(path), ranks(path))  # sent to the tasks, which don't read the vocabulary's file
     own = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
     often = docs.sparkSession.sparkContext.broadcast(frequent_words(docs, path, own, text_col))
+    tidy()
 
     def cut(batches):
         find = regex.compile(own).findall
-        start = len(often.value.place)
+        start = len(often.value.words)
         places: dict[str, int] = defaultdict(count(start).__next__, often.value.place)
         sent, waiting, size = start, [], 0
 

@@ -62,6 +62,14 @@ def small(df: DataFrame) -> DataFrame:
 BATCH_ROWS = 1000
 
 
+def tidy() -> None:
+    """Gives free memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
+
+
 def releasing(run):
     """run, a function from batches to batches, which at a partition's end gives free memory back to the
     system: Python workers wait for more work, and what they hold counts for their executor."""
@@ -70,10 +78,7 @@ def releasing(run):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if sys.platform == "linux":
-                getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
+            tidy()
 
     return released
 

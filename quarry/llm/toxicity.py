@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M1, M2, blocks, fold_case, hash_words, held_out, keep, labelled, mix, releasing, small_batches, utf8
+from .common import M1, M2, blocks, fold_case, hash_words, held_out, keep, labelled, mix, releasing, small_batches, tidy, utf8
 
 FOLDS, HELD = 3, 1
 MAX_EXAMPLES = 3_000
@@ -263,6 +263,7 @@ def score_toxicity(docs: DataFrame, model: Model, score: str = "score", evidence
     """docs with the score and its evidence; the model is sent once to each executor."""
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    tidy()
     kept = [f for f in docs.schema.fields if f.name not in (score, evidence)]
     near = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
