@@ -7,7 +7,9 @@ looks its digest up in its shard and compares all 32 bytes, so a digest that is
 taken for one; nonmembers are grouped among themselves.
 
 Defined results: null text counts as empty; the winner is the smallest id, null ids come last; rows
-that repeat an id together with its text are all kept, or all dropped, as they have the winner's id.
+that repeat an id together with its text are all kept, or all dropped, as they have the winner's id; where no row of a
+group has an id, all are kept, though the SQL says null for that; long texts are digested whole; an empty table gives
+none; columns beside the id and the text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from .common import GOLDEN, SPACE, keep, mix
 SHARD_DIGESTS = 50_000
 SLICE_ROWS = 200_000
 LEVEL_FACTOR = 2.0
+BROADCAST_SHARDS = 100_000
 
 INDEX = "shard long, levels array<binary>, digests binary, winners array<long>, sizes array<long>"
 
@@ -136,6 +139,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = found.withColumn("shard", _shard(n_shards))
     # a digest that a third of all rows have makes one shard's rows many: they are dealt in slices
     slices = rows.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SLICE_ROWS).cast("long").alias("slices"))
+    slices = F.broadcast(slices) if n_shards <= BROADCAST_SHARDS else slices  # a row of two numbers for each shard
     rows = rows.join(slices, "shard").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")))
     index = index.join(slices, "shard").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
     looked = keep(
