@@ -79,6 +79,16 @@ def dense_topk(queries: DataFrame, rows: DataFrame, k: int, metric: str = "l2sq"
     return top(dense_scores(queries, rows, k, metric), k, "query_id", score="distance", descending=False)
 
 
+def dense_bundle_topk(queries: DataFrame, rows: DataFrame, k: int, metric: str = "l2sq") -> DataFrame:
+    """query_id, rank, id, distance: k rows near any of a query's vectors, each by the nearest of them. queries may have several
+    rows of a query_id; each gives its k nearest."""
+    asked = queries.select("query_id", "v").withColumn("_one", F.xxhash64("query_id", "v"))
+    near = dense_scores(asked.select(F.col("_one").alias("query_id"), "v"), rows, k, metric)
+    near = top(near, k, "query_id", score="distance", descending=False).select(F.col("query_id").alias("_one"), "id", "distance")
+    best = near.join(asked.select("_one", "query_id").distinct(), "_one").groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
+    return top(best, k, "query_id", score="distance", descending=False)
+
+
 def dense_grouped_topk(queries: DataFrame, rows: DataFrame, k: int, group: str, metric: str = "l2sq") -> DataFrame:
     """The k nearest of each query in each group of rows (id, v, group), in one pass over the rows; null is a group.
     A task keeps its best k for each query and group."""

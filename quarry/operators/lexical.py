@@ -42,8 +42,8 @@ def corpus(tok: DataFrame) -> DataFrame:
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    """query_id and each distinct term of its text."""
-    return queries.select("query_id", F.explode(F.array_distinct(match_terms(F.col("query")))).alias("term"))
+    """query_id and each distinct term of its texts."""
+    return queries.select("query_id", F.explode(match_terms(F.col("query"))).alias("term")).distinct()
 
 
 def _asked(tok: DataFrame, asked: DataFrame) -> DataFrame:
@@ -136,12 +136,12 @@ def bodies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def with_phrase_bonus(body: DataFrame, scores: DataFrame, queries: DataFrame) -> DataFrame:
-    """Adds 0.8 where a document's text holds the query, and 1.2 where its normal form holds the query's;
-    a document without any term of the query can enter by these. body: as bodies() makes it, or an index has it."""
+    """Adds 0.8 where a document's text holds the query, and 1.2 where its normal form holds the query's, each once for all
+    texts of a query; a document without any term of the query can enter by these. body: as bodies() makes it, or an index has it."""
     asked = small(queries).select("query_id", F.lower(strip(F.col("query"))).alias("_p"), normalize_search(F.col("query")).alias("_n"))
     holds = lambda a, b: (F.col(b) != "") & F.contains(F.col(a), F.col(b))
     hits = body.join(asked, holds("low", "_p") | holds("normal", "_n"))
-    hits = hits.select("query_id", "id", (F.when(holds("low", "_p"), 0.8).otherwise(0.0) + F.when(holds("normal", "_n"), 1.2).otherwise(0.0)).alias("score"))
+    hits = hits.groupBy("query_id", "id").agg((F.max(F.when(holds("low", "_p"), 0.8).otherwise(0.0)) + F.max(F.when(holds("normal", "_n"), 1.2).otherwise(0.0))).alias("score"))
     return scores.unionByName(hits).groupBy("query_id", "id").agg(F.sum("score").alias("score")).where("score > 0")
 
 

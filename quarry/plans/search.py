@@ -56,23 +56,29 @@ def build_index(docs: DataFrame, path: str, config: EngineConfig | None = None,
 
 
 def search(chunks: DataFrame, queries: DataFrame, config: EngineConfig | None = None, conditions: list[Condition] = (), mode: str = "and", model: Callable | None = None, text: str = "chunk_text", group: str = "doc_id",
-           sample: str | None = None, index: lexical.LexicalIndex | None = None, sentences: DataFrame | None = None) -> DataFrame:
+           sample: str | None = None, index: lexical.LexicalIndex | None = None, sentences: DataFrame | None = None, variants: DataFrame | None = None) -> DataFrame:
     """query_id, place, id, rerank_score, relevance, text and context of the references of each query.
 
     chunks: id, text, v, doc_id, chunk_index, source; source_modality, extension and title where there are. queries: query_id,
     query; v too, or a model. sample: a column whose dominant group is raised, and alone kept where it leads by enough.
     index: a written lexical index of the chunks; none: postings are made here. sentences: nearest sentences of each query.
+    variants: more texts of the queries, as a rewriting model or expansion gives them (query_id, query, and v or a model): they retrieve, queries rank.
     """
     config = config or EngineConfig()
     if "v" not in queries.columns:
         queries = embed(queries, "query", "v", model or hash_embedding())
+    every = queries.select("query_id", "query", "v")
+    if variants is not None:
+        more = variants if "v" in variants.columns else embed(variants, "query", "v", model or hash_embedding())
+        every = every.unionByName(more.select("query_id", "query", "v"))
     rows = filtered(chunks, list(conditions), mode)
     scope = rows if conditions else None
     # figures are those of all chunks, results those of the chunks that the conditions leave
-    found = lexical.bm25_indexed(index, queries, scope=scope) if index else lexical.bm25(lexical.tokens(chunks, "id", text), queries, scope=scope)
+    found = lexical.bm25_indexed(index, every, scope=scope) if index else lexical.bm25(lexical.tokens(chunks, "id", text), every, scope=scope)
     body = lexical.bodies(rows, "id", text) if index is None else index.bodies if scope is None else index.bodies.join(scope.select("id"), "id", "left_semi")
-    lex = lexical.top(lexical.with_phrase_bonus(body, found, queries), config.lexical_top_k, "query_id")
-    near = dense.dense_topk(queries.select("query_id", "v"), rows.select("id", "v"), config.dense_top_k, config.metric)
+    lex = lexical.top(lexical.with_phrase_bonus(body, found, every), config.lexical_top_k, "query_id")
+    nearest = dense.dense_topk if variants is None else dense.dense_bundle_topk
+    near = nearest(every.select("query_id", "v"), rows.select("id", "v"), config.dense_top_k, config.metric)
     bundle = F.array("query")
     asked = queries.select("query_id", "query").withColumn("kind", P.kind(bundle)).withColumns({"hints": P.path_hints(bundle, F.col("kind")), "joint": P.joint(bundle), "times": P.temporal(bundle)})
     fields = [c for c in ("title", "source", "source_modality", "extension", "location", "event_type", "channel_names", "date") if c in rows.columns]

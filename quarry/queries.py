@@ -257,9 +257,9 @@ def _(spark, d):
 
 @add("dense_multi_query_min", f"{L2}, k as ({topk('c', 20, 'distance', order='asc')}), m as (select (query_id // 200)::bigint as query_id, doc_id, min(distance) as distance from k group by all) {topk('m', 10, 'distance', order='asc')}")
 def _(spark, d):
-    near = dense.dense_topk(*vectors(spark, d), 20)
-    best = near.groupBy(F.floor(F.col("query_id") / 200).alias("query_id"), "id").agg(F.min("distance").alias("distance"))
-    return named(lexical.top(best, 10, "query_id", score="distance", descending=False))
+    asked, rows = vectors(spark, d)
+    near = dense.dense_bundle_topk(asked.withColumn("query_id", F.floor(F.col("query_id") / 200)), rows, 20)
+    return named(near.where("rank <= 10"))
 
 
 @add("dense_grouped_topk", f"{L2}, g as (select c.*, label from c join embeddings on vec_id = doc_id) {topk('g', 3, 'distance', keys='query_id, label', order='asc')}")

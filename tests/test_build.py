@@ -50,3 +50,7 @@ def test_search_over_a_base(spark, tmp_path):
     sentences = hits.join(names, "id").select("query_id", "parent", "sentence", "distance")
     found = search(build.chunks(spark, base), asked, index=build.lexical_index(spark, base), sentences=sentences).orderBy("place").collect()
     assert found[0]["text"].startswith("a garden of apples") and len(found) == 3
+    more = spark.createDataFrame([(1, "ships"), (1, "apples sea")], "query_id int, query string")
+    wide = search(build.chunks(spark, base), asked, index=build.lexical_index(spark, base), variants=more).orderBy("place").collect()
+    plain = search(build.chunks(spark, base), asked, variants=more).orderBy("place").collect()  # postings made on the way
+    assert [(r["id"], r["rerank_score"]) for r in wide] == [(r["id"], r["rerank_score"]) for r in plain] and len(wide) == 3
