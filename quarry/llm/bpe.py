@@ -227,7 +227,8 @@ def frequent_words(docs: DataFrame, path: str, cutter: str, text_col: str) -> Kn
             least = r["n"] + 1
             break
     parts = 4 * docs.sparkSession.sparkContext.defaultParallelism
-    wanted = counts.where(F.col("n") >= least).select("word").repartition(parts, "word")
+    # kept, so that the plan that holds the literal map has no exchange and is optimised once
+    wanted = keep(counts.where(F.col("n") >= least).select("word").repartition(parts, "word"))
     made = wanted.mapInArrow(elements, "word string, e array<long>, steps int").select("word", fold_merges(F.col("e"), F.col("steps"), path).alias("ids")).toArrow()
     ids = made.column("ids").combine_chunks()
     size = np.diff(ids.offsets.to_numpy()) if len(ids) else np.zeros(0, np.int64)
@@ -248,8 +249,9 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", as_
     # white space as the library's engine has it
     tables = (*byte_tables(path), ranks(path))  # sent to the tasks, which don't read the vocabulary's file
     own = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
+    tidy(docs.sparkSession)
     often = docs.sparkSession.sparkContext.broadcast(frequent_words(docs, path, own, text_col))
-    tidy()
+    tidy(docs.sparkSession)
 
     def cut(batches):
         find = regex.compile(own).findall

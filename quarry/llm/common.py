@@ -62,8 +62,10 @@ def small(df: DataFrame) -> DataFrame:
 BATCH_ROWS = 1000
 
 
-def tidy() -> None:
-    """Gives free memory back to the system."""
+def tidy(spark: SparkSession | None = None) -> None:
+    """Gives free memory back to the system; with a session, that of the driver's JVM too."""
+    if spark is not None:
+        spark.sparkContext._jvm.System.gc()
     gc.collect()
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":

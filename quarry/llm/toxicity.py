@@ -263,7 +263,7 @@ def score_toxicity(docs: DataFrame, model: Model, score: str = "score", evidence
     """docs with the score and its evidence; the model is sent once to each executor."""
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    tidy()
+    tidy(docs.sparkSession)
     kept = [f for f in docs.schema.fields if f.name not in (score, evidence)]
     near = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
