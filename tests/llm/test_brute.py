@@ -8,6 +8,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarry.llm import ann, bpe, exact_dedup, mixing, near_dup, quality, sharding, toxicity
@@ -278,3 +279,31 @@ def test_near_dup_two_large_clusters(spark):
     links = [(a, b) for n, a in enumerate(ids) for b in ids[:n] if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
     assert found == roots(ids, links)
     assert len({found[i] for i in range(120)}) == 1 and found[0] != found[1000]
+
+
+def test_quality_counts_every_label(spark):
+    """More labelled rows than a sample of 20,000 would hold: mean, scale and cut are those of all of them."""
+    n, kinds = 32_000, ["a plain sentence of words.", "Buy! | now | 50%", "another 12 lines\nof text", "WORDS and words"]
+    rows = [(i, kinds[i % 4] + " more" * (i % 17) + " odd!|" * (i // 31_000), int(i % 4 != 1)) for i in range(n)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    model = quality.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int"))
+    own = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    assert len(own) > 20_000
+    x = quality.features(pa.array([r[1] for r in own]))
+    assert np.allclose(model.mean, x.mean(axis=0), rtol=1e-9) and np.allclose(model.scale, np.maximum(x.std(axis=0), 1e-6), rtol=1e-6)
+    cut = np.quantile(model.raw(x), 1 - np.mean([r[2] for r in own]))
+    assert math.isclose(model.shift, math.log(0.7 / 0.3) - cut, abs_tol=1e-9)
+
+
+def test_quality_weighs_every_pair(spark):
+    """The weights are those of the loss over all pairs of a document of label 0 and one of label 1."""
+    docs, labels = table(spark, "documents"), table(spark, "labels")
+    model = quality.fit(docs, labels)
+    rows = docs.join(labels, "doc_id").where("quality in (0, 1) and crc32(cast(doc_id as string)) % 4 != 2").select("text", "quality").collect()
+    z, mark = model.scaled(quality.features(pa.array([r[0] for r in rows]))), np.array([r[1] for r in rows])
+    d = (z[mark == 1][:, None] - z[mark == 0]).reshape(-1, z.shape[1])
+    w = np.zeros(d.shape[1])
+    for _ in range(20):
+        p = 1 / (1 + np.exp(d @ w))
+        w += np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + quality.RIDGE * np.eye(len(w)), d.T @ p / len(d) - quality.RIDGE * w)
+    assert np.allclose(model.weights, w, atol=1e-3 * np.abs(w).max())
