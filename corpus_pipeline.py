@@ -6,6 +6,7 @@ shared checkpoint folder and reads again for the next one. All but the last retu
 Null and empty texts pass every stage; null ids are kept by the filters; rows that repeat an id stay or go together,
 but for texts that differ in the toxicity stage; long texts are read whole; an empty table gives an empty one; further
 columns go along with their names and values, but for ones named ids, n_tokens or round_trip, which the last stage replaces.
+Each stage begins with free memory given back, as the JVMs otherwise hold what the stages before it needed most.
 run() leaves its five tables in the checkpoint folder, as the result reads the last of them.
 """
 
@@ -18,11 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, line_dedup, mixing, near_dup, toxicity
-from quarry.llm.common import checkpoint_folder, free, keep, small, table
+from quarry.llm.common import checkpoint_folder, free, keep, small, table, tidy
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the rejection threshold."""
+    tidy(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     (score,) = free(docs, "toxicity")
     return toxicity.score_toxicity(docs, model, score=score, evidence=None).where(F.col(score) < toxicity.REJECT).drop(score)
@@ -30,6 +32,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that are boilerplate in their source; n_chars follows the text."""
+    tidy(spark)
     (dropped,) = free(docs, "dropped")
     clean = line_dedup.dedup_lines(docs, dropped=dropped)
     if "n_chars" in docs.columns:
@@ -39,6 +42,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id of each group of near copies."""
+    tidy(spark)
     found = near_dup.near_duplicates(docs)
     (gone,) = free(docs, "gone")
     dropped = small(keep(found.where(F.col("id") != F.col("component")).select(F.col("id").alias(gone))))
@@ -47,6 +51,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
+    tidy(spark)
     return mixing.mix_documents(docs)
 
 

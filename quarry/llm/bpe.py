@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, keep, releasing, small_batches, tidy
+from .common import free, keep, releasing, short_plans, small_batches, tidy
 
 BLOCK_BYTES = 4 << 20
 MAX_WORDS = 600_000
@@ -243,6 +243,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", as_
     The text itself is not carried along unless asked for.
     """
     small_batches(docs.sparkSession)
+    short_plans(docs.sparkSession)
     columns = [f for f in docs.schema.fields if f.name not in ("ids", decoded) and (carry_text or f.name != text_col)]
     kept = [f.name for f in columns]
     _word, _steps, _places, _fresh, _ids = free(docs, "word", "steps", "places", "fresh", "ids")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from quarry.llm.common import tidy
 
 from .test_edges import ROWS, SCHEMA
 
@@ -41,3 +42,17 @@ def test_stage_keeps_clashing_columns(spark, folder, name, stage):
     made = stage(spark, docs, folder)
     for r in made.select(*names).collect():
         assert all(r[c] == c + "!" for c in names)
+
+
+def test_memory_is_given_back(spark, folder):
+    """Executors collect their garbage too, and the driver doesn't keep the literal map in descriptions of plans."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    tidy(spark)
+    assert full() >= before + 2  # by tasks, and by the driver
+    store = spark._jsparkSession.sharedState().statusStore()
+    n = store.executionsList().size()
+    corpus_pipeline.encode(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).collect()
+    made = store.executionsList()
+    assert made.size() > n and all(len(made.apply(i).physicalPlanDescription()) <= 100_000 for i in range(n, made.size()))
