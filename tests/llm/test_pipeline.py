@@ -1,5 +1,7 @@
 """Each stage over edge cases, and the whole."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,3 +58,26 @@ def test_memory_is_given_back(spark, folder):
     corpus_pipeline.encode(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).collect()
     made = store.executionsList()
     assert made.size() > n and all(len(made.apply(i).physicalPlanDescription()) <= 100_000 for i in range(n, made.size()))
+
+
+def test_memory_outside_the_heap_is_given_back(spark):
+    """What the driver's JVM has freed outside its heap goes back to the system, though memory in use lies above it."""
+    jvm = spark.sparkContext._jvm
+    status = Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/status")
+    if not status.exists():
+        pytest.skip("reads /proc")
+    anon = lambda: int(status.read_text().split("RssAnon:")[1].split()[0]) // 1024
+    tidy(spark)
+    tidy(spark)
+    before = anon()
+    made = [jvm.java.util.zip.Deflater() for _ in range(1000)]
+    data = spark.sparkContext._gateway.new_array(jvm.byte, 1 << 16)
+    for x in made:
+        x.setInput(data)
+        x.deflate(data)
+    held = anon()
+    for x in made[:-1]:
+        x.end()
+    tidy(spark)
+    assert held > before + 100
+    assert anon() < before + (held - before) / 2
