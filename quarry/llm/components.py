@@ -2,31 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep_alone
 
 
 def components(links: DataFrame) -> DataFrame:
     """id and component, the least id that links (a, b) lead to, of each id in a link.
 
     Alternates large-star and small-star: every neighbour above a node is linked to the least of the
-    node's neighbourhood, then every neighbour below and the node itself. Least neighbours are combined
-    before the shuffle, so a node with very many links is no hot task. Ends when no link changes, after
+    node's neighbourhood, then every neighbour below and the node itself. A round has three shuffles: the links of
+    a node meet in one task, which sorts them and spills beyond its memory. Ends when no link changes, after
     about as many rounds as the logarithm of the longest path.
     """
-    both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = keep(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    pair = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    each = lambda e, *pairs: e.select(F.inline(F.array(*pairs)))
+    least = F.min("b").over(Window.partitionBy("a"))
+    edges = keep_alone(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
-        near = both(edges)
-        least = near.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = near.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
-        edges = keep(small.where("a <> b").distinct())
+        near = each(edges, pair("a", "b"), pair("b", "a")).withColumn("m", F.least("a", least))
+        large = near.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = each(large.withColumn("m", least), pair("b", "m"), pair("a", "m"))
+        edges = keep_alone(small.where("a <> b").distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
         if now == before:
             break

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, M1, M2, blocks, hash_words, keep, mix, releasing, small_batches, utf8
+from .common import GOLDEN, M1, M2, blocks, hash_words, keep_alone, mix, releasing, small_batches, utf8
 from .components import components
 
 ROWS, BANDS = 5, 36
@@ -139,30 +139,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    made = keep(docs.mapInArrow(releasing(_sketch(k, rows, n_bands)), "id long, n long, key binary, bands array<long>"))
+    made = keep_alone(docs.mapInArrow(releasing(_sketch(k, rows, n_bands)), "id long, n long, key binary, bands array<long>"))
     repeats = _repeats(made)
     sketched = made.where("id is not null").groupBy("id").agg(F.min_by(F.struct("n", "key", "bands"), "key").alias("s")).select("id", "s.*") if repeats else made
     full = sketched.where("n > 0 and id is not null")
     classes = full.groupBy("key").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    classes = keep(classes)
-    placed = keep(classes.select("first", "n", F.explode("bands").alias("bucket")))
+    classes = keep_alone(classes)
+    placed = keep_alone(classes.select("first", "n", F.explode("bands").alias("bucket")))
     heads = placed.groupBy("bucket").agg(F.min(F.struct("first", "n")).alias("h"), F.count(F.lit(1)).alias("m")).where("m > 1")
     heads = heads.select("bucket", F.col("h.first").alias("a"), F.col("h.n").alias("n_a"))
-    shared = keep(placed.join(heads, "bucket"))
+    shared = keep_alone(placed.join(heads, "bucket"))
     fits = lambda x, y: F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
-    pairs = keep(shared.where(F.col("first") > F.col("a")).where(fits(F.col("n_a"), F.col("n"))).select("a", F.col("first").alias("b")).distinct())
+    pairs = keep_alone(shared.where(F.col("first") > F.col("a")).where(fits(F.col("n_a"), F.col("n"))).select("a", F.col("first").alias("b")).distinct())
     texts = docs.where("id is not null").join(classes.select(F.col("first").alias("id")), "id", "left_semi")
-    links = keep(verify(pairs, texts, k, percent))
-    found = keep(components(links))
+    links = keep_alone(verify(pairs, texts, k, percent))
+    found = keep_alone(components(links))
     # buckets whose members are in different components still
     named = shared.select("bucket", "first", "n").join(found.withColumnRenamed("id", "first"), "first", "left")
-    named = keep(named.withColumn("component", F.coalesce("component", "first")))
+    named = keep_alone(named.withColumn("component", F.coalesce("component", "first")))
     open_ = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    left = keep(named.join(open_, "bucket", "left_semi"))
-    across = keep(_across(left, texts, k, percent).join(pairs, ["a", "b"], "left_anti"))
-    more = keep(verify(across, texts, k, percent))
+    left = keep_alone(named.join(open_, "bucket", "left_semi"))
+    across = keep_alone(_across(left, texts, k, percent).join(pairs, ["a", "b"], "left_anti"))
+    more = keep_alone(verify(across, texts, k, percent))
     if not more.isEmpty():
-        found = keep(components(links.union(more)))
+        found = keep_alone(components(links.union(more)))
     named = classes.select("key", "first").join(found.select(F.col("id").alias("first"), "component"), "first", "left")
     named = named.select(F.col("key").alias("_key"), F.coalesce("component", "first").alias("component"))
     sketched = sketched.withColumn("_full", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("key")))
@@ -192,13 +192,13 @@ def _across(left: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     """Pairs (a, b) of open documents (bucket, first, n, component) across components that can be links."""
     open_ids = left.select(F.col("first").alias("id"), "n", "component").distinct()
     rows = texts.join(open_ids.select("id", "component"), "id").mapInArrow(releasing(_exploded(k)), "id long, component long, shingle long")
-    rows = keep(rows)
+    rows = keep_alone(rows)
     spread = rows.select("shingle", "component").distinct().groupBy("shingle").agg(F.count(F.lit(1)).alias("spread")).where(F.col("spread") <= RARE)
-    rare = keep(rows.join(spread, "shingle"))
+    rare = keep_alone(rows.join(spread, "shingle"))
     others = open_ids.join(rare.groupBy("id").agg(F.count(F.lit(1)).alias("r")), "id", "left")
     others = others.select(F.col("id").alias("first"), "n", (F.col("n") - F.coalesce("r", F.lit(0))).alias("e"))
     # alive: even if all of the others are shared
-    sides = keep(left.drop("n").join(others, "first").where(F.lit(100) * F.col("e") >= F.lit(percent) * F.col("n")))
+    sides = keep_alone(left.drop("n").join(others, "first").where(F.lit(100) * F.col("e") >= F.lit(percent) * F.col("n")))
     every = sides.groupBy("first").agg(F.collect_list("bucket").alias("all"))
     sides = sides.join(every, "first")
     one, two = (sides.select("bucket", F.col("first").alias(x), F.col("n").alias(f"n_{x}"), F.col("component").alias(f"c_{x}"), F.col("e").alias(f"e_{x}"), F.col("all").alias(f"all_{x}")) for x in "ab")

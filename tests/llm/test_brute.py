@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -281,6 +282,21 @@ def test_near_dup_two_large_clusters(spark):
     assert len({found[i] for i in range(120)}) == 1 and found[0] != found[1000]
 
 
+def test_near_dup_frees_its_shuffle_files(spark):
+    """What its many steps have shuffled is gone when it returns, without waiting for the driver's garbage: what is left is of its few counts."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: set(re.findall(r"shuffle_(\d+)_", manager.getAllBlocks().mkString(" ")))
+    rows = [(i, " ".join(f"w{i // 5}x{j}" for j in range(60)) + f" e{i}") for i in range(100)]
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = held(), spark.conf.get(cleanup, None)
+    near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    end = time.time() + 20
+    while len(held() - before) > 8 and time.time() < end:  # they are taken away in the background
+        time.sleep(0.2)
+    assert len(held() - before) <= 8
+    assert spark.conf.get(cleanup, None) == setting
+
+
 def test_quality_counts_every_label(spark):
     """More labelled rows than a sample of 20,000 would hold: mean, scale and cut are those of all of them."""
     n, kinds = 32_000, ["a plain sentence of words.", "Buy! | now | 50%", "another 12 lines\nof text", "WORDS and words"]
