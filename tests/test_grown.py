@@ -1,11 +1,16 @@
 """Queries against their SQL in DuckDB, on tables that show what only larger or odd ones do."""
 
 import datetime
+import time
 
 import duckdb
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from quarry import queries as Q
+from quarry.operators import dense, evaluate, lexical, split
 
 
 @pytest.fixture
@@ -46,3 +51,30 @@ def test_gaps_near_the_limit(same):
 def test_more_than_9999_chunks(same):
     rows = [(i, "x", "en", "s", 1) for i in range(10_012)] + [(20_000, "x", "en", None, 1), (20_001, "x", "en", "t", 1)]
     assert same("chunk_numbering", documents=(rows, "doc_id long, text string, lang string, source string, n_chars long")) == len(rows)
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_pieces_of_a_long_text_take_one_pass(spark):
+    """A substring at each position takes time by the square of the length: minutes for this text."""
+    text = "añ🙂\n" * 500_000
+    rows = split.char_pieces(spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string"))
+    began = time.perf_counter()
+    found = [r["piece"] for r in rows.orderBy("pos").collect()]
+    assert "".join(found) == text and {len(x) for x in found} == {16}
+    assert time.perf_counter() - began < 60
+
+
+def test_many_vectors_meet_in_tiles(monkeypatch):
+    """No matrix of distances is larger than a tile, and ties at a tile's end stay in order."""
+    seen, whole = [], dense._distances
+    monkeypatch.setattr(dense, "_distances", lambda q, x, metric: seen.append(len(q) * len(x)) or whole(q, x, metric))
+    rng = np.random.default_rng(3)
+    q, x, ids = rng.integers(0, 3, (1500, 4)).astype(float), rng.integers(0, 3, (5000, 4)).astype(float), rng.permutation(5000)
+    got = pa.Table.from_batches(list(dense._best(np.arange(1500), q, ids, x, 7, "l2sq")))
+    assert max(seen) <= dense.TILE**2
+    for i in (0, 700, 1499):
+        d = ((x - q[i]) ** 2).sum(axis=1)
+        want = ids[np.lexsort((ids, d))[:7]].tolist()
+        assert got.filter(pc.equal(got["query_id"], i))["id"].to_pylist() == want
