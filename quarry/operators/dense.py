@@ -15,6 +15,8 @@ from .lexical import top
 
 BROADCAST_NUMBERS = 4_000_000
 BLOCK = 1024
+SLICE = 20_000
+TILE = 1024
 METRICS = ("l2sq", "l2", "cosine")
 
 
@@ -30,12 +32,26 @@ def _distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return d if metric == "l2sq" else np.sqrt(d)
 
 
-def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, metric: str) -> pa.RecordBatch:
-    d = np.round(_distances(q, x, metric), 6) + 0.0
+def _nearest(q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ids, which ascend, and distances of each query's k nearest; tiles of TILE queries and rows are met one by one."""
+    pick, best = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+    for lo in range(0, len(x), TILE):
+        d = np.round(_distances(q, x[lo : lo + TILE], metric), 6) + 0.0
+        at = np.argsort(d, axis=1, kind="stable")[:, :k]
+        pick, best = np.concatenate([pick, at + lo], axis=1), np.concatenate([best, np.take_along_axis(d, at, axis=1)], axis=1)
+        # what came before has smaller ids, so that a stable sort keeps ties in their order
+        order = np.argsort(best, axis=1, kind="stable")[:, :k]
+        pick, best = np.take_along_axis(pick, order, axis=1), np.take_along_axis(best, order, axis=1)
+    return pick, best
+
+
+def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, metric: str):
+    """Batches of query_id, id and distance: the k nearest rows of each query."""
     order = np.argsort(ids, kind="stable")
-    pick = order[np.argsort(d[:, order], axis=1, kind="stable")[:, :k]]
-    rows = np.repeat(np.arange(len(q)), pick.shape[1])
-    return pa.RecordBatch.from_arrays([pa.array(q_ids[rows]), pa.array(ids[pick.ravel()]), pa.array(d[rows, pick.ravel()])], ["query_id", "id", "distance"])
+    ids, x = ids[order], x[order]
+    for lo in range(0, len(q), TILE):
+        pick, best = _nearest(q[lo : lo + TILE], ids, x, k, metric)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids[lo : lo + TILE], pick.shape[1])), pa.array(ids[pick.ravel()]), pa.array(best.ravel())], ["query_id", "id", "distance"])
 
 
 def dense_scores(queries: DataFrame, rows: DataFrame, k: int, metric: str = "l2sq") -> DataFrame:
@@ -53,14 +69,13 @@ def dense_scores(queries: DataFrame, rows: DataFrame, k: int, metric: str = "l2s
 
         def run(batches):
             for b in batches:
-                for lo in range(0, b.num_rows, 4096):
-                    part = b.slice(lo, 4096)
-                    yield _best(q_ids, q, part.column("id").to_numpy(), _matrix(part.column("v"), part.num_rows), k, metric)
+                if b.num_rows:
+                    yield from _best(q_ids, q, b.column("id").to_numpy(), _matrix(b.column("v"), b.num_rows), k, metric)
 
         return rows.mapInArrow(run, out)
     blocks = -(-n // BLOCK)
     dealt = queries.select("query_id", F.col("v").alias("q")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    slices = max(1, -(-rows.count() // 100_000))
+    slices = max(1, -(-rows.count() // SLICE))
     spread = rows.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(slices))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     dealt = dealt.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
 
@@ -69,7 +84,7 @@ def dense_scores(queries: DataFrame, rows: DataFrame, k: int, metric: str = "l2s
             return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
         a, b = a.combine_chunks(), b.combine_chunks()
         q, x = _matrix(a["q"].combine_chunks(), a.num_rows), _matrix(b["v"].combine_chunks(), b.num_rows)
-        return pa.Table.from_batches([_best(a["query_id"].to_numpy(), q, b["id"].to_numpy(), x, k, metric)])
+        return pa.Table.from_batches(_best(a["query_id"].to_numpy(), q, b["id"].to_numpy(), x, k, metric))
 
     return dealt.groupBy("block", "slice").cogroup(spread.groupBy("block", "slice")).applyInArrow(meet, out)
 
@@ -109,9 +124,9 @@ def dense_grouped_topk(queries: DataFrame, rows: DataFrame, k: int, group: str,
             codes = own.indices.to_numpy()
             for g in np.unique(codes):
                 part = b.take(pa.array(np.flatnonzero(codes == g)))
-                best = _best(q_ids, q, part.column("id").to_numpy(), _matrix(part.column("v"), part.num_rows), k, metric)
-                label = part.column(group).take(pa.array(np.zeros(best.num_rows, np.int64)))
-                yield pa.RecordBatch.from_arrays([*best.columns, label], [*best.schema.names, group])
+                for best in _best(q_ids, q, part.column("id").to_numpy(), _matrix(part.column("v"), part.num_rows), k, metric):
+                    label = part.column(group).take(pa.array(np.zeros(best.num_rows, np.int64)))
+                    yield pa.RecordBatch.from_arrays([*best.columns, label], [*best.schema.names, group])
 
     found = rows.select(F.col("id").cast("long"), "v", group).where("v is not null").mapInArrow(run, out)
     return top(found, k, "query_id", group, score="distance", descending=False)
