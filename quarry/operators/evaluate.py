@@ -7,6 +7,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .sizes import small
+
+
+def holders(docs: DataFrame, items: DataFrame, text: str = "text", passage: str = "passage") -> DataFrame:
+    """Documents joined with the items whose passage their text holds. A passage's longest word between two of its spaces stands
+    between spaces in a text that holds it, so that a text is searched for the passages of its own words alone; passages of
+    fewer than three words are looked for in every text."""
+    words = F.split(F.col(passage), " ", -1)
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    longest = F.aggregate(inner, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
+    asked = small(items.where(F.col(passage).isNotNull()).withColumn("_word", longest))
+    held = docs.where(F.col(text).isNotNull()).join(asked.where("_word = ''"), F.contains(text, passage))
+    met = docs.withColumn("_word", F.explode(F.array_distinct(F.split(F.col(text), " ", -1)))).join(asked.where("_word <> ''"), "_word")
+    return met.where(F.contains(text, passage)).select(*held.columns).unionByName(held).drop("_word")
+
 
 def first_ranks(run: DataFrame, positives: DataFrame) -> DataFrame:
     """query_id, positive and the best rank of a run (query_id, id, rank) that it was found at, or null."""

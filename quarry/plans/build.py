@@ -110,7 +110,7 @@ def rebuild(spark: SparkSession, folder: str, base: str, config: EngineConfig |
 
 
 def lexical_index(spark: SparkSession, base: str) -> lexical.LexicalIndex:
-    return lexical.read_index(spark, f"{base}/lexical/{manifest(spark, base).first()['build']}")
+    return lexical.read_index(chunks(spark, base), f"{base}/lexical/{manifest(spark, base).first()['build']}", "id", "chunk_text")
 
 
 def sentence_index(spark: SparkSession, base: str) -> DataFrame:

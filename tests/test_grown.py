@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
+from pyspark.sql import functions as F
 
 from quarry import queries as Q
 from quarry.operators import dense, evaluate, lexical, split
@@ -78,3 +79,45 @@ def test_many_vectors_meet_in_tiles(monkeypatch):
         d = ((x - q[i]) ** 2).sum(axis=1)
         want = ids[np.lexsort((ids, d))[:7]].tolist()
         assert got.filter(pc.equal(got["query_id"], i))["id"].to_pylist() == want
+
+
+def texts(spark):
+    words = [f"w{i % 7}.{i % 11} x{i % 5}" for i in range(60)]
+    rows = [(i, " ".join(words[i % 50 : i % 50 + 1 + i % 9]), "en", "s", 1) for i in range(1200)]
+    return spark.createDataFrame([*rows, (5000, "", "en", "s", 0), (5001, None, "en", "s", 0)], DOCUMENTS)
+
+
+def plan(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_stay_where_they_are(spark):
+    tok = lexical.tokens(texts(spark))
+    assert "Exchange" not in plan(lexical.postings(tok))
+    plain = tok.select("id", F.explode("terms").alias("term")).groupBy("id", "term").count()
+    assert sorted(lexical.postings(tok).collect()) == sorted(plain.collect())
+    assert sorted(lexical.term_df(tok).collect()) == sorted(plain.groupBy("term").count().collect())
+
+
+def test_repeated_ids(same):
+    rows = [(1, "a b a c.d", "en", "s", 1), (1, "a e", "en", "s", 1), (2, "a", "en", "s", 1), (None, "a b", "en", "s", 1), (None, "b", "en", "s", 1)]
+    assert same("term_df", documents=(rows, DOCUMENTS)) > 3
+
+
+def test_best_of_many_queries(spark, tmp_path, monkeypatch):
+    docs = texts(spark)
+    index = lexical.write_index(docs, str(tmp_path))
+    queries = spark.createDataFrame([(i, f"w{i}.{i} x{i % 5} none") for i in range(7)], "query_id long, query string")
+    want = lexical.top(lexical.bm25_indexed(index, queries), 20, "query_id").select("query_id", "id", "rank").collect()
+    monkeypatch.setattr(lexical, "BLOCK_DOCS", 32)
+    # postings of all terms of all queries were joined before
+    assert "Join" not in plan(lexical.bm25_top(index, queries, 20))
+    assert sorted(lexical.bm25_top(index, queries, 20).select("query_id", "id", "rank").collect()) == sorted(want)
+
+
+def test_holders(spark):
+    docs = spark.createDataFrame([(1, "one two three four"), (2, "xone two threes"), (3, "two"), (4, ""), (5, None), (6, "a  b\nc d"), (7, "two two")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "ne two three"), (2, "two"), (3, "a  b\nc"), (4, "one  three"), (5, "three four"), (6, " two three ")], "item_id long, passage string")
+    want = docs.join(items, F.contains("text", "passage")).select("item_id", "doc_id")
+    found = evaluate.holders(docs, items)
+    assert sorted(found.select("item_id", "doc_id").collect()) == sorted(want.collect())
