@@ -34,6 +34,12 @@ def neighbours_of(chosen: DataFrame, chunks: DataFrame, n: int, doc: str = "doc_
     return met.groupBy(doc, F.col("_own").alias(index)).agg(F.array_join(texts, "\n").alias("context"))
 
 
+def places_beside(chosen: DataFrame, chunks: DataFrame, n: int, doc: str = "doc_id", index: str = "chunk_index") -> DataFrame:
+    """id of the chunks up to n places beside chosen ones (doc and index), themselves included; no text is read."""
+    wanted = chosen.select(doc, F.explode(F.sequence(F.col(index) - n, F.col(index) + n)).alias(index)).distinct()
+    return chunks.select("id", doc, index).join(small(wanted), [doc, index]).select("id")
+
+
 def overview(references: DataFrame, modality: str, *keys: str) -> DataFrame:
     grouped = references.groupBy(*keys) if keys else references.groupBy()
     return grouped.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col(modality) == "text").alias("n_text"), F.countDistinct(modality).alias("n_modalities"))

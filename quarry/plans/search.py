@@ -19,7 +19,7 @@ from quarry.functions.text import years
 from quarry.operators import dense, lexical, references, rerank
 from quarry.operators.filters import Condition, filtered
 from quarry.operators.fusion import candidate_bonus, document_anchor, fuse, merge_candidates, sentence_hits, temporal_adjustment
-from quarry.operators.sizes import small
+from quarry.operators.sizes import held, of_ids, small
 from quarry.operators.split import chunk_documents
 
 from .config import EngineConfig
@@ -83,7 +83,9 @@ def search(chunks: DataFrame, queries: DataFrame, config: EngineConfig | None =
     asked = queries.select("query_id", "query").withColumn("kind", P.kind(bundle)).withColumns({"hints": P.path_hints(bundle, F.col("kind")), "joint": P.joint(bundle), "times": P.temporal(bundle)})
     fields = [c for c in ("title", "source", "source_modality", "extension", "location", "event_type", "channel_names", "date") if c in rows.columns]
     own = [c for c in ("doc_id", "chunk_index", *fields, *([sample] if sample else [])) if c in rows.columns]
-    full = merge_candidates(near, lex).join(rows.select("id", text, *dict.fromkeys(own)), "id").join(small(asked), "query_id")
+    # retrieved once, whatever follows; then only the candidates' chunks are read with their texts
+    met = held(merge_candidates(near, lex))
+    full = met.join(of_ids(rows, met).select("id", text, *dict.fromkeys(own)), "id").join(small(asked), "query_id")
     if sentences is not None:
         full = sentence_hits(full, sentences)
     get = lambda name: F.col(name) if name in fields else F.lit(None).cast("string")
@@ -98,6 +100,8 @@ def search(chunks: DataFrame, queries: DataFrame, config: EngineConfig | None =
     if sample:
         ranked = rerank.trim_groups(rerank.boost_groups(ranked, sample, "rerank_score"), sample, "rerank_score")
     ranked = lexical.top(ranked.where(F.round("relevance", 6) >= config.score_threshold), config.rerank_top_k * config.overfetch, "query_id", score="rerank_score")
-    chosen = rerank.diversify(ranked, group, config.rerank_top_k)
-    around = references.neighbours_of(chosen.select("doc_id", "chunk_index").distinct(), rows.select("doc_id", "chunk_index", F.col(text).alias("text")), config.neighbours)
+    chosen = held(rerank.diversify(ranked, group, config.rerank_top_k))
+    places = chosen.select("doc_id", "chunk_index").distinct()
+    beside = references.places_beside(places, rows, config.neighbours)
+    around = references.neighbours_of(places, of_ids(rows, beside).select("doc_id", "chunk_index", F.col(text).alias("text")), config.neighbours)
     return chosen.join(around, ["doc_id", "chunk_index"]).select("query_id", "place", "id", "doc_id", "rerank_score", "relevance", "text", "context")
